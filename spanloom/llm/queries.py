@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality
+from . import language, neardup, quality
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.profile(docs, quality.plan(docs))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.dedupe(table(spark, sf_dir, "documents"))
+
+
 def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, with ``lang`` as the declared language and ``source`` as the host."""
     docs = table(spark, sf_dir, "documents")
@@ -31,6 +35,7 @@ def language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op5_quality_cascade": op5_quality_cascade,
+        "op7_near_duplicates": op7_near_duplicates,
         "op8_language_fusion": op8_language_fusion,
         "language_pages": language_pages,
     }
