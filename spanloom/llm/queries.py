@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup, quality
+from . import language, neardup, quality, surrogates
 from .shared import table
 
 
+#: A key for queries over test tables; callers pass their own secret.
+QUERY_KEY = b"spanloom query key"
+
+
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymise(docs, QUERY_KEY, count="n_replaced")
+
+
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.profile(docs, quality.plan(docs))
@@ -34,6 +43,7 @@ def language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_surrogates": op1_surrogates,
         "op5_quality_cascade": op5_quality_cascade,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_language_fusion": op8_language_fusion,
