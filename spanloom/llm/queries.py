@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup, quality, surrogates
+from . import bpe, language, neardup, packing, quality, surrogates
 from .shared import table
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer file on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 #: A key for queries over test tables; callers pass their own secret.
 QUERY_KEY = b"spanloom query key"
 
@@ -18,11 +25,24 @@ def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(docs, QUERY_KEY, count="n_replaced")
 
 
+def op4_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), digests=True)
+
+
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.profile(docs, quality.plan(docs))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return packed_digest(pieces)
+
+
+def packed_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.dedupe(table(spark, sf_dir, "documents"))
 
@@ -44,7 +64,9 @@ def language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_surrogates": op1_surrogates,
+        "op4_segment_tree_bpe": op4_segment_tree_bpe,
         "op5_quality_cascade": op5_quality_cascade,
+        "op6_packing": op6_packing,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_language_fusion": op8_language_fusion,
         "language_pages": language_pages,
