@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, neardup, packing, quality, surrogates
+from . import bpe, language, linkgraph, neardup, packing, quality, sharding, surrogates
 from .shared import table
 
 
@@ -25,6 +25,18 @@ def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(docs, QUERY_KEY, count="n_replaced")
 
 
+#: Eight shards: two regions of two racks of two.
+TREE = sharding.balanced(2, 2, 2)
+
+
+def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), TREE)
+
+
+def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), digests=True)
 
@@ -64,6 +76,8 @@ def language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_surrogates": op1_surrogates,
+        "op2_hash_tree": op2_hash_tree,
+        "op3_link_graph": op3_link_graph,
         "op4_segment_tree_bpe": op4_segment_tree_bpe,
         "op5_quality_cascade": op5_quality_cascade,
         "op6_packing": op6_packing,
