@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, linkgraph, neardup, packing, quality, sharding, surrogates
+from . import bpe, language, linkgraph, neardup, neighbours, packing, quality, sharding, surrogates
 from .shared import table
 
 
@@ -73,6 +73,10 @@ def language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.col("__declared").alias("declared"), F.col("__suffix").alias("suffix"), F.col("__address_host").alias("host"), "language", F.round("posterior", 6).alias("posterior"), "kept")
 
 
+def op9_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_surrogates": op1_surrogates,
@@ -83,6 +87,7 @@ def queries() -> dict:
         "op6_packing": op6_packing,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_language_fusion": op8_language_fusion,
+        "op9_adaptive_scan": op9_adaptive_scan,
         "language_pages": language_pages,
     }
 
