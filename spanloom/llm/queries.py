@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, linkgraph, neardup, neighbours, packing, quality, sharding, surrogates
+from . import bpe, language, licences, linkgraph, neardup, neighbours, packing, quality, sharding, surrogates
 from .shared import table
 
 
@@ -77,6 +77,12 @@ def op9_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op10_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.train(docs))
+    return found.withColumns({"probability": F.round("probability", 6), "similarity": F.round("similarity", 6)})
+
+
 def queries() -> dict:
     return {
         "op1_surrogates": op1_surrogates,
@@ -88,6 +94,7 @@ def queries() -> dict:
         "op7_near_duplicates": op7_near_duplicates,
         "op8_language_fusion": op8_language_fusion,
         "op9_adaptive_scan": op9_adaptive_scan,
+        "op10_licence_classifier": op10_licence_classifier,
         "language_pages": language_pages,
     }
 
