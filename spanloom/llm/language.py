@@ -207,6 +207,17 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     return fuse(scored, priors, overall, profiles.languages, declared, suffix, host, settings)
 
 
+def keep_identified(docs: DataFrame, text: str = "text", declared: str | None = "lang", suffix: str | None = None, host: str | None = "source", settings: Settings = Settings(), write_to: str | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is certain enough, with their columns; ``write_to`` is set to the language.
+
+    The row travels as one struct, so that its columns' names cannot clash with the evidence's.
+    """
+    lone = lambda c: F.col(f"`{c}`") if c else F.lit(None).cast("string")
+    packed = docs.select(F.struct("*").alias("__row"), lone(text).alias("__text"), lone(declared).alias("__declared"), lone(suffix).alias("__suffix"), lone(host).alias("__of"))
+    out = identify(packed, "__text", "__declared", "__suffix", "__of" if host else None, settings).where("kept")
+    return out.select(*(F.col("language").alias(c) if c == write_to else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
+
+
 #: Parts of an address that name a language.
 SUFFIX_LANGUAGES = {"de": "de", "at": "de", "en": "en", "uk": "en", "us": "en", "es": "es", "mx": "es", "fr": "fr", "be": "fr"}
 

@@ -291,9 +291,9 @@ def _with_redrawn(docs: DataFrame, redrawn: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(d, k, n) for x, d in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True) for k, n in {(k, n) for _, _, k, n in entities(x)}]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["digest", "kind", "normal"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["__digest", "kind", "normal"])
 
     digest = F.sha2(F.col(text), 256)
-    held = docs.select(F.col(text), digest.alias("d")).mapInArrow(run, "digest string, kind string, normal string").distinct()
-    lists = held.join(redrawn, ["kind", "normal"]).groupBy("digest").agg(F.collect_list(F.struct("kind", "normal", "attempt")).alias("__redrawn"))
-    return docs.join(lists, digest == F.col("digest"), "left").drop("digest")
+    held = docs.select(F.col(text), digest.alias("d")).mapInArrow(run, "__digest string, kind string, normal string").distinct()
+    lists = held.join(redrawn, ["kind", "normal"]).groupBy("__digest").agg(F.collect_list(F.struct("kind", "normal", "attempt")).alias("__redrawn"))
+    return docs.join(lists, digest == F.col("__digest"), "left").drop("__digest")
