@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from spanloom.plans import span_queries
+
+MODULES = (span_queries,)
 
 
 def queries() -> dict:
