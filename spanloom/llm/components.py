@@ -1,6 +1,9 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
+"""Connected components by randomised contraction.
 
-Every step is a grouped minimum and a join, cut by a written table; no edge reaches the driver.
+In each round every node points to that of its neighbours and itself which a hash of the round ranks first,
+and the edges are redrawn between the nodes pointed to. Rounds grow with the logarithm of the longest path;
+a star ends in two. A round is a grouped minimum, two lookups and a distinct, cut by written tables; no edge
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,36 +14,29 @@ from pyspark.sql import functions as F
 from .shared import stash
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """``a`` is the larger end of every edge here."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-    joined = edges.join(least, F.col("a") == F.col("u"))
-    moved = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-
-
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (``node``, ``root``) for each end of ``edges`` (``a``, ``b``); root is the smallest node reachable."""
-    stars = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _digest(stars)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        stars = stash(_small_star(_large_star(stars)), "stars")
-        now = _digest(stars)
-        if now == before:
+    first = stash(edges.where("a <> b").select("a", "b"), "edges")
+    now, maps = first, []
+    for i in range(rounds):
+        if now.isEmpty():
             break
-        before = now
+        both = now.select("a", "b").union(now.select("b", "a"))
+        rank = lambda x: F.struct(F.xxhash64(F.lit(i), x).alias("h"), F.col(x).alias("id"))  # noqa: E731, B023
+        to = both.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a")))["id"].alias("to"))
+        to = stash(to.select(F.col("a").alias("from"), "to"), "pointers")
+        maps.append(to)
+        x, y = to.alias("x"), to.alias("y")
+        moved = now.join(x, F.col("a") == F.col("x.from")).join(y, F.col("b") == F.col("y.from"))
+        moved = moved.select(F.least("x.to", "y.to").alias("a"), F.greatest("x.to", "y.to").alias("b"))
+        now = stash(moved.where("a <> b").distinct(), "contracted")
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    if not maps:
+        return first.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    placed = maps[0].select(F.col("from").alias("node"), F.col("to").alias("at"))
+    for to in maps[1:]:
+        placed = placed.join(to, F.col("at") == F.col("from"), "left").select("node", F.coalesce("to", "at").alias("at"))
+    placed = stash(placed, "placed")
+    least = placed.groupBy("at").agg(F.min("node").alias("root"))
+    return placed.join(stash(least.withColumnRenamed("at", "key"), "roots"), F.col("at") == F.col("key")).select("node", "root")

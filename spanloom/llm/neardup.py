@@ -154,68 +154,73 @@ def _may_link(x: str, y: str) -> Column:
     return (100 * F.least(a, b) >= LINK_PERCENT * F.greatest(a, b)) & (apart <= most)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) whose full sets reach the threshold."""
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+def _confirm(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sketches allow the threshold and whose full sets reach it.
+
+    ``known`` holds the classes' ids, sizes, sketches and texts, by ``rep``.
+    """
+    x, y = known.alias("x"), known.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, (F.col("b") == F.col("y.rep")) & _may_link("x", "y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        sets: dict[int, np.ndarray] = {}
         for batch in batches:
             linked = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if len(known) > 256:
-                    known.clear()
-                sets = [known[k] if k in known else known.setdefault(k, shingles(t)) for k, t in ((a, x), (b, y))]
-                common = len(np.intersect1d(*sets, assume_unique=True))
-                linked.append(100 * common >= LINK_PERCENT * (len(sets[0]) + len(sets[1]) - common))
+            for a, b, s, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if len(sets) > 256:
+                    sets.clear()
+                p, q = (sets[k] if k in sets else sets.setdefault(k, shingles(text)) for k, text in ((a, s), (b, t)))
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                linked.append(100 * common >= LINK_PERCENT * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x.text", F.col("y.text").alias("other")).mapInArrow(run, "a long, b long")
 
 
 def classes_and_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with ``__id``, ``n_shingles``, ``fp``; classes with ``fp``, ``rep``; components of linked reps)."""
     sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
     signed = stash(signatures(docs, key, text), "signatures")
-    usable = signed.where("fp is not null and __id is not null")
-    classes = stash(usable.groupBy("fp").agg(F.min("__id").alias("rep")), "classes")
-    # one row for each class: the row of its least id
-    reps = usable.join(classes, (usable["fp"] == classes["fp"]) & (usable["__id"] == classes["rep"]), "left_semi")
-    reps = reps.select(F.col("__id").alias("rep"), F.col("n_shingles").alias("n"), "bands", *sketch)
-    pairs_of = reps.select("rep", F.explode("bands").alias("band"))
-
-    # Buckets of two classes or more, and how many others each class meets in them.
-    shared = pairs_of.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("__least"), F.max("rep").alias("__most")).where("__least < __most").select("band", "size")
-    members = stash(pairs_of.join(stash(shared, "buckets"), "band"), "members")
+    # one row for each class: that of its least id
+    least = F.min(F.struct("__id", "n_shingles", "bands", *sketch)).alias("r")
+    classes = signed.where("fp is not null and __id is not null").groupBy("fp").agg(least)
+    classes = stash(classes.select("fp", F.col("r.__id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.bands", *(f"r.{s}" for s in sketch)), "classes")
+    pairs_of = classes.select("rep", F.explode("bands").alias("band"))
+
+    # Buckets of two classes or more; how many others a class meets in them; the pivot is who meets most.
+    shared = pairs_of.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    members = stash(pairs_of.join(stash(shared.where("lo < hi").select("band", "size"), "buckets"), "band"), "members")
     popular = stash(members.groupBy("rep").agg(F.sum("size").alias("met")), "popular")
-    ranked = members.join(popular, "rep")
-    pivots = stash(ranked.groupBy("band").agg(F.max(F.struct("met", (-F.col("rep")).alias("k"))).alias("top")).select("band", (-F.col("top.k")).alias("pivot")), "pivots")
-    tried = members.join(pivots, "band").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    most = members.join(popular, "rep").groupBy("band").agg(F.max(F.struct("met", (-F.col("rep")).alias("k"))).alias("top"))
+    members = stash(members.select("band", "rep").join(stash(most.select("band", (-F.col("top.k")).alias("pivot")), "pivots"), "band"), "pivoted")
 
     met = popular.select("rep")
-    sketches = stash(reps.join(met, "rep", "left_semi").drop("bands").distinct(), "sketches")
-    wanted = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    texts = stash(wanted.where("rep is not null").join(met, "rep", "left_semi").join(sketches.select("rep", "n"), "rep").dropDuplicates(["rep"]).select("rep", "text"), "texts")
-
-    def sketched(edges: DataFrame) -> DataFrame:
-        x, y = sketches.alias("x"), sketches.alias("y")
-        return edges.join(x, F.col("a") == F.col("x.rep")).join(y, (F.col("b") == F.col("y.rep")) & _may_link("x", "y")).select("a", "b")
-
-    starred = stash(_confirm(sketched(tried), texts), "star-links")
-    found = components(starred)
+    sketches = stash(classes.select("rep", "n", *sketch).join(met, "rep", "left_semi"), "sketches")
+    bodies = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null")
+    known = stash(bodies.join(sketches, "rep").dropDuplicates(["rep"]), "known")
+    tried = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    starred = stash(_confirm(tried, known), "star-links")
+    found = stash(components(starred), "star-components")
 
     # Buckets with classes of several components left: every pair across components that the sketches allow.
-    placed = members.join(found, members["rep"] == found["node"], "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
+    # Pairs with the bucket's pivot have been tried.
+    placed = members.join(found, members["rep"] == found["node"], "left").select("band", "rep", "pivot", F.coalesce("root", "rep").alias("root"))
+    placed = stash(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    open_rows = stash(placed.join(mixed, "band", "left_semi").join(sketches, "rep"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    left = placed.where("rep <> pivot").join(stash(mixed, "mixed"), "band", "left_semi").select("band", "rep", "root")
+    left = stash(left.join(sketches, "rep"), "open")
+    x, y = left.alias("x"), left.alias("y")
     crossing = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y"))
-    crossing = crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = stash(_confirm(crossing.join(tried, ["a", "b"], "left_anti"), texts), "cross-links")
-    stars = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return signed.select("__id", "n_shingles", "fp"), classes, components(stars.union(more))
+    more = stash(_confirm(crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), known), "cross-links")
+    if more.isEmpty():
+        return signed.select("__id", "n_shingles", "fp"), classes.select("fp", "rep"), found
+    # each star component stands for its members
+    ends = more.join(found.alias("p"), F.col("a") == F.col("p.node"), "left").join(found.alias("q"), F.col("b") == F.col("q.node"), "left")
+    over = ends.select(F.coalesce("p.root", "a").alias("a"), F.coalesce("q.root", "b").alias("b")).distinct()
+    merged = stash(components(over), "components")
+    inner = found.join(merged.withColumnsRenamed({"node": "part", "root": "whole"}), F.col("root") == F.col("part"), "left")
+    inner = inner.select("node", F.coalesce("whole", "root").alias("root"))
+    return signed.select("__id", "n_shingles", "fp"), classes.select("fp", "rep"), inner.unionByName(merged).distinct()
 
 
 def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
