@@ -22,11 +22,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import texts_of
-from .words import LETTERS, NUMBERS, SPACES, Recent, is_plain, loaded
+from .words import LETTERS, NUMBERS, SPACES, Recent, is_plain, joined_ids, loaded, uncollected
 
 #: The byte-level scheme's split, for plain texts.
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
@@ -34,7 +35,8 @@ NONE = np.iinfo(np.int32).max
 #: Pretokens of up to this many bytes share arrays.
 SHORT = 64
 #: Entries of the caches of what stands between spaces, and of pretokens.
-CACHED, CACHED_PRETOKENS = 400_000, 200_000
+CACHED, CACHED_PRETOKENS = 700_000, 300_000
+FIRST = "\x01"
 #: Where a space is followed by more white space, pretokens reach over the space.
 WIDE_SPACE = re.compile(rf" [{SPACES}]")
 
@@ -231,39 +233,36 @@ class Encoder:
             return SPLIT.findall(text)
         return [text[a:b] for _, (a, b) in loaded(self.path).pre_tokenizer.pre_tokenize_str(text)]
 
-    def _parts(self, text: str) -> tuple[list, list[str]]:
-        """Pretokens and ids of added tokens, then words that each follow one space.
-
-        In a plain text whose spaces stand alone, no pretoken reaches over a space but to begin with it, so
-        what follows a space can be looked up before it is split further.
-        """
-        vocab = self.vocab
-        if vocab.added_split and any(x in text for x in vocab.added):
-            own: list = []
-            for piece in vocab.added_split.split(text):
-                own += [vocab.added[piece]] if piece in vocab.added else self._split(piece) if piece else []
-            return own, []
-        if not is_plain(text) or WIDE_SPACE.search(text):
-            return self._split(text), []
-        first, *rest = text.split(" ")
-        return SPLIT.findall(first), rest
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self._parts(x) for x in texts]
-        self.spaced.turn()
-        self.pretokens.turn()
-        new = self.spaced.missing(set().union(*(rest for _, rest in parts)))
-        found = [SPLIT.findall(" " + x) for x in new]
-        self._learn(set().union(*found, *(own for own, _ in parts)))
-        known, part = self.spaced.young, self.pretokens.young.__getitem__
+        """In a plain text whose spaces stand alone, no pretoken reaches over a space but to begin with it, so
+        what follows a space is looked up before it is split further; ``FIRST`` marks what follows none."""
+        with uncollected():
+            simple = [is_plain(x) and FIRST not in x and not WIDE_SPACE.search(x) and not any(a in x for a in self.vocab.added) for x in texts]
+            rows = pc.split_pattern(pa.array([FIRST + x if s and x else None for x, s in zip(texts, simple, strict=True)], pa.string()), " ")
+            found = joined_ids(rows, self.spaced, self._learn_spaced, self.vocab.kind)
+            return [ids if s else self._encode_odd(x) for x, s, ids in zip(texts, simple, found, strict=True)]
+
+    def _encode_odd(self, text: str) -> np.ndarray:
+        vocab = self.vocab
+        own: list = []
+        for piece in vocab.added_split.split(text) if vocab.added_split else [text]:
+            own += [vocab.added[piece]] if piece in vocab.added else self._split(piece) if piece else []
+        distinct = list(dict.fromkeys(own))
+        ids = dict(zip(distinct, self.pretokens.look_up(distinct, self._learn), strict=True))
+        return np.frombuffer(b"".join(map(ids.__getitem__, own)), vocab.kind)
+
+    def _learn_spaced(self, new: list[str]) -> None:
+        young = self.spaced.young
+        found = [SPLIT.findall(x[1:] if x.startswith(FIRST) else " " + x) for x in new]
+        distinct = list({p for own in found for p in own})
+        ids = dict(zip(distinct, self.pretokens.look_up(distinct, self._learn), strict=True))
         for x, own in zip(new, found, strict=True):
-            known[x] = part(own[0]) if len(own) == 1 else b"".join(map(part, own))
-        return [np.frombuffer(b"".join([*map(part, own), *map(known.__getitem__, rest)]), self.vocab.kind) for own, rest in parts]
+            young[x] = ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own])
 
-    def _learn(self, pretokens: set) -> None:
+    def _learn(self, new: list) -> None:
         vocab, young = self.vocab, self.pretokens.young
         by_width: dict[int, list] = {}
-        for x in self.pretokens.missing(pretokens):
+        for x in new:
             if isinstance(x, int):
                 young[x] = np.array([x], vocab.kind).tobytes()
                 continue
@@ -296,8 +295,8 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
         coder = encoder(path)
         decimal = coder.vocab.decimal
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
                 ids = coder.encode(texts_of(batch.column("__text")))
                 counts = pa.array([len(x) for x in ids], pa.int64())
                 if digests:

@@ -19,26 +19,26 @@ many queues by hash.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stash, texts_of
-from .words import LETTERS, NUMBERS, SPACES, Recent, is_plain, loaded
+from .words import LETTERS, NUMBERS, SPACES, Recent, is_plain, joined_ids, loaded, uncollected
 
 LENGTH = 2048
 FRAME = 64
 MAX_QUEUES = 1024
 CHUNK_ROWS = 4000
 END_ID = 1
-#: Entries of the caches of words between spaces, and of their parts.
-CACHED, CACHED_PARTS = 400_000, 200_000
+#: Entries of the cache of what stands between spaces.
+CACHED = 900_000
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
@@ -66,35 +66,31 @@ class Encoder:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.symbols = dict(enumerate(byte_symbols()))
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.spaced, self.parts = Recent(CACHED), Recent(CACHED_PARTS)
+        self.spaced = Recent(CACHED)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [x.lower().split() if is_plain(x) and not any(a in x for a in self.added) else None for x in texts]
-        self.spaced.turn()
-        known = self.spaced.young
-        new = self.spaced.missing(set().union(*(own for own in split if own)))
-        if new:
-            found = [WORD.findall(x) for x in new]
-            self._learn(set().union(*found))
-            part = self.parts.young.__getitem__
-            for x, own in zip(new, found, strict=True):
-                known[x] = part(own[0]) if len(own) == 1 else b"".join(map(part, own))
-        return [
-            np.array(self.whole.encode(x, add_special_tokens=False).ids, self.kind) if own is None else np.frombuffer(b"".join(map(known.__getitem__, own)), self.kind)
-            for x, own in zip(texts, split, strict=True)
-        ]
-
-    def _learn(self, words: set[str]) -> None:
-        self.parts.turn()
-        new, young, size = self.parts.missing(words), self.parts.young, self.kind.itemsize
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            joined = " ".join([w.encode().decode("latin-1").translate(self.symbols) for w in some])
+        with uncollected():
+            plain = [is_plain(x) and not any(a in x for a in self.added) for x in texts]
+            rows = pc.utf8_split_whitespace(pa.array([x.lower() if p else None for x, p in zip(texts, plain, strict=True)], pa.string()))
+            found = joined_ids(rows, self.spaced, self._learn, self.kind)
+            return [ids if p else np.array(self.whole.encode(x, add_special_tokens=False).ids, self.kind) for x, p, ids in zip(texts, plain, found, strict=True)]
+
+    def _learn(self, new: list[str]) -> None:
+        """What stands between spaces is one word or several; both are kept in the one cache."""
+        young, size = self.spaced.young, self.kind.itemsize
+        found = [[x] if x.isalpha() else WORD.findall(x) for x in new]
+        single = list({p for own in found for p in own if len(own) == 1 or p not in young})
+        for at in range(0, len(single), 20_000):
+            some = single[at : at + 20_000]
+            joined = " ".join([w if w.isalpha() and w.isascii() else w.encode().decode("latin-1").translate(self.symbols) for w in some])
             ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
             stops = (np.flatnonzero(self.ends[ids]) + 1) * size
             data = ids.tobytes()
             for w, a, b in zip(some, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
                 young[w] = data[a:b]
+        for x, own in zip(new, found, strict=True):
+            if len(own) != 1:
+                young[x] = b"".join([young[p] for p in own])
 
 
 @lru_cache(maxsize=2)
@@ -110,8 +106,8 @@ def tokenise(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
         coder = encoder(path)
         end = np.array([END_ID], "<u4").astype(coder.kind).tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
                 ids = coder.encode(texts_of(batch.column("__text")))
                 counts = pa.array([len(x) + 1 for x in ids], pa.int64())
                 data = pa.array([x.tobytes() + end for x in ids], pa.binary())
@@ -180,26 +176,47 @@ def schedule(totals: list[int], length: int = LENGTH, frame: int = FRAME) -> lis
 
 
 class Places:
-    """Where the tokens of one queue go."""
+    """Where the tokens of one queue go: its turns in order, found from a token's place by arithmetic."""
 
     def __init__(self, rounds: list[Round], queue: int):
-        self.rounds = [r for r in rounds if r.quotas[queue]]
-        self.starts = [r.starts[queue] for r in self.rounds]
-        self.quotas = [r.quotas[queue] for r in self.rounds]
-        self.sums = [np.cumsum([0, *(t[queue] for t in r.turns)]).tolist() for r in self.rounds]
-        self.bases = [[sum(t[:queue]) for t in r.turns] for r in self.rounds]
-
-    def pieces(self, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """(tokens before, length, window, offset) of each piece of ``n`` tokens that begin at ``start``."""
-        at, end = start, start + n
-        while at < end:
-            k = bisect_right(self.starts, at) - 1
-            repeat, inside = divmod(at - self.starts[k], self.quotas[k])
-            w = bisect_right(self.sums[k], inside) - 1
-            length = min(self.sums[k][w + 1] - inside, end - at)
-            r = self.rounds[k]
-            yield at - start, length, r.window + repeat * len(r.turns) + w, self.bases[k][w] + inside - self.sums[k][w]
-            at += length
+        own = [r for r in rounds if r.quotas[queue]]
+        self.start = np.array([r.starts[queue] for r in own], np.int64)
+        self.quota = np.array([r.quotas[queue] for r in own], np.int64)
+        self.window = np.array([r.window for r in own], np.int64)
+        self.windows = np.array([len(r.turns) for r in own], np.int64)
+        # the turns with tokens of each round: place in the quota, size, window and tokens of earlier queues in it
+        turns = [[(w, t[queue], sum(t[:queue])) for w, t in enumerate(r.turns) if t[queue]] for r in own]
+        self.count = np.array([len(t) for t in turns], np.int64)
+        self.index = np.concatenate([[0], np.cumsum(self.count)]).astype(np.int64)
+        self.size = np.array([n for t in turns for _, n, _ in t], np.int64)
+        self.turn = np.array([w for t in turns for w, _, _ in t], np.int64)
+        self.base = np.array([x for t in turns for _, _, x in t], np.int64)
+        self.place = np.concatenate([np.cumsum([0, *(n for _, n, _ in t)])[:-1] for t in turns]).astype(np.int64) if turns else self.size
+        # turns before each round, its repeats counted
+        self.before = np.concatenate([[0], np.cumsum(self.count * np.array([r.repeats for r in own], np.int64))])[:-1].astype(np.int64) if own else self.start
+
+    def _turn_at(self, at: np.ndarray) -> np.ndarray:
+        """The number of the turn that holds each token."""
+        k = np.searchsorted(self.start, at, side="right") - 1
+        repeat, inside = np.divmod(at - self.start[k], self.quota[k])
+        # places grow within a round; adding a round's width apart makes one sorted list of them
+        width = int(self.quota.max()) + 1
+        keys = self.place + np.repeat(np.arange(len(self.count)), self.count) * width
+        j = np.searchsorted(keys, inside + k * width, side="right") - 1 - self.index[k]
+        return self.before[k] + repeat * self.count[k] + j
+
+    def pieces(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For stretches of ``n`` tokens from ``at``: (stretch, tokens before, length, window, offset) of each piece."""
+        first, last = self._turn_at(at), self._turn_at(at + n - 1)
+        many = last - first + 1
+        of = np.repeat(np.arange(len(at)), many)
+        turn = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(len(of))
+        k = np.searchsorted(self.before, turn, side="right") - 1
+        repeat, j = np.divmod(turn - self.before[k], self.count[k])
+        row = self.index[k] + j
+        begin = self.start[k] + repeat * self.quota[k] + self.place[row]
+        a, b = np.maximum(begin, at[of]), np.minimum(begin + self.size[row], (at + n)[of])
+        return of, a - at[of], b - a, self.window[k] + repeat * self.windows[k] + self.turn[row], self.base[row] + a - begin
 
 
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", source: str = "source", length: int = LENGTH) -> DataFrame:
@@ -218,26 +235,34 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", so
     rounds = schedule([totals[x] for x in names], length)
 
     within = Window.partitionBy("__queue", "__chunk").orderBy("__id", "n", F.xxhash64("ids")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a batch's ids are widened at once, so the arrays stay bounded by the batch
     placed = tokens.join(stash(before, "chunk-starts"), ["__queue", "__chunk"]).withColumn("__at", F.col("__before") + F.sum("n").over(within) - F.col("n"))
     out = [key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: dict[str, Places] = {}
         for batch in batches:
-            columns: list[list] = [[] for _ in out]
-            queues, starts, counts, ids = (batch.column(c).to_pylist() for c in ("__queue", "__at", "n", "ids"))
-            rows = []
-            for row, (q, at, n, data) in enumerate(zip(queues, starts, counts, ids, strict=True)):
+            if not batch.num_rows:
+                continue
+            queues = np.array(batch.column("__queue").to_pylist(), object)
+            at, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__at", "n"))
+            made = []
+            for q in dict.fromkeys(queues):
                 if q not in places:
                     places[q] = Places(rounds, names.index(q))
-                wide = np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4").tobytes()
-                for start, size, window, offset in places[q].pieces(at, n):
-                    rows.append(row)
-                    for c, x in zip(columns[1:], (start, size, wide[4 * start : 4 * (start + size)], n, window, offset), strict=True):
-                        c.append(x)
-            keys = batch.column("__id").take(pa.array(rows, pa.int32()))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))], out)
+                rows = np.flatnonzero(queues == q)
+                of, *rest = places[q].pieces(at[rows], n[rows])
+                made.append((rows[of], *rest))
+            row, start, size, window, offset = (np.concatenate(c) for c in zip(*made, strict=True))
+            order = np.argsort(row, kind="stable")
+            row, start, size, window, offset = (x[order] for x in (row, start, size, window, offset))
+            # the pieces of the rows in order are all of their ids in order
+            packed = b"".join(batch.column("ids").to_pylist())
+            wide = np.frombuffer(packed, "<u2" if len(packed) == 2 * int(n.sum()) else "<u4").astype("<u4")
+            ends = np.concatenate([[0], np.cumsum(size) * 4]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(wide)])
+            keys = batch.column("__id").take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(size), ids, pa.array(n[row]), pa.array(window), pa.array(offset)], out)
 
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
