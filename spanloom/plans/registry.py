@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import span_queries
+from spanloom.plans import span_queries, text_queries
 
-MODULES = (span_queries,)
+MODULES = (span_queries, text_queries)
 
 
 def queries() -> dict:
