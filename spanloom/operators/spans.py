@@ -35,13 +35,15 @@ def union(rows: DataFrame, keys: Sequence[str], gap_us: int = 0) -> DataFrame:
 
 def complement(rows: DataFrame, keys: Sequence[str], durations: DataFrame, duration: str = "duration_us") -> DataFrame:
     """What of ``[0, duration)`` each key's spans leave over; ``durations`` names every key, spans or none."""
-    merged = union(rows, keys)
-    before = F.lag(END, 1, 0).over(_ordered(keys))
-    inner = merged.withColumn("__from", F.greatest(before, F.lit(0))).where(F.col(START) > F.col("__from"))
-    inner = inner.select(*keys, F.col("__from").alias(START), F.col(START).alias(END))
-    ends = merged.groupBy(*keys).agg(F.max(END).alias("__last"))
-    tail = durations.join(ends, list(keys), "left").select(*keys, F.greatest(F.coalesce("__last", F.lit(0)), F.lit(0)).alias(START), F.col(duration).alias(END))
-    return inner.unionByName(tail.where(F.col(END) > F.col(START)))
+    spans = durations.select(*keys, duration).join(union(rows, keys), list(keys), "left")
+    order = Window.partitionBy(*keys).orderBy(START)
+    before = F.greatest(F.lag(END, 1, 0).over(order), F.lit(0))
+    last = F.lead(START).over(order).isNull()
+    gap = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    ahead = gap(before, F.coalesce(F.col(START), F.col(duration)))
+    behind = gap(F.greatest(F.coalesce(F.col(END), F.col(duration)), F.lit(0)), F.when(last, F.col(duration)))
+    gaps = spans.withColumn("__gaps", F.array(ahead, behind)).select(*keys, F.explode("__gaps").alias("__g"))
+    return gaps.select(*keys, F.col("__g.a").alias(START), F.col("__g.b").alias(END)).where(F.col(END) > F.col(START))
 
 
 def split_long(rows: DataFrame, most_us: int) -> DataFrame:
