@@ -195,23 +195,24 @@ def classes_and_links(docs: DataFrame, key: str = "doc_id", text: str = "text")
     members = stash(members.select("band", "rep").join(stash(most.select("band", (-F.col("top.k")).alias("pivot")), "pivots"), "band"), "pivoted")
 
     met = popular.select("rep")
-    sketches = stash(classes.select("rep", "n", *sketch).join(met, "rep", "left_semi"), "sketches")
+    sketches = stash(classes.select("rep", "n", "bands", *sketch).join(met, "rep", "left_semi"), "sketches")
     bodies = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null")
-    known = stash(bodies.join(sketches, "rep").dropDuplicates(["rep"]), "known")
+    known = stash(bodies.join(sketches.drop("bands"), "rep").dropDuplicates(["rep"]), "known")
     tried = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     starred = stash(_confirm(tried, known), "star-links")
     found = stash(components(starred), "star-components")
 
     # Buckets with classes of several components left: every pair across components that the sketches allow.
-    # Pairs with the bucket's pivot have been tried.
+    # Pairs with the bucket's pivot have been tried; a pair of several buckets counts in one of them.
     placed = members.join(found, members["rep"] == found["node"], "left").select("band", "rep", "pivot", F.coalesce("root", "rep").alias("root"))
     placed = stash(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     left = placed.where("rep <> pivot").join(stash(mixed, "mixed"), "band", "left_semi").select("band", "rep", "root")
     left = stash(left.join(sketches, "rep"), "open")
     x, y = left.alias("x"), left.alias("y")
-    crossing = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y"))
-    more = stash(_confirm(crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), known), "cross-links")
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
+    crossing = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y") & once)
+    more = stash(_confirm(crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), known), "cross-links")
     if more.isEmpty():
         return signed.select("__id", "n_shingles", "fp"), classes.select("fp", "rep"), found
     # each star component stands for its members
