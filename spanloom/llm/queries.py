@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licences, linkgraph, neardup, neighbours, packing, quality, sharding, surrogates
+from . import bpe, language, licences, linkgraph, neardup, neighbours, packing, quality, sharding, sql, surrogates
 from .shared import table
 
 
@@ -100,4 +100,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others rest on a tokenizer, a fitted model or keyed draws; tests/llm compares them with plain versions."""
+    return {
+        "op2_hash_tree": sql.shard_sql(TREE),
+        "op3_link_graph": sql.link_sql(),
+        "op5_quality_cascade": sql.quality_sql(),
+        "op7_near_duplicates": sql.neardup_sql(),
+    }
