@@ -26,8 +26,15 @@ def _islands(rows: DataFrame, keys: Sequence[str], breaks: Column) -> DataFrame:
     return runs.groupBy(*keys, "__run").agg(F.min(START).alias(START), F.max(END).alias(END)).drop("__run")
 
 
-def union(rows: DataFrame, keys: Sequence[str], gap_us: int = 0) -> DataFrame:
-    """The union of each key's spans, neighbours joined over gaps of up to ``gap_us``."""
+def union(rows: DataFrame, keys: Sequence[str], gap_us: int = 0, bucket_us: int | None = None) -> DataFrame:
+    """The union of each key's spans, neighbours joined over gaps of up to ``gap_us``.
+
+    With ``bucket_us``, the spans that start in one bucket of time are merged first, so that a key with a large
+    part of all rows is worked on in many tasks and only its merged spans meet in one.
+    """
+    if bucket_us:
+        parts = rows.select(*keys, START, END, F.floor(F.col(START) / bucket_us).alias("__bucket"))
+        rows = union(parts, [*keys, "__bucket"], gap_us)
     reached = F.max(END).over(_ordered(keys).rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.select(*keys, START, END).withColumn("__reached", reached)
     return _islands(marked, keys, F.col("__reached").isNull() | (F.col(START) - F.col("__reached") > gap_us)).select(*keys, START, END)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import time as T
-from spanloom.operators import joins, sampling, spans
+from spanloom.operators import clocks, joins, sampling, spans
 from spanloom.plans.tables import EVENTS, events, relative
 
 HOUR = 3600 * T.SECOND
@@ -18,7 +18,7 @@ merged AS (SELECT k, min(start_us) AS start_us, max(end_us) AS end_us FROM runs
 
 
 def span_union(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.union(events(spark, sf), KEYS, gap_us=T.MINUTE)
+    return spans.union(events(spark, sf), KEYS, gap_us=T.MINUTE, bucket_us=24 * HOUR)
 
 
 def span_complement(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,13 +157,52 @@ def montage_cells(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.montage(rows.select("k", "event_id", F.col("start_us").alias("at_us")), KEYS, "at_us", "event_id", 3)
 
 
-QUERIES = {f.__name__: f for f in (span_union, span_complement, span_split, timeline_partition, tumbling_count, rle_merge, coverage_fill, spacing_thin, point_in_span, unplaced_anti, overlap_semi, clip_overlap, first_overlap, asof_prev, nearest, support_count, change_points, weakest_cut, montage_cells)}
+def frame_clock(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third frame of a clock of one an hour over each key's duration."""
+    _, ends = relative(spark, sf)
+    return clocks.every(clocks.frames(ends, 1 / 3600), 3).select("k", "frame", "at_us")
+
+
+def neighbour_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of the hourly clock beside those that hold an event, holding none themselves."""
+    rows, _ = relative(spark, sf)
+    chosen = rows.select("k", F.floor(F.col("start_us") / HOUR).alias("frame")).distinct()
+    return clocks.beside(chosen, KEYS)
+
+
+def dedupe_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as frames with their number's bits as hash: a fold that has no SQL."""
+    rows, ends = relative(spark, sf)
+    frames = rows.select("k", F.col("start_us").alias("at_us"), F.array(F.xxhash64("kind").bitwiseAND(F.lit(0xFFFF))).alias("words"), (F.col("kind") == "error").alias("at_shot_boundary"))
+    return sampling.dedupe(frames, KEYS, ends, 6 * HOUR, 4)
+
+
+def sample_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Moments to sample of each key under a budget of forty: a fixpoint that has no SQL."""
+    rows, ends = relative(spark, sf)
+    cuts = rows.where("kind = 'click'").select("k", F.col("start_us").alias("at_us"), F.col("value").alias("score"))
+    return sampling.candidates(cuts, KEYS, ends, least_us=HOUR, most_us=24 * HOUR, budget=40)
+
+
+def settled_probes(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each user and kind the first of two events in a row that agree in their hour, else the first."""
+    rows = events(spark, sf)
+    probes = rows.select("k", "kind", F.col("start_us").alias("at_us"), F.array(F.floor(F.pmod(F.col("start_us"), F.lit(24 * HOUR)) / HOUR)).alias("words"), (F.col("value") < 2).alias("flat"))
+    return sampling.settled(probes, ["k", "kind"], 0)
+
+
+QUERIES = {f.__name__: f for f in (span_union, span_complement, span_split, timeline_partition, tumbling_count, rle_merge, coverage_fill, spacing_thin, point_in_span, unplaced_anti, overlap_semi, clip_overlap, first_overlap, asof_prev, nearest, support_count, change_points, weakest_cut, montage_cells, frame_clock, neighbour_frames, dedupe_frames, sample_candidates, settled_probes)}
 
 CLIP_SQL = f"""SELECT a.event_id, b.event_id AS r_event_id, greatest(a.start_us, b.start_us) AS clip_start_us, least(a.end_us, b.end_us) AS clip_end_us
 FROM ev a JOIN ev b ON a.k = b.k AND a.kind = 'click' AND b.kind = 'error' AND a.start_us < b.end_us AND b.start_us < a.end_us
 WHERE least(a.end_us, b.end_us) - greatest(a.start_us, b.start_us) >= {30 * T.SECOND}"""
 
 ORACLES = {
+    "frame_clock": f"""WITH {EVENTS}, f AS (SELECT k, duration_us, unnest(range(0, greatest((duration_us + {HOUR - 1}) // {HOUR}, 1))) AS frame FROM dur WHERE duration_us > 0) SELECT k, frame, least(frame * {HOUR}, duration_us) AS at_us FROM f WHERE frame % 3 = 0""",
+    "neighbour_frames": f"""WITH {EVENTS}, c AS (SELECT DISTINCT k, start_us // {HOUR} AS frame FROM rel), n AS (SELECT k, frame - 1 AS frame FROM c UNION SELECT k, frame + 1 FROM c) SELECT k, frame FROM n WHERE frame >= 0 AND NOT EXISTS (SELECT 1 FROM c WHERE c.k = n.k AND c.frame = n.frame)""",
+    "settled_probes": f"""WITH {EVENTS}, p AS (SELECT k, kind, start_us AS a, start_us % {24 * HOUR} // {HOUR} AS h, value < 2 AS flat FROM ev),
+l AS (SELECT *, lag(a) OVER w AS pa, lag(h) OVER w AS ph, lag(flat) OVER w AS pf FROM p WINDOW w AS (PARTITION BY k, kind ORDER BY a)),
+s AS (SELECT k, kind, coalesce(min(pa) FILTER (NOT flat AND NOT pf AND bit_count(xor(h, ph)) = 0), min(a) FILTER (NOT flat)) AS at_us FROM l GROUP BY k, kind) SELECT k, kind, at_us FROM s WHERE at_us IS NOT NULL""",
     "span_union": f"WITH {EVENTS}, {UNION_SQL.format(src='ev', gap=T.MINUTE)} SELECT k, start_us, end_us FROM merged",
     "span_complement": f"""WITH {EVENTS}, {UNION_SQL.format(src='rel', gap=0)},
 gaps AS (SELECT k, greatest(0, lag(end_us, 1, 0::BIGINT) OVER (PARTITION BY k ORDER BY start_us)) AS start_us, start_us AS end_us FROM merged
