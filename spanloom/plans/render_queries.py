@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import time as T
-from spanloom.operators import render, tracking
+from spanloom.operators import reading, render, tracking
 from spanloom.plans.tables import EVENTS, events, read
 from spanloom.sources import files
 
@@ -54,7 +54,20 @@ def track_entities(spark: SparkSession, sf: str) -> DataFrame:
     return tracking.track_cues(lines, ["conv_id"])
 
 
-QUERIES = {f.__name__: f for f in (vtt_parse, json3_parse, audio_lines, text_lines, track_entities)}
+def visible_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as runs of text in three slots of the frame, each moment owned once; the sweep has no SQL."""
+    top = F.pmod("event_id", F.lit(3)) * 0.3
+    rows = events(spark, sf).select("k", "start_us", "end_us", F.col("kind").alias("text"), top.alias("top"), (top + 0.1).alias("bottom"), F.lit(0.1).alias("left"), F.lit(0.9).alias("right"))
+    return tracking.owned(rows, ["k"])
+
+
+def read_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Which events of each user to read, had each a signature of its kind: a fold that has no SQL."""
+    rows = events(spark, sf).select("k", F.col("start_us").alias("at_us"), F.array(F.length("kind"), F.floor(F.col("value") / 10).cast("int")).alias("signature"), (F.col("event_id") % 50 == 0).alias("required"))
+    return reading.reads(rows, ["k"], refresh_s=86400.0, check_s=3600.0)
+
+
+QUERIES = {f.__name__: f for f in (vtt_parse, json3_parse, audio_lines, text_lines, track_entities, visible_regions, read_plan)}
 
 TURNS = r"t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '<[^>]{0,40}>', '', 'g'), '\s+', ' ', 'g')) AS text FROM conversations)"
 ORACLES = {
