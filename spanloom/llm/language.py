@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from .shared import stash, texts_of
+from .shared import drawn, stash, texts_of
 
 SLOTS = 1 << 16
 BLOCK = 4 << 20
@@ -63,15 +63,11 @@ def _bytes(text: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text: str, declared: str, settings: Settings = Settings()) -> Profiles:
-    """Trigram profiles of the declared languages, from at most ``sample_rows`` rows of ``sample_chars`` characters.
-
-    The rows are those whose text and declaration hash lowest, so every part of the table can give some.
-    """
+    """Trigram profiles of the declared languages, from at most ``sample_rows`` rows of ``sample_chars`` characters."""
     rows = (
-        docs.where(F.col(declared).isNotNull() & (F.length(F.trim(F.col(text))) > 0))
-        .select(F.substring(text, 1, settings.sample_chars).alias("t"), F.lower(declared).alias("l"), F.xxhash64(text, declared).alias("h"))
-        .orderBy("h", "t", "l")
-        .limit(settings.sample_rows)
+        drawn(docs, settings.sample_rows)
+        .where(F.col(declared).isNotNull() & (F.length(F.trim(F.col(text))) > 0))
+        .select(F.substring(text, 1, settings.sample_chars).alias("t"), F.lower(declared).alias("l"))
         .collect()
     )
     languages = tuple(sorted({r.l for r in rows})) or ("und",)

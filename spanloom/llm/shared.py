@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,3 +46,15 @@ def texts_of(column: pa.Array) -> list[str]:
 def rows_for(spark: SparkSession, rows: int, each: int) -> int:
     """Partitions so that each holds about ``each`` of ``rows`` rows; never under the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each), 1)
+
+
+def drawn(df: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``df`` for fitting, drawn by a hash of their columns from all parts of the table.
+
+    Rows are first thinned to about twice as many, so that what reaches the driver does not grow with the
+    number of tasks.
+    """
+    range_ = 1 << 40
+    share = min(1.0, 2.0 * rows / max(df.count(), 1))
+    h = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(range_))
+    return df.withColumn("__drawn", h).where(F.col("__drawn") < int(share * range_)).orderBy("__drawn").limit(rows).drop("__drawn")
