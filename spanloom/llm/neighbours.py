@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import drawn, stash
 
 
 @dataclass(frozen=True)
@@ -100,8 +100,8 @@ def _nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, rows: int, bound: float, settings: Settings = Settings(), k: int = 20) -> Index:
-    """An index from the ``sample_rows`` vectors (``id``, ``ids``, ``v``) whose ids hash lowest."""
-    found = vectors.select("v", "ids", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(settings.sample_rows).collect()
+    """An index from at most ``sample_rows`` of the distinct vectors (``ids``, ``v``)."""
+    found = drawn(vectors.select("ids", "v"), settings.sample_rows).collect()
     sample = np.array([r.v for r in found], np.float64).reshape(len(found), -1)
     ids = [list(r.ids) for r in found]
     rng = np.random.default_rng(settings.seed)
