@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts_of
+from .shared import drawn, texts_of
 
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 32, 20
 NONE, UNKNOWN = "none", "unknown"
 
 # Customary wordings of notices by family.
@@ -203,7 +203,7 @@ def _varied(template: str, rng: np.random.Generator, filler: list[str]) -> list[
     """A template's words with some dropped, and others of the table around them."""
     words = words_of(template)
     kept = [w for w in words if len(words) < 4 or rng.random() > 0.08]
-    before, after = (rng.integers(0, 9) * (rng.random() < 0.5) for _ in range(2))
+    before, after = (rng.integers(0, 13) * (rng.random() < 0.6) for _ in range(2))
     pick = lambda n: [filler[i] for i in rng.integers(0, len(filler), n)] if filler else []
     return pick(int(before)) + (kept or words) + pick(int(after))
 
@@ -229,7 +229,7 @@ def _examples(paragraphs: list[list[str]], settings: Settings) -> tuple[list[lis
 
 def train(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> Model:
     """A model for a table, from the templates and a bounded sample of its paragraphs."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.substring(text, 1, settings.sample_chars).alias("t"), F.xxhash64(text).alias("h")).orderBy("h", "t").limit(settings.sample_rows).collect()
+    rows = drawn(docs, settings.sample_rows).select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, settings.sample_chars).alias("t")).collect()
     templates = {family: [frozenset(zip(w, w[1:], strict=False)) for w in map(words_of, own)] for family, own in TEMPLATES.items() if family != UNKNOWN}
     every = [t for own in templates.values() for t in own]
     paragraphs: list[list[str]] = []
