@@ -1,7 +1,7 @@
 """Replace personal data by keyed surrogates of the same type and format.
 
-``detect`` finds e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, access keys,
-assigned secrets, and names that follow a form of address. A surrogate is drawn from a keyed digest of the
+``detect`` finds e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, bank account and
+social security numbers, access keys, assigned secrets, and names that follow a form of address. A surrogate is drawn from a keyed digest of the
 entity's type and normal form, so one entity has one surrogate in every document and run (coreference), and
 keeps the format: digits for digits, letters for letters of the same case and script, the same separators,
 a valid check digit where there was one, and for names the gender that the form of address or the ending
@@ -49,15 +49,17 @@ ENDINGS = {
 }
 
 #: Only lines that match this are looked at more closely; no entity reaches over a line's end.
-_HINT = re.compile(r"[0-9@=:]|AKIA|ASIA|\b(?:" + "|".join(map(re.escape, TITLES)) + r")\b")
+_HINT = re.compile(r"[0-9@=:]|AKIA|ASIA|(?:gh[pos]|xox[bp]|sk|pk)[_-]|\b(?:" + "|".join(map(re.escape, TITLES)) + r")\b")
 
 # Earlier alternatives win at one place, so assigned secrets come before the shapes they may contain.
 _ENTITY = regex.compile(
     r"""
     (?P<secret>(?i:\b(?:password|passwd|pwd|secret|token|api_?key|secret_?key|access_?key))["']?[ \t]*[=:][ \t]*["']?(?P<value>[^\s"',;]{6,}))
-  | (?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)
+  | (?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:ghp|gho|ghs|xoxb|xoxp|sk|pk)[_-][A-Za-z0-9_-]{16,})
   | (?P<email>[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,})
   | (?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))
+  | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
+  | (?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
   | (?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]|-\d))
   | (?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]))
   | (?P<hex>(?<![0-9A-Za-z])(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z]))
@@ -76,6 +78,11 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def _mod97(account: str) -> int:
+    """Remainder of an account number, its letters read as 10 to 35."""
+    return int("".join(str(int(c, 36)) for c in account)) % 97
+
+
 def script_of(text: str) -> str:
     if regex.search(r"\p{Cyrillic}", text):
         return "cyrillic"
@@ -111,9 +118,12 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield *m.span("who"), "name", f"{script_of(who)}:{gender_of(m['title'], who)}:{who.lower()}"
         elif kind == "email":
             yield *m.span(), kind, m[0].lower()
-        elif kind in ("card", "phone"):
-            digits = regex.sub(r"\D", "", m[0])
-            yield *m.span(), kind, digits
+        elif kind in ("card", "phone", "ssn"):
+            yield *m.span(), kind, regex.sub(r"\D", "", m[0])
+        elif kind == "iban":
+            account = m[0].replace(" ", "")
+            if _mod97(account[4:] + account[:4]) == 1:
+                yield *m.span(), kind, account
         else:
             yield *m.span(), kind, m[0]
 
@@ -167,8 +177,13 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
         # the country code stays; the rest is drawn
         stay = max(0, len(normal) - 10)
         return normal[:stay] + "".join(str(draws.below(10)) for _ in normal[stay:])
-    if kind == "key":
+    if kind == "key" and normal.isupper():
         return normal[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draws.below(32)] for _ in normal[4:])
+    if kind == "key":
+        return normal[:4] + _same_shape(normal[4:], draws)
+    if kind == "iban":
+        body = _same_shape(normal[4:], draws)
+        return f"{normal[:2]}{98 - _mod97(body + normal[:2] + '00'):02d}{body}"
     if kind == "name":
         script, gender, who = normal.split(":", 2)
         words = []
@@ -181,9 +196,9 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
 
 def rendered(kind: str, found: str, normal: str) -> str:
     """A surrogate's normal form in the format of the occurrence it replaces."""
-    if kind in ("card", "phone"):
-        digits = iter(normal)
-        return "".join(next(digits) if c.isdigit() else c for c in found)
+    if kind in ("card", "phone", "ssn", "iban"):
+        signs = iter(normal)
+        return "".join(next(signs) if c.isalnum() else c for c in found)
     if kind == "name":
         words = normal.split(":", 2)[2].split()
         return " ".join(w.upper() if f.isupper() and len(f) > 1 else w.capitalize() for w, f in zip(words, regex.split(r"[ ]", found), strict=False))

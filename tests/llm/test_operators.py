@@ -209,6 +209,14 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert found[3].text is None and found[4].text == "" and found[3].n == 0
 
 
+@pytest.mark.parametrize("text,kind", [("id 078-05-1120.", "ssn"), ("IBAN DE89 3704 0044 0532 0130 00 here", "iban"), ("GB82WEST12345698765432", "iban"), ("ghp_abcdEFGH1234ijklMNOP5678qrst", "key"), ("sk-abcdEFGH1234ijklMNOP", "key")])
+def test_numbers_of_accounts_and_persons(text, kind):
+    (start, end, found, _), *_ = surrogates.entities(text)
+    made, n = surrogates.replaced(text, b"k", {})
+    assert found == kind and n == 1 and made != text and len(made) == len(text)
+    assert [k for _, _, k, _ in surrogates.entities(made)] == [kind]
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "surrogate", lambda key, kind, normal, attempt=0: f"{hash((normal, attempt)) % 40}.0.0.1")
     found = spark.createDataFrame([("ip", f"9.9.9.{i}") for i in range(12)] + [("ip", "5.0.0.1")], "kind string, normal string")
