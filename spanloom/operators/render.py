@@ -44,8 +44,8 @@ def text_lines(cues: DataFrame, keys: Sequence[str]) -> DataFrame:
     runs = apart.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy(*keys, "__g", "__run", "__where").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
     listed = spans.groupBy(*keys, "__g").agg(F.array_sort(F.collect_list(F.struct("start_us", "end_us", "__where"))).alias("__s"), F.size(F.collect_set("__where")).alias("__places"), F.min("start_us").alias("start_us"))
-    # of several spellings the longest, of equals the one with the fewest separators
-    best = F.max_by("text", F.struct(F.length("text"), -F.size(F.split("text", " / ")), "text")).alias("__text")
+    # of several spellings the longest, of equals the one with the fewest separators, then the earliest
+    best = F.max_by("text", F.struct(F.length(F.replace(F.col("text"), F.lit(" / "), F.lit(" "))), -F.size(F.split("text", " / ")), -F.col("start_us"), "text")).alias("__text")
     shown = listed.join(rows.groupBy(*keys, "__g").agg(best), [*keys, "__g"])
     span = lambda s: F.concat(F.floor(s["start_us"] / T.SECOND).cast("string"), F.lit("-"), F.ceil(s["end_us"] / T.SECOND).cast("string"))
     one = F.concat(F.array_join(F.transform("__s", span), "; "), F.lit(", "), F.col("__s")[0]["__where"])

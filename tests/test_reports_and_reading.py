@@ -96,17 +96,18 @@ def test_change_and_required_moments_are_read():
 
 
 def test_slots_that_change():
-    a, b = Line("First text", 0.9, 0.9, 0.95, 0.3, 0.7), Line("Last text", 0.9, 0.9, 0.95, 0.32, 0.7)
+    a, b = Line("First text", 0.97, 0.9, 0.95, 0.3, 0.7), Line("NEXT STEP", 0.9, 0.9, 0.95, 0.32, 0.7)
     far = Line("elsewhere", 0.9, 0.1, 0.15, 0.3, 0.7)
     found = reading.changing_slots([(0.0, a), (2.0, b), (2.0, far), (9.0, a)])
-    assert [(x[0], x[1], x[3].text) for x in found] == [(0.0, 2.0, "Last text")]
+    assert [(x[0], x[1], x[3].text) for x in found] == [(0.0, 2.0, "NEXT STEP")]
+    assert reading.in_changing_slot(1.0, a, found) and not reading.in_changing_slot(1.0, far, found)
 
 
 def test_rescan_follows_the_last_look():
-    looks = [(0.0, 0), (0.25, (1 << 64) - 1), (0.5, (1 << 64) - 1), (1.0, (1 << 64) - 1), (2.0, 0)]
-    assert reading.to_rescan(looks, base=[0.0]) == [0.5, 2.0]
+    looks = [(0.0, 0), (0.25, (1 << 64) - 1), (0.5, 0), (1.0, 0), (2.0, 0), (2.25, 1)]
+    assert reading.to_rescan(looks, base=[2.0]) == [0.25, 1.0]
 
 
 def test_overlapping_boxes_become_one():
-    assert reading.merged_boxes([(0, 0, 2, 2), (5, 5, 6, 6), (1, 1, 4, 4), (3, 3, 5.5, 5.5)]) == [(0, 0, 6, 6)]
-    assert len(reading.merged_boxes([(0, 0, 1, 1), (2, 2, 3, 3)])) == 2
+    assert reading.merged_boxes([(0, 0, 4, 1), (1, 0, 6, 1), (9, 0, 12, 1), (1, 0.2, 2, 0.4)]) == [(0, 0, 6, 1), (9, 0, 12, 1)]
+    assert len(reading.merged_boxes([(0, 0, 4, 1), (0, 0.9, 4, 2)])) == 2

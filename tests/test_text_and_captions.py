@@ -145,7 +145,7 @@ def test_lines_of_an_index(spark):
 def test_recurring_text_is_one_line(spark):
     rows = [("v", 0, 2 * S, "Readable text"), ("v", 2 * S, 3 * S, "Readable / text"), ("v", 9 * S, 9 * S + 1, "readable text")]
     df = spark.createDataFrame([(*r, "bottom center", "medium") for r in rows], "k string, start_us long, end_us long, text string, position string, size string")
-    assert [r.line for r in render.text_lines(df, ["k"]).collect()] == ["[0-3; 9-10, bottom center, medium] Readable / text"]
+    assert [r.line for r in render.text_lines(df, ["k"]).collect()] == ["[0-3; 9-10, bottom center, medium] Readable text"]
 
 
 def test_nearest_prefers_the_earlier(spark):
