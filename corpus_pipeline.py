@@ -13,28 +13,41 @@ from spanloom.llm.queries import QUERY_KEY, packed_digest, tokenizer
 from spanloom.llm.shared import stash, table
 
 
+#: Rows of an Arrow batch: documents are long, and a batch is held by the executor and by its Python worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects, the rules ordered by what they reject for their cost."""
+    small_batches(spark)
     return quality.judge(docs, quality.plan(docs))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain enough, ``lang`` set to it."""
+    small_batches(spark)
     return language.keep_identified(docs, declared="lang", host="source", write_to="lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of least id."""
+    small_batches(spark)
     return neardup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by surrogates."""
+    small_batches(spark)
     return surrogates.pseudonymise(docs, QUERY_KEY)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of mixed sources."""
+    small_batches(spark)
     return packed_digest(packing.pack(docs, tokenizer("word_bpe_49k.json")))
 
 

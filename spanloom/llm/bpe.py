@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts_of
+from .shared import sliced, texts_of
 from .words import LETTERS, NUMBERS, SPACES, Recent, is_plain, joined_ids, loaded, uncollected
 
 #: The byte-level scheme's split, for plain texts.
@@ -294,18 +294,16 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         decimal = coder.vocab.decimal
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                ids = coder.encode(texts_of(batch.column("__text")))
-                counts = pa.array([len(x) for x in ids], pa.int64())
-                if digests:
-                    first = pa.array([hashlib.sha256(",".join(map(decimal.__getitem__, x.tolist())).encode()).hexdigest() for x in ids], pa.string())
-                    second = pa.array([hashlib.sha256(coder.decode(x).encode("utf-8")).hexdigest() for x in ids], pa.string())
-                else:
-                    first = pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
-                    second = pa.array([coder.decode(x) for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(key), counts, first, second], names)
+        for batch in sliced(batches, 2000):
+            ids = coder.encode(texts_of(batch.column("__text")))
+            counts = pa.array([len(x) for x in ids], pa.int64())
+            if digests:
+                first = pa.array([hashlib.sha256(",".join(map(decimal.__getitem__, x.tolist())).encode()).hexdigest() for x in ids], pa.string())
+                second = pa.array([hashlib.sha256(coder.decode(x).encode("utf-8")).hexdigest() for x in ids], pa.string())
+            else:
+                first = pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
+                second = pa.array([coder.decode(x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(key), counts, first, second], names)
 
     kind = dict(source.dtypes)[key]
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"

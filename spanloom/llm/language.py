@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from .shared import drawn, stash, texts_of
+from .shared import drawn, sliced, stash, texts_of
 
 SLOTS = 1 << 16
 BLOCK = 4 << 20
@@ -112,7 +112,7 @@ def log_likelihoods(docs: DataFrame, text: str, profiles: Profiles, settings: Se
     names = [n for n in source.columns if keep is None or n in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = texts_of(batch.column(text))
             scores = _batch_scores(texts, weights) * temper
             scores[[not x.strip() for x in texts]] = 0

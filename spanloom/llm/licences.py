@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drawn, texts_of
+from .shared import drawn, sliced, texts_of
 
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 WINDOW, STRIDE = 32, 20
@@ -296,7 +296,7 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     names = [key, "paragraph", "family", "probability", "similarity", "confirmed", "notice"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows, found = [], []
             for row, body in enumerate(texts_of(batch.column("__text"))):
                 for i, line in enumerate(body.split("\n")):

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stash, texts_of
+from .shared import sliced, stash, texts_of
 
 SHINGLE = 5
 LINK_PERCENT = 75
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     names = ["__id", "n_shingles", "fp", "bands", *(f"s{i}" for i in range(SKETCH_WORDS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts, prints, bands, sketches = [], [], [], []
             for text in texts_of(batch.column("__text")):
                 items = shingles(text)
@@ -164,7 +164,7 @@ def _confirm(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             linked = []
             for a, b, s, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if len(sets) > 256:

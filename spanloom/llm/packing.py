@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stash, texts_of
+from .shared import sliced, stash, texts_of
 from .words import LETTERS, NUMBERS, SPACES, Recent, is_plain, joined_ids, loaded, uncollected
 
 LENGTH = 2048
@@ -38,7 +38,7 @@ MAX_QUEUES = 1024
 CHUNK_ROWS = 4000
 END_ID = 1
 #: Entries of the cache of what stands between spaces.
-CACHED = 900_000
+CACHED = 300_000
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
@@ -105,13 +105,11 @@ def tokenise(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         end = np.array([END_ID], "<u4").astype(coder.kind).tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                ids = coder.encode(texts_of(batch.column("__text")))
-                counts = pa.array([len(x) + 1 for x in ids], pa.int64())
-                data = pa.array([x.tobytes() + end for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__source"), counts, data], ["__id", "__source", "n", "ids"])
+        for batch in sliced(batches, 1000):
+            ids = coder.encode(texts_of(batch.column("__text")))
+            counts = pa.array([len(x) + 1 for x in ids], pa.int64())
+            data = pa.array([x.tobytes() + end for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__source"), counts, data], ["__id", "__source", "n", "ids"])
 
     return rows.mapInArrow(run, f"__id {dict(rows.dtypes)['__id']}, __source string, n long, ids binary")
 

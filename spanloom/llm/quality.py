@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import sliced
+
 # Fixed values of the contract.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -125,7 +127,7 @@ def plan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, s
 
 def _batches(names: list[str], make: Callable[[str | None], tuple], text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [make(x) for x in batch.column(text).to_pylist()]
             columns = [pa.array(c) for c in zip(*made, strict=True)] if made else [pa.array([], pa.bool_() if n in ("base_failed", "kept") else pa.int64()) for n in names]
             rest = [n for n in batch.schema.names if n != text]
@@ -159,7 +161,7 @@ def judge(docs: DataFrame, order: tuple[Rule, ...], text: str = "text") -> DataF
     """The rows of ``docs`` whose text no rule rejects, with their columns as they were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             kept = [not any(r.rejects(t) for r in order) for t in map(Text, batch.column(text).to_pylist())]
             yield batch.filter(pa.array(kept, pa.bool_()))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,9 +44,11 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def rows_for(spark: SparkSession, rows: int, each: int) -> int:
-    """Partitions so that each holds about ``each`` of ``rows`` rows; never under the session's shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each), 1)
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a worker holds few texts as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
 
 
 def drawn(df: DataFrame, rows: int) -> DataFrame:

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash, texts_of
+from .shared import sliced, stash, texts_of
 
 # Forms of address and the gender they tell ("" for none).
 TITLES = {
@@ -209,7 +209,7 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """(``kind``, ``normal``) for each entity of each batch of texts; repeats within a batch are merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = sorted({(kind, normal) for x in texts_of(batch.column(0)) for _, _, kind, normal in entities(x)})
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([n for _, n in found], pa.string())], ["kind", "normal"])
 
@@ -218,7 +218,7 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             kinds, normals, attempts = (batch.column(i).to_pylist() for i in range(3))
             made = [surrogate(key, *x) for x in zip(kinds, normals, attempts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "normal", "attempt", "made"])
@@ -288,7 +288,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", count: str | N
         source = _with_redrawn(docs, redrawn, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = batch.column(extra).to_pylist() if extra else None
             made = [
                 replaced(x, key, attempts if own is None else {(e["kind"], e["normal"]): e["attempt"] for e in own[i] or ()})
@@ -304,7 +304,7 @@ def _with_redrawn(docs: DataFrame, redrawn: DataFrame, text: str) -> DataFrame:
     """``docs`` with ``__redrawn``: the redrawn entities of each text, found by its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(d, k, n) for x, d in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True) for k, n in {(k, n) for _, _, k, n in entities(x)}]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["__digest", "kind", "normal"])
 
