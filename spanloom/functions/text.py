@@ -11,6 +11,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -125,6 +126,13 @@ def ratio_of(a: str, b: str, autojunk: bool) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk).ratio()
 
 
+def reaches(a: str, b: str, least: float) -> bool:
+    """Whether the similarity is at least ``least``; its cheap upper bounds are asked first."""
+    m = difflib.SequenceMatcher(None, a, b, False)
+    return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+
+@lru_cache(maxsize=8192)
 def same_text_of(a: str, b: str, least: float) -> bool:
     """Whether two readings are of one text: equal numbers, and equal or alike keys of four characters or more."""
     if numbers_of(a) != numbers_of(b):
@@ -134,10 +142,10 @@ def same_text_of(a: str, b: str, least: float) -> bool:
         return True
     if min(len(x), len(y)) < 4:
         return False
-    if ratio_of(x, y, False) >= least:
+    if reaches(x, y, least):
         return True
     # Syllable blocks that differ in one letter are close only when taken apart.
-    return ratio_of(unicodedata.normalize("NFD", x), unicodedata.normalize("NFD", y), False) >= max(0.85, least)
+    return reaches(unicodedata.normalize("NFD", x), unicodedata.normalize("NFD", y), max(0.85, least))
 
 
 def _mapped(x: Column, change: Callable[[str], str]) -> Column:
