@@ -3,7 +3,7 @@
 The posterior of a language given a row is the product of a text likelihood, the declared markup language,
 the address suffix and the host's prior, normalised:
 
-* text: hashed byte-trigram multinomials, fitted on a bounded sample of rows with a declared language and
+* text: hashed byte-trigram multinomials, fitted on a bounded sample of the rows of each declared language and
   applied to whole texts; the log-likelihood ratio is tempered, as neighbouring trigrams are not independent;
 * declaration and address: a symmetric confusion, right with a fixed probability;
 * host: counts of the text's own best language by host, its parent domain, and all rows, each level smoothed
@@ -22,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from .shared import drawn, sliced, stash, texts_of
+from .shared import sliced, stash, texts_of
 
 SLOTS = 1 << 16
 BLOCK = 4 << 20
@@ -62,20 +62,35 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer((" " + text.lower() + " ").encode(), np.uint8)
 
 
+def _drawn_by_language(labelled: DataFrame, settings: Settings) -> DataFrame:
+    """``l`` and ``t`` of at most an equal part of ``sample_rows`` distinct rows of each language, 20 at least.
+
+    Rows are drawn by a hash of their columns. Those of each language are first thinned to about twice as many,
+    the one of least hash always among them, so that none is without a row and few are shuffled.
+    """
+    range_ = 1 << 40
+    hashed = labelled.withColumn("__h", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in labelled.columns)), F.lit(range_)))
+    sizes = stash(hashed.groupBy("l").agg(F.approx_count_distinct("__h").alias("n"), F.min("__h").alias("least")), "language-sizes")
+    each = max(20, -(-settings.sample_rows // max(sizes.count(), 1)))
+    bounds = sizes.select(F.col("l").alias("__l"), F.greatest("least", (F.least(F.lit(1.0), 2.0 * each / F.col("n")) * range_).cast("long")).alias("__most"))
+    thinned = hashed.join(bounds, F.col("l") == F.col("__l")).where("__h <= __most").groupBy("l", "__h").agg(F.min(F.substring("t", 1, settings.sample_chars)).alias("t"))
+    return thinned.withColumn("__i", F.row_number().over(Window.partitionBy("l").orderBy("__h"))).where(F.col("__i") <= each).select("l", "t")
+
+
 def fit(docs: DataFrame, text: str, declared: str, settings: Settings = Settings()) -> Profiles:
-    """Trigram profiles of the declared languages, from at most ``sample_rows`` rows of ``sample_chars`` characters."""
-    rows = (
-        drawn(docs, settings.sample_rows)
-        .where(F.col(declared).isNotNull() & (F.length(F.trim(F.col(text))) > 0))
-        .select(F.substring(text, 1, settings.sample_chars).alias("t"), F.lower(declared).alias("l"))
-        .collect()
-    )
-    languages = tuple(sorted({r.l for r in rows})) or ("und",)
-    counts = np.full((SLOTS, len(languages)), 0.05)
-    for r in rows:
-        data = _bytes(r.t)
-        counts[:, languages.index(r.l)] += np.bincount(_slots(data), minlength=SLOTS)
-    return Profiles(languages, np.log(counts / counts.sum(0)).astype(np.float32))
+    """Trigram profiles of all languages that rows with text declare, each from rows of its own."""
+    labelled = docs.where(F.col(declared).isNotNull() & (F.length(F.trim(F.col(text))) > 0)).withColumns({"t": F.col(text), "l": F.lower(declared)})
+    texts: dict[str, list[str]] = {}
+    for r in _drawn_by_language(labelled, settings).collect():
+        texts.setdefault(r.l, []).append(r.t)
+    languages = tuple(sorted(texts)) or ("und",)
+    weights = np.empty((SLOTS, len(languages)), np.float32)
+    for i, language in enumerate(languages):
+        counts = np.full(SLOTS, 0.05)
+        for t in texts.get(language, ()):
+            counts += np.bincount(_slots(_bytes(t)), minlength=SLOTS)
+        weights[:, i] = np.log(counts / counts.sum())
+    return Profiles(languages, weights)
 
 
 def _batch_scores(texts: list[str], weights: np.ndarray) -> np.ndarray:

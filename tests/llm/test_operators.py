@@ -89,6 +89,20 @@ def test_language_of_held_out_rows(spark, docs):
     assert sum(r.lang == r.language for r in found) >= 0.97 * len(found)
 
 
+def test_a_rare_declared_language_has_a_profile(spark):
+    body = F.when(F.col("id") == 77, "der Hund und die Katze").when(F.col("id") % 100 == 0, F.concat(F.lit("the dog and the cat "), "id")).otherwise(F.concat(F.lit("nothing is declared "), "id"))
+    declared = F.when(F.col("id") == 77, "DE").when(F.col("id") % 100 == 0, "en")
+    same = spark.range(30_000).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("le chien et le chat").alias("text"), F.lit("fr").alias("lang"), F.lit("c.x.org").alias("source"))
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), body.alias("text"), declared.alias("lang"), F.lit("a.x.org").alias("source")).unionByName(same)
+    drawn = {}
+    for r in language._drawn_by_language(df.where("lang is not null").withColumns({"t": F.col("text"), "l": F.lower("lang")}), language.Settings()).collect():
+        drawn.setdefault(r.l, []).append(r.t)
+    assert {k: len(v) for k, v in drawn.items()} == {"de": 1, "en": 300, "fr": 1}
+    profiles = language.fit(df, "text", "lang")
+    found = {r.doc_id: r.language for r in language.identify(df.where("doc_id in (-1, 77, 100)").distinct(), host=None, profiles=profiles).collect()}
+    assert profiles.languages == ("de", "en", "fr") and found == {-1: "fr", 77: "de", 100: "en"}
+
+
 def test_other_evidence_decides_an_empty_text(spark):
     rows = [(i, "the cat and the dog", "en", "a.x.org") for i in range(30)] + [(i, "le chat et le chien", "fr", "b.x.org") for i in range(30, 60)]
     rows += [(100, "", None, "b.x.org"), (101, "", "en", None), (102, None, None, None)]
