@@ -8,7 +8,8 @@ the paragraph with the family's templates; a notice that is too uncertain or tha
 the class ``unknown``.
 
 Paragraphs are lines; those of more than ``WINDOW`` words are read in overlapping windows, so whole texts are
-read however long their lines are, and the best window counts.
+read however long their lines are, and every window counts: a line has a row for each of its notices, those of
+one family that are closer than a window being one.
 
 Defined results: null and empty texts have no notices; a notice that occurs in several paragraphs or rows is
 reported for each; an empty table gives an empty result, and the classifier then has no negative examples
@@ -30,6 +31,8 @@ from .shared import drawn, sliced, texts_of
 
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 WINDOW, STRIDE = 32, 20
+#: Words of the shortest template.
+SHORTEST = 4
 NONE, UNKNOWN = "none", "unknown"
 
 # Customary wordings of notices by family.
@@ -179,24 +182,100 @@ class Model:
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def judge(self, paragraph: str) -> tuple[str, float, float, bool] | None:
-        """Class, probability, similarity to the best template and whether that confirms it; None without a notice."""
+    def _predicted(self, words: list[str]) -> tuple[str, float]:
+        p = self.probabilities(words)
+        top = int(p.argmax())
+        return self.classes[top], float(p[top])
+
+    def _confirmed(self, window: list[str], family: str, p: float) -> list[tuple[float, float, str, int, int]]:
+        """Similarity, probability, family and stretch of each confirmed notice of a window that isn't ``none``.
+
+        The window's own family is confirmed by the whole window. Any other family needs a stretch that is like
+        one of its templates and is classified as that family by itself.
+        """
+        pairs = list(zip(window, window[1:], strict=False))
+        held = set(pairs)
+        found = []
+        for other, own in self.templates.items():
+            similarity, t = max(((len(held & t) / len(t), t) for t in own), key=lambda x: x[0], default=(0.0, frozenset()))
+            if similarity < self.least_similarity:
+                continue
+            if other == family and p >= self.least:
+                a, b, _ = _stretch(pairs, t)
+                found.append((similarity, p, family, a, b))
+                continue
+            for a, b, alike in (_stretch(pairs, t) for t in own):
+                if alike >= self.least_similarity:
+                    kind, q = self._predicted(window[a:b])
+                    if kind == other and q >= self.least:
+                        found.append((alike, q, other, a, b))
+        return found
+
+    def notices(self, paragraph: str) -> list[tuple[str, float, float, bool]]:
+        """Class, probability, similarity to the best template and whether that confirms it, for each notice in order.
+
+        Accounts of the same words are one notice, and so are those of one family that are closer than a window.
+        What a confirmed notice leaves of a window is judged by itself.
+        """
         words = words_of(paragraph)
-        best = None
-        none = self.classes.index(NONE)
+        windows, found = [], []
         for at in range(0, max(1, len(words) - (WINDOW - STRIDE)), STRIDE):
             window = words[at : at + WINDOW]
-            p = self.probabilities(window)
-            top = int(p.argmax())
-            if top != none and (best is None or p[top] > best[1]):
-                best = (self.classes[top], float(p[top]), window)
-        if best is None:
-            return None
-        family, p, window = best
-        pairs = {*zip(window, window[1:], strict=False)}
-        similarity = max((len(pairs & t) / len(t) for t in self.templates.get(family, ())), default=0.0)
-        confirmed = family != UNKNOWN and p >= self.least and similarity >= self.least_similarity
-        return (family if confirmed else UNKNOWN), p, similarity, confirmed
+            family, p = self._predicted(window)
+            if family != NONE:
+                windows.append((at, at + len(window), family, p))
+                found += [(s, q, f, at + a, at + b) for s, q, f, a, b in self._confirmed(window, family, p)]
+        taken: list[tuple[float, float, str, int, int]] = []
+        for x in sorted(found, key=lambda x: (-x[0], -x[1], x[3])):
+            if not any(x[3] < t[4] and t[3] < x[4] for t in taken):
+                taken.append(x)
+        out = _merged(taken)
+        rest = []
+        for begin, end, family, p in windows:
+            cuts = sorted((max(t[3], begin), min(t[4], end)) for t in taken if t[3] < end and begin < t[4])
+            parts = zip([begin, *(b for _, b in cuts)], [*(a for a, _ in cuts), end], strict=True)
+            for a, b in parts if cuts else ((begin, end),):
+                # no notice is of fewer words than the shortest template
+                if cuts and b - a < SHORTEST:
+                    continue
+                kind, q = self._predicted(words[a:b]) if cuts else (family, p)
+                if kind != NONE and not any(t[2] == kind and a - t[4] < WINDOW and t[3] - b < WINDOW for t in taken):
+                    pairs = {*zip(words[a:b], words[a + 1 : b], strict=False)}
+                    rest.append((max((len(pairs & t) / len(t) for t in self.templates.get(kind, ())), default=0.0), q, UNKNOWN, a, b))
+        out += _merged(sorted(rest, key=lambda x: (-x[1], x[3])))
+        return [(f, p, s, f != UNKNOWN) for s, p, f, _, _ in sorted(out, key=lambda x: (x[3], x[2]))]
+
+    def judge(self, paragraph: str) -> tuple[str, float, float, bool] | None:
+        """The surest of a paragraph's notices, a confirmed one if there is any; None without a notice."""
+        return max(self.notices(paragraph), key=lambda x: (x[3], x[1]), default=None)
+
+
+def _stretch(pairs: list[tuple[str, str]], template: frozenset) -> tuple[int, int, float]:
+    """First and last word of the stretch most like a template, some words more than it at most, and the likeness."""
+    best = (0, 0, 0.0)
+    for i in (i for i, x in enumerate(pairs) if x in template):
+        seen: set[tuple[str, str]] = set()
+        for j in range(i, min(len(pairs), i + len(template) * 5 // 4 + 2)):
+            if pairs[j] in template and pairs[j] not in seen:
+                seen.add(pairs[j])
+                if len(seen) / len(template) > best[2] or (len(seen) / len(template) == best[2] and j + 2 - i < best[1] - best[0]):
+                    best = (i, j + 2, len(seen) / len(template))
+    return best
+
+
+def _merged(found: list[tuple[float, float, str, int, int]]) -> list[tuple[float, float, str, int, int]]:
+    """The best first: one for each group of a family whose members are closer than a window to the next."""
+    out: list[tuple[float, float, str, int, int]] = []
+    by_place = sorted(range(len(found)), key=lambda i: (found[i][2], found[i][3]))
+    group: list[int] = []
+    end = 0
+    for i in by_place:
+        if group and (found[i][2] != found[group[0]][2] or found[i][3] - end >= WINDOW):
+            out.append(found[min(group)])
+            group = []
+        end = max(end, found[i][4]) if group else found[i][4]
+        group.append(i)
+    return out + ([found[min(group)]] if group else [])
 
 
 def _varied(template: str, rng: np.random.Generator, filler: list[str]) -> list[str]:
@@ -300,7 +379,7 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
             rows, found = [], []
             for row, body in enumerate(texts_of(batch.column("__text"))):
                 for i, line in enumerate(body.split("\n")):
-                    if line and (verdict := model.judge(line)):
+                    for verdict in model.notices(line) if line else ():
                         rows.append(row)
                         found.append((i, *verdict, line))
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string()]

@@ -537,6 +537,16 @@ def test_a_notice_inside_a_long_line_is_found(docs):
     assert verdict is not None and verdict[0] in ("Apache-2.0", licences.UNKNOWN)
 
 
+def test_every_notice_of_a_line_is_reported(docs):
+    model = licences.train(docs)
+    words = licences.words_of(" ".join(r.text for r in docs.limit(20).collect()))
+    apache, mit, own = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "Licensed under the terms of a custom licence; see the accompanying file."
+    line = " ".join([*words[:300], apache, *words[300:600], mit, *words[600:700], own, *words[700:800], apache])
+    assert [(x[0], x[3]) for x in model.notices(line)] == [("Apache-2.0", True), ("MIT", True), (licences.UNKNOWN, False), ("Apache-2.0", True)]
+    assert [x[0] for x in model.notices(f"{mit} {apache}")] == ["MIT", "Apache-2.0"]
+    assert model.notices(" ".join(words[:300])) == []
+
+
 def test_licences_of_odd_rows(odd, none):
     assert licences.scan(odd, licences.train(odd)).where("doc_id = 1").count() == 0
     assert licences.scan(none, licences.train(none)).count() == 0
