@@ -14,6 +14,7 @@ repeated rows count as pages each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 
@@ -48,6 +49,8 @@ RULES = (
 DAMPING = 0.85
 STEPS = 10
 SETTLED = 1e-9
+#: The part of a host's own rank that a pass may still add when ``settle`` ends.
+TOLERANCE = 1e-12
 MOST_DISTRUST = 0.5
 LINK = r"""(?i)\bhref\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -85,6 +88,7 @@ def propagate(links: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: f
 
     One grouped sum for each step carries both: trust from src to dst in shares of src's links, distrust from
     dst to src in shares of the links to dst. What a host without links would send returns to the seeds.
+    This is the iteration of the SQL, ``steps`` passes at most; verdicts rest on ``settle``.
     """
     out = links.groupBy("src").agg(F.sum("n").alias("all_out")).withColumnRenamed("src", "o")
     into = links.groupBy("dst").agg(F.sum("n").alias("all_in")).withColumnRenamed("dst", "i")
@@ -113,6 +117,47 @@ def propagate(links: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: f
     return ranks.select("host", "trust", "distrust")
 
 
+def settle(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """``host``, ``trust`` and ``distrust`` as in ``propagate``, carried on until every host's have settled.
+
+    What hosts without links send returns to the seeds, so it scales all ranks alike: it is left out here, and
+    the ranks are scaled to the seeds' sum at the end. What still moves is kept apart from the ranks; hosts it
+    has passed are out of it, so a graph without cycles takes one pass more than its longest path. A host has
+    settled when a pass adds less than ``tolerance`` of its own rank, however small that is: one more link from
+    the seeds is never too far. Raises if this isn't so after twice as many passes as there are hosts and passes
+    that damp a movement to the tolerance.
+    """
+    out = links.groupBy("src").agg(F.sum("n").alias("all_out")).withColumnRenamed("src", "o")
+    into = links.groupBy("dst").agg(F.sum("n").alias("all_in")).withColumnRenamed("dst", "i")
+    shares = stash(links.join(out, F.col("src") == F.col("o")).join(into, F.col("dst") == F.col("i")).select("src", "dst", (F.col("n") / F.col("all_out")).alias("down"), (F.col("n") / F.col("all_in")).alias("up")), "link-shares")
+    moving = stash(seeds.groupBy("host").agg(F.sum("good").alias("t"), F.sum("bad").alias("d")).where("t > 0 or d > 0"), "moving")
+    sums = moving.agg(F.sum("t"), F.sum("d")).first()
+    ranks = stash(moving.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust")), "ranks")
+    most = None
+    passes = 0
+    while True:
+        down = shares.join(moving.where("t > 0"), F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (damping * F.col("t") * F.col("down")).alias("t"), F.lit(0.0).alias("d"))
+        up = shares.join(moving.where("d > 0"), F.col("dst") == F.col("host")).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (damping * F.col("d") * F.col("up")).alias("d"))
+        moving = stash(down.unionByName(up).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "moving")
+        added = ranks.unionByName(moving.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        ranks = stash(added, "ranks")
+        passes += 1
+        part = lambda x, of: F.when(F.col(x) > 0, F.col(x) / F.col(of)).otherwise(0.0)
+        moved = moving.join(ranks, "host").agg(F.max(F.greatest(part("t", "trust"), part("d", "distrust")))).first()[0]
+        if moved is None or moved < tolerance:
+            break
+        if most is None:
+            hosts = shares.select(F.explode(F.array("src", "dst")).alias("host")).distinct().count()
+            most = 2 * (hosts + math.ceil(math.log(tolerance) / math.log(damping)))
+        if passes >= most:
+            raise RuntimeError(f"ranks of hosts haven't settled after {passes} passes: {moved} of a host's still moved")
+    total = ranks.agg(F.sum("trust"), F.sum("distrust")).first()
+    scale = [(s or 0.0) / t if t else 0.0 for s, t in zip(sums, total, strict=True)]
+    scaled = ranks.select("host", (F.col("trust") * scale[0]).alias("trust"), (F.col("distrust") * scale[1]).alias("distrust"))
+    others = seeds.select("host").unionByName(shares.select(F.explode(F.array("src", "dst")).alias("host"))).distinct()
+    return others.join(scaled, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+
+
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id", url: str = "url", html: str = "html", most_distrust: float = MOST_DISTRUST) -> DataFrame:
     """Per page: key, ``host``, ``path``, ``rule`` and ``verdict``."""
     host, path = parts(F.col(url))
@@ -125,7 +170,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id
     share = lambda c, total: (F.col(c) / float(total) if total else F.lit(0.0))
     weighed = seeds.select("host", share("a", sums[0]).alias("good"), share("b", sums[1]).alias("bad"))
     links = stash(host_links(split, html), "host-links")
-    ranks = propagate(links, weighed)
+    ranks = settle(links, weighed)
     both = F.col("trust") + F.col("distrust")
     blocked = stash(ranks.where((both > 0) & (F.round(F.col("distrust") / both, 9) > most_distrust)).select(F.col("host").alias("__bad")), "blocked")
     judged = ruled.drop(html).join(blocked, F.col("host") == F.col("__bad"), "left")

@@ -458,6 +458,36 @@ def test_a_host_that_links_to_blocked_pages_is_blocked(spark):
     assert found == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_ranks_are_carried_on_until_they_settle(spark):
+    chain = [f"h{i}" for i in range(15)]
+    links = [*((a, b, 1.0) for a, b in zip(chain, chain[1:], strict=False)), ("x", "y", 2.0), ("y", "x", 1.0), ("x", "h13", 1.0), ("y", "h5", 3.0), ("h12", "h2", 1.0)]
+    seeds = [("h14", 0.0, 1.0), ("x", 0.75, 0.0), ("h8", 0.25, 0.0), ("z", 0.0, 0.0)]
+    got = {r.host: (r.trust, r.distrust) for r in linkgraph.settle(spark.createDataFrame(links, "src string, dst string, n double"), spark.createDataFrame(seeds, "host string, good double, bad double"), 0.4, 1e-10).collect()}
+    hosts = sorted({h for s, d, _ in links for h in (s, d)} | {s for s, _, _ in seeds})
+
+    def solved(edges, seed):
+        # by the closed form, the mass of hosts without links returned to the seeds
+        n, b = len(hosts), np.array([seed.get(h, 0.0) for h in hosts])
+        a = np.zeros((n, n))
+        for s, d, w in edges:
+            a[hosts.index(d), hosts.index(s)] += w
+        a = np.where(a.sum(0) > 0, a / np.maximum(a.sum(0), 1e-300), b[:, None])
+        return dict(zip(hosts, np.linalg.solve(np.eye(n) - 0.4 * a, 0.6 * b).tolist(), strict=True))
+
+    trust = solved(links, {h: g for h, g, _ in seeds})
+    distrust = solved([(d, s, n) for s, d, n in links], {h: b for h, _, b in seeds})
+    assert set(got) == set(hosts)
+    for h in hosts:
+        assert math.isclose(got[h][0], trust[h], rel_tol=1e-8, abs_tol=0) and math.isclose(got[h][1], distrust[h], rel_tol=1e-8, abs_tol=0)
+
+
+def test_a_host_far_from_a_blocked_one_is_blocked(spark):
+    hosts = [*(f"h{i}.org" for i in range(14)), "spam.net"]
+    rows = [(i, f"http://{a}/x", f'<a href="http://{b}/es/1">') for i, (a, b) in enumerate(zip(hosts, hosts[1:], strict=False))] + [(99, "http://spam.net/es/1", "")]
+    found = linkgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.verdict for r in found} == {"block"}
+
+
 def test_link_graph_of_no_rows(spark):
     assert linkgraph.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
