@@ -187,8 +187,9 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
     if kind == "name":
         script, gender, who = normal.split(":", 2)
         words = []
+        # each later attempt draws from sixteen times as many, so there are names enough for any table
         for i, _ in enumerate(who.split()):
-            word = "".join(SYLLABLES[script][draws.below(16)] for _ in range(3 + draws.below(2)))
+            word = "".join(SYLLABLES[script][draws.below(16)] for _ in range(3 + draws.below(2) + attempt))
             words.append(word + (ENDINGS[script][gender] if i == 0 else ""))
         return f"{script}:{gender}:{' '.join(words)}"
     return _same_shape(normal, draws)

@@ -248,6 +248,12 @@ def _assigned_here(found):
         surrogates._drawn = old
 
 
+def test_more_names_than_the_first_draws_hold_stay_distinct(spark):
+    gender = min(surrogates.ENDINGS["latin"])
+    found = spark.range(75_000).select(F.lit("name").alias("kind"), F.concat(F.lit(f"latin:{gender}:name"), "id").alias("normal"))
+    assert surrogates.assign(found, b"k").agg(F.count_distinct("made"), F.count("*")).first() == (75_000, 75_000)
+
+
 def test_many_redrawn_entities_are_joined(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "SENT_REDRAWN", -1)
     rows = [(1, "at 1.2.3.4 and 5.6.7.8"), (2, "at 1.2.3.4"), (2, "at 1.2.3.4"), (3, None)]
