@@ -5,15 +5,21 @@ each window every queue earns credit in its target proportion, spends the whole
 the window's last places go to the largest credits left, which then run a deficit into the next window.
 Documents are cut where a window or a turn ends.
 
-The targets default to the queues' shares of all tokens, so that all queues end together. A round of
-``FRAME`` windows has whole quotas, after which every deficit is zero; rounds repeat until some queue has less
-than its quota left, then quotas are set anew from what remains. The plan therefore has a size that depends
-on the number of queues alone, and any token's place follows from its place in its queue by arithmetic: the
-deficits carry across partitions without a pass over the windows in order.
+Targets are weights of sources, given by the caller. Sources without a weight wait until those with one have
+ended, and a source that ends leaves its places to the others, in their proportions. Without targets the
+weights are the queues' shares of all tokens, so that all queues end together. A round of ``FRAME`` windows has
+whole quotas, after which every deficit is zero; rounds repeat until some queue has less than its quota left,
+then quotas are set anew from what remains. Any token's place follows from its place in its queue by
+arithmetic: the deficits carry across partitions without a pass over the windows in order.
+
+A source that would get less than half a token of a window (one in ``2 * LENGTH`` of all tokens or less, and
+no target) is served whole documents instead, each source by its own share: these sources' documents lie at even
+distances along a common stream, which is a queue of its own. So the driver's plan holds at most ``2 * LENGTH``
+queues and the caller's targets, whatever the number of sources.
 
 Defined results: a null or empty text is its end mark alone; a null source is the queue of the empty name;
-repeated rows are packed once each; an empty table gives no rows. More than ``MAX_QUEUES`` sources share that
-many queues by hash.
+repeated rows, also under one id, are packed once each; an empty table gives no rows; targets for sources that
+the table lacks are passed over, and a weight that isn't above zero counts as none.
 """
 
 from __future__ import annotations
@@ -34,8 +40,12 @@ from .words import LETTERS, NUMBERS, SPACES, Recent, is_plain, joined_ids, loade
 
 LENGTH = 2048
 FRAME = 64
-MAX_QUEUES = 1024
-CHUNK_ROWS = 4000
+#: A source with no more than this part of all tokens, and no target, is served whole documents.
+LEAST_SHARE = 1 / (2 * LENGTH)
+#: Tokens of the rows that are put in order together.
+CHUNK_TOKENS = 1 << 19
+#: Chunks whose sums are added up in one task.
+CHUNKS_AT_ONCE = 10_000
 END_ID = 1
 #: Entries of the cache of what stands between spaces.
 CACHED = 300_000
@@ -116,82 +126,110 @@ def tokenise(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
 
 @dataclass(frozen=True)
 class Round:
-    """``repeats`` rounds of the same ``turns`` (windows x queues), from ``window``, each queue from ``starts``."""
+    """``repeats`` rounds of the same quotas, from ``window``, each queue from ``starts``; a round has ``windows``."""
 
     window: int
     repeats: int
-    starts: list[int]
-    quotas: list[int]
-    turns: list[list[int]]
-
-
-def apportion(shares: list[int], places: int) -> list[int]:
-    """``places`` in proportion to ``shares``, whole, by largest remainder; none above its share."""
-    total = sum(shares)
-    out = [x * places // total for x in shares]
-    order = sorted(range(len(shares)), key=lambda i: (-(shares[i] * places % total), i))
-    for i in order[: places - sum(out)]:
-        out[i] += 1
+    windows: int
+    starts: np.ndarray
+    quotas: np.ndarray
+
+
+def apportion(shares: np.ndarray, places: int) -> np.ndarray:
+    """``places`` in proportion to whole ``shares``, by largest remainder; none above its share while they suffice."""
+    total = int(shares.sum())
+    exact = [int(x) * places for x in shares]
+    out = np.array([x // total for x in exact], np.int64)
+    order = sorted(range(len(shares)), key=lambda i: (-(exact[i] % total), i))
+    out[order[: places - int(out.sum())]] += 1
     return out
 
 
-def round_robin(quotas: list[int], length: int) -> list[list[int]]:
-    """Each window's tokens of each queue: deficit round-robin over windows of ``length``, the last the rest."""
-    total, left = sum(quotas), list(quotas)
-    credit, out = [0] * len(quotas), []
-    while sum(left):
-        places = min(length, sum(left))
-        credit = [c + q * places for c, q in zip(credit, quotas, strict=True)]
-        take = [min(max(c // total, 0), x) for c, x in zip(credit, left, strict=True)]
-        by_credit = sorted(range(len(quotas)), key=lambda i: (take[i] * total - credit[i], i))
-        while (short := places - sum(take)) > 0:
-            for i in [i for i in by_credit if take[i] < left[i]][:short]:
-                take[i] += 1
-        while (over := sum(take) - places) > 0:
-            for i in [i for i in reversed(by_credit) if take[i]][:over]:
-                take[i] -= 1
-        credit = [c - t * total for c, t in zip(credit, take, strict=True)]
-        left = [x - t for x, t in zip(left, take, strict=True)]
+def _turns(quotas: np.ndarray, length: int) -> np.ndarray:
+    """Tokens of each queue in each window (windows x queues) by deficit round-robin, the last window the rest."""
+    total, left = int(quotas.sum()), quotas.astype(np.int64)
+    credit, out = np.zeros(len(quotas), np.int64), []
+    while places := min(length, int(left.sum())):
+        credit = credit + quotas * places
+        take = np.clip(credit // total, 0, left)
+        # by the credit that is left, the first queue first
+        order = np.argsort(take * total - credit, kind="stable")
+        while (short := places - int(take.sum())) > 0:
+            take[order[(take < left)[order]][:short]] += 1
+        while (over := int(take.sum()) - places) > 0:
+            take[order[::-1][(take > 0)[order[::-1]]][:over]] -= 1
+        credit, left = credit - take * total, left - take
         out.append(take)
+    return np.array(out, np.int64).reshape(-1, len(quotas))
+
+
+@lru_cache(maxsize=64)
+def _turns_of(quotas: bytes, length: int) -> np.ndarray:
+    return _turns(np.frombuffer(quotas, np.int64), length)
+
+
+def round_robin(quotas: np.ndarray, length: int) -> np.ndarray:
+    return _turns_of(np.ascontiguousarray(quotas, np.int64).tobytes(), length)
+
+
+def _filled(left: np.ndarray, weights: np.ndarray, places: int) -> np.ndarray:
+    """``places`` of one window by weight, no queue above what it has left; its surplus goes to the others."""
+    out = np.zeros_like(left)
+    for tier in (weights, np.where(weights > 0, 0, left)):
+        while (open_ := places - int(out.sum())) > 0 and (some := (tier > 0) & (out < left)).any():
+            out = np.minimum(left, out + apportion(np.where(some, tier, 0), open_))
     return out
 
 
-def schedule(totals: list[int], length: int = LENGTH, frame: int = FRAME) -> list[Round]:
-    """The rounds that place all tokens of the queues."""
-    left, used, window, out = list(totals), [0] * len(totals), 0, []
-    while sum(left):
-        if sum(left) > frame * length:
-            quotas = apportion(left, frame * length)
-            repeats = min(x // q for x, q in zip(left, quotas, strict=True) if q)
+def schedule(totals: np.ndarray, length: int = LENGTH, frame: int = FRAME, weights: np.ndarray | None = None) -> list[Round]:
+    """The rounds that place all tokens of the queues, by ``weights`` (whole, 0 for none), else by what is left."""
+    left, used, window, out = np.array(totals, np.int64), np.zeros(len(totals), np.int64), 0, []
+    while total := int(left.sum()):
+        live = left if weights is None else np.where(left > 0, weights, 0)
+        if not live.any():
+            live = left
+        repeats = 1
+        if total <= length or (live is left and total <= frame * length):
+            quotas = left
         else:
-            quotas, repeats = list(left), 1
-        turns = round_robin(quotas, length)
-        out.append(Round(window, repeats, list(used), quotas, turns))
-        used = [u + repeats * q for u, q in zip(used, quotas, strict=True)]
-        left = [x - repeats * q for x, q in zip(left, quotas, strict=True)]
-        window += repeats * len(turns)
+            # as many windows as every queue's weight can be met in, a frame at most
+            fits = min(int(x) * int(live.sum()) // (int(w) * length) for x, w in zip(left, live, strict=True) if w)
+            windows = min(frame, fits, total // length)
+            quotas = apportion(live, windows * length) if windows else left
+            while windows and (quotas > left).any():
+                windows //= 2
+                quotas = apportion(live, windows * length) if windows else left
+            if windows:
+                repeats = min(int(x) // int(q) for x, q in zip(left, quotas, strict=True) if q)
+            else:
+                quotas = _filled(left, live, length)
+        many = -(-int(quotas.sum()) // length)
+        out.append(Round(window, repeats, many, used.copy(), quotas.copy()))
+        used, left, window = used + repeats * quotas, left - repeats * quotas, window + repeats * many
     return out
 
 
 class Places:
     """Where the tokens of one queue go: its turns in order, found from a token's place by arithmetic."""
 
-    def __init__(self, rounds: list[Round], queue: int):
+    def __init__(self, rounds: list[Round], queue: int, length: int = LENGTH):
         own = [r for r in rounds if r.quotas[queue]]
         self.start = np.array([r.starts[queue] for r in own], np.int64)
         self.quota = np.array([r.quotas[queue] for r in own], np.int64)
         self.window = np.array([r.window for r in own], np.int64)
-        self.windows = np.array([len(r.turns) for r in own], np.int64)
-        # the turns with tokens of each round: place in the quota, size, window and tokens of earlier queues in it
-        turns = [[(w, t[queue], sum(t[:queue])) for w, t in enumerate(r.turns) if t[queue]] for r in own]
-        self.count = np.array([len(t) for t in turns], np.int64)
+        self.windows = np.array([r.windows for r in own], np.int64)
+        # the turns with tokens of each round: size, window, tokens of earlier queues in it and place in the quota
+        turns = [(np.flatnonzero(t[:, queue]), t) for t in (round_robin(r.quotas, length) for r in own)]
+        self.count = np.array([len(w) for w, _ in turns], np.int64)
         self.index = np.concatenate([[0], np.cumsum(self.count)]).astype(np.int64)
-        self.size = np.array([n for t in turns for _, n, _ in t], np.int64)
-        self.turn = np.array([w for t in turns for w, _, _ in t], np.int64)
-        self.base = np.array([x for t in turns for _, _, x in t], np.int64)
-        self.place = np.concatenate([np.cumsum([0, *(n for _, n, _ in t)])[:-1] for t in turns]).astype(np.int64) if turns else self.size
+        joined = lambda parts: np.concatenate([np.empty(0, np.int64), *parts])
+        self.turn = joined(w for w, _ in turns)
+        self.size = joined(t[w, queue] for w, t in turns)
+        self.base = joined(t[w, :queue].sum(1) for w, t in turns)
+        self.place = joined(np.cumsum(t[w, queue]) - t[w, queue] for w, t in turns)
         # turns before each round, its repeats counted
-        self.before = np.concatenate([[0], np.cumsum(self.count * np.array([r.repeats for r in own], np.int64))])[:-1].astype(np.int64) if own else self.start
+        every = self.count * np.array([r.repeats for r in own], np.int64)
+        self.before = np.cumsum(every) - every
 
     def _turn_at(self, at: np.ndarray) -> np.ndarray:
         """The number of the turn that holds each token."""
@@ -217,51 +255,91 @@ class Places:
         return of, a - at[of], b - a, self.window[k] + repeat * self.windows[k] + self.turn[row], self.base[row] + a - begin
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", source: str = "source", length: int = LENGTH) -> DataFrame:
+def _placed(rows: DataFrame, queue: list[str], order: list[str]) -> DataFrame:
+    """``rows`` (with ``__chunk``, ``n``) with ``__at``: the tokens before each in its queue, in order of chunk and ``order``.
+
+    Chunks are summed before they are put in order, and the sums of ``CHUNKS_AT_ONCE`` at a time.
+    """
+    part = F.floor(F.col("__chunk") / CHUNKS_AT_ONCE).alias("__part")
+    sums = stash(rows.groupBy(*queue, "__chunk").agg(F.sum("n").alias("s")).withColumn("__part", part), "chunk-sums")
+    parts = sums.groupBy(*queue, "__part").agg(F.sum("s").alias("t"))
+    lone = [F.lit(0)] if not queue else [F.col(q) for q in queue]
+    parts = parts.select(*queue, "__part", (F.sum("t").over(Window.partitionBy(*lone).orderBy("__part")) - F.col("t")).alias("__earlier"))
+    inner = Window.partitionBy(*queue, "__part").orderBy("__chunk")
+    before = sums.withColumn("__inner", F.sum("s").over(inner) - F.col("s")).join(parts, [*queue, "__part"]).select(*queue, "__chunk", (F.col("__inner") + F.col("__earlier")).alias("__before"))
+    within = Window.partitionBy(*queue, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.join(stash(before, "chunk-starts"), [*queue, "__chunk"])
+    return found.withColumn("__at", F.col("__before") + F.sum("n").over(within) - F.col("n"))
+
+
+def _spread(rows: DataFrame, totals: DataFrame, tokens: int) -> DataFrame:
+    """The rows of light sources along one stream, each source's documents at even distances of its tokens.
+
+    A source begins at a place of its own, so those of a single document don't meet.
+    """
+    timed = rows.join(totals, "__source")
+    phase = F.pmod(F.xxhash64("__source"), F.lit(1 << 40)) / float(1 << 40)
+    time = F.pmod((F.col("__at") + F.col("n") / 2) / F.col("t") + phase, F.lit(1.0))
+    chunk = F.floor(time * max(1, tokens // CHUNK_TOKENS)).cast("long")
+    timed = stash(timed.select("__id", "__source", "n", "ids", "__mark", time.alias("__time"), chunk.alias("__chunk")), "spread")
+    return _placed(timed, [], ["__time", "__source", "__mark"])
+
+
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", source: str = "source", length: int = LENGTH, targets: dict[str, float] | None = None, least_share: float = LEAST_SHARE) -> DataFrame:
     """Per piece: key, ``start``, ``length``, ``ids`` (little-endian 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``."""
-    tokens = stash(tokenise(docs, path, key, text, source), "tokens")
-    many = len(tokens.select("__source").distinct().limit(MAX_QUEUES + 1).collect()) > MAX_QUEUES
-    queue = F.pmod(F.xxhash64("__source"), F.lit(MAX_QUEUES)).cast("string") if many else F.col("__source")
-    chunks = max(1, -(-tokens.count() // CHUNK_ROWS))
-    tokens = tokens.withColumn("__queue", queue).withColumn("__chunk", F.pmod(F.xxhash64("__id"), F.lit(chunks)))
-
-    # Tokens before each chunk in its queue: sums of a few thousand rows each.
-    sums = stash(tokens.groupBy("__queue", "__chunk").agg(F.sum("n").alias("s")), "chunk-sums")
-    before = sums.select("__queue", "__chunk", (F.sum("s").over(Window.partitionBy("__queue").orderBy("__chunk")) - F.col("s")).alias("__before"))
-    totals = {r["__queue"]: r.t for r in sums.groupBy("__queue").agg(F.sum("s").alias("t")).collect()}
-    names = sorted(totals)
-    rounds = schedule([totals[x] for x in names], length)
-
-    within = Window.partitionBy("__queue", "__chunk").orderBy("__id", "n", F.xxhash64("ids")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # a batch's ids are widened at once, so the arrays stay bounded by the batch
-    placed = tokens.join(stash(before, "chunk-starts"), ["__queue", "__chunk"]).withColumn("__at", F.col("__before") + F.sum("n").over(within) - F.col("n"))
+    # the mark is written with the ids, so it is one for each row whatever reads them
+    tokens = stash(tokenise(docs, path, key, text, source).withColumn("__mark", F.monotonically_increasing_id()), "tokens")
+    totals = stash(tokens.groupBy("__source").agg(F.sum("n").alias("t")), "queue-totals")
+    all_ = totals.agg(F.sum("t")).first()[0] or 0
+    weight = {s: int(w * 1_000_000) or 1 for s, w in (targets or {}).items() if w > 0}
+    own = (F.col("t") > least_share * all_) | F.col("__source").isin(*weight)
+    # at most 1 / least_share sources have more than that share
+    heavy = {r["__source"]: r.t for r in totals.where(own).collect()}
+    names = sorted(heavy)
+    counts = [heavy[x] for x in names]
+    rest = all_ - sum(counts)
+    weights = [weight.get(x, 0) for x in names]
+    if rest:
+        counts, weights = [*counts, rest], [*weights, 0]
+    rounds = schedule(np.array(counts, np.int64), length, weights=np.array(weights, np.int64) if any(weights) else None)
+
+    chunks = max(1, all_ // CHUNK_TOKENS)
+    tokens = tokens.withColumn("__chunk", F.pmod(F.xxhash64("__mark"), F.lit(chunks)))
+    columns = ["__id", "__source", "__at", "n", "ids"]
+    mine = F.col("__source").isin(*names)
+    if not rest:
+        placed = _placed(tokens, ["__source"], ["__mark"]).select(*columns)
+    else:
+        light = _spread(_placed(tokens.where(~mine), ["__source"], ["__mark"]), totals, rest)
+        placed = _placed(tokens.where(mine), ["__source"], ["__mark"]).select(*columns).unionByName(light.withColumn("__source", F.lit(None).cast("string")).select(*columns))
     out = [key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    at_queue = {x: i for i, x in enumerate(names)} | {None: len(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: dict[str, Places] = {}
+        places: dict[str | None, Places] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            queues = np.array(batch.column("__queue").to_pylist(), object)
+            queues = np.array(batch.column("__source").to_pylist(), object)
             at, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__at", "n"))
             made = []
             for q in dict.fromkeys(queues):
                 if q not in places:
-                    places[q] = Places(rounds, names.index(q))
+                    places[q] = Places(rounds, at_queue[q], length)
                 rows = np.flatnonzero(queues == q)
-                of, *rest = places[q].pieces(at[rows], n[rows])
-                made.append((rows[of], *rest))
+                of, *found = places[q].pieces(at[rows], n[rows])
+                made.append((rows[of], *found))
             row, start, size, window, offset = (np.concatenate(c) for c in zip(*made, strict=True))
             order = np.argsort(row, kind="stable")
             row, start, size, window, offset = (x[order] for x in (row, start, size, window, offset))
             # the pieces of the rows in order are all of their ids in order
             packed = b"".join(batch.column("ids").to_pylist())
             wide = np.frombuffer(packed, "<u2" if len(packed) == 2 * int(n.sum()) else "<u4").astype("<u4")
-            ends = np.concatenate([[0], np.cumsum(size) * 4]).astype(np.int32)
-            ids = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(wide)])
+            ends = np.concatenate([[0], np.cumsum(size) * 4]).astype(np.int64)
+            ids = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(wide)]).cast(pa.binary())
             keys = batch.column("__id").take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(size), ids, pa.array(n[row]), pa.array(window), pa.array(offset)], out)
 
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return placed.select("__id", "__queue", "__at", "n", "ids").mapInArrow(run, schema)
+    return placed.mapInArrow(run, schema)
