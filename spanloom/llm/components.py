@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import free, stash
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -29,7 +29,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         x, y = to.alias("x"), to.alias("y")
         moved = now.join(x, F.col("a") == F.col("x.from")).join(y, F.col("b") == F.col("y.from"))
         moved = moved.select(F.least("x.to", "y.to").alias("a"), F.greatest("x.to", "y.to").alias("b"))
-        now = stash(moved.where("a <> b").distinct(), "contracted")
+        before, now = now, stash(moved.where("a <> b").distinct(), "contracted")
+        if before is not first:
+            free(before)
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
     if not maps:

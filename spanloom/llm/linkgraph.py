@@ -3,13 +3,13 @@
 Pages that a rule fits have the rule's verdict. The hosts of allowed pages are seeds of trust, those of
 blocked pages seeds of distrust, weighed by their pages. Trust flows along links by personalised PageRank,
 distrust against them, each returning to its seeds; a host whose share of distrust in both exceeds a
-threshold has its other pages blocked. Links are counted per pair of hosts before they are shuffled, and
-each step is written out, so that the plan stays short and a lost executor costs a reread. DataFrame
-operations alone.
+threshold has its other pages blocked. Links are counted per pair of hosts before they are shuffled, a hub's
+are dealt to several tasks, and each pass is written out, so that the plan stays short and a lost executor
+costs a reread. DataFrame operations alone.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed;
 a null html has no links; a host without links or seeds has neither trust nor distrust and is allowed;
-repeated rows count as pages each; an empty table gives an empty result.
+repeated rows count as pages each; other columns are passed over; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import free, stash
 
 
 @dataclass(frozen=True)
@@ -47,10 +47,10 @@ RULES = (
 )
 
 DAMPING = 0.85
-STEPS = 10
-SETTLED = 1e-9
 #: The part of a host's own rank that a pass may still add when ``settle`` ends.
 TOLERANCE = 1e-12
+#: Links of a host with as many other hosts are dealt to several tasks.
+HUB_LINKS = 100_000
 MOST_DISTRUST = 0.5
 LINK = r"""(?i)\bhref\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -83,66 +83,61 @@ def host_links(pages: DataFrame, html: str) -> DataFrame:
     return links.select("src", ascii_lower(F.col("__to")).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """``host``, ``trust`` and ``distrust`` from ``links`` (src, dst, n) and ``seeds`` (host, good, bad: sums of 1 each).
+def _shares(links: DataFrame, hub_links: int) -> tuple[DataFrame, DataFrame]:
+    """(``src``, ``dst``, each link's part of all of src's and of all to dst, ``s`` and ``e``: parts of a hub's links; the hubs)."""
+    both = links.select(F.col("src").alias("host"), F.lit(True).alias("out"), "n").unionByName(links.select(F.col("dst").alias("host"), F.lit(False).alias("out"), "n"))
+    sums = stash(both.groupBy("host", "out").agg(F.sum("n").alias("all"), F.count("*").alias("links")), "link-sums")
+    hubs = stash(sums.groupBy("host").agg(F.ceil(F.max("links") / hub_links).cast("int").alias("parts")).where("parts > 1"), "hubs")
+    dealt = links
+    for end, other, part in (("src", "dst", "s"), ("dst", "src", "e")):
+        dealt = dealt.join(hubs.withColumnRenamed("host", end), end, "left")
+        dealt = dealt.withColumn(part, F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    out, into = (spread(sums.where(F.col("out") == o).drop("out", "links"), hubs).withColumnsRenamed({"host": end, "all": all_, "part": part}) for o, end, all_, part in ((True, "src", "all_out", "s"), (False, "dst", "all_in", "e")))
+    found = dealt.join(out, ["src", "s"]).join(into, ["dst", "e"])
+    return stash(found.select("src", "s", "dst", "e", (F.col("n") / F.col("all_out")).alias("down"), (F.col("n") / F.col("all_in")).alias("up")), "link-shares"), hubs
 
-    One grouped sum for each step carries both: trust from src to dst in shares of src's links, distrust from
-    dst to src in shares of the links to dst. What a host without links would send returns to the seeds.
-    This is the iteration of the SQL, ``steps`` passes at most; verdicts rest on ``settle``.
-    """
-    out = links.groupBy("src").agg(F.sum("n").alias("all_out")).withColumnRenamed("src", "o")
-    into = links.groupBy("dst").agg(F.sum("n").alias("all_in")).withColumnRenamed("dst", "i")
-    shares = stash(links.join(out, F.col("src") == F.col("o")).join(into, F.col("dst") == F.col("i")).select("src", "dst", (F.col("n") / F.col("all_out")).alias("down"), (F.col("n") / F.col("all_in")).alias("up")), "link-shares")
-    hosts = seeds.select("host", "good", "bad").unionByName(shares.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("good"), F.lit(0.0).alias("bad")))
-    ranks = stash(hosts.groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).select("host", "good", "bad", F.col("good").alias("trust"), F.col("bad").alias("distrust")), "ranks")
-    for _ in range(steps):
-        down = shares.join(ranks.select("host", "trust"), F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("trust") * F.col("down")).alias("t"), F.lit(0.0).alias("d"))
-        up = shares.join(ranks.select("host", "distrust"), F.col("dst") == F.col("host")).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("up")).alias("d"))
-        sent = stash(down.unionByName(up).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "sent")
-        totals = sent.agg(F.sum("t"), F.sum("d")).first()
-        before = ranks.agg(F.sum("trust"), F.sum("distrust")).first()
-        lost = [(b or 0.0) - (t or 0.0) for b, t in zip(before, totals, strict=True)]
-        t, d = F.coalesce("t", F.lit(0.0)), F.coalesce("d", F.lit(0.0))
-        now = ranks.join(sent, "host", "left").select(
-            "host", "good", "bad",
-            (F.col("good") * (1 - damping) + damping * (t + F.col("good") * lost[0])).alias("trust"),
-            (F.col("bad") * (1 - damping) + damping * (d + F.col("bad") * lost[1])).alias("distrust"),
-            (F.abs(F.col("trust") - (F.col("good") * (1 - damping) + damping * (t + F.col("good") * lost[0]))) + F.abs(F.col("distrust") - (F.col("bad") * (1 - damping) + damping * (d + F.col("bad") * lost[1])))).alias("moved"),
-        )
-        now = stash(now, "ranks")
-        moved = now.agg(F.sum("moved")).first()[0] or 0.0
-        ranks = now.drop("moved")
-        if moved < SETTLED:
-            break
-    return ranks.select("host", "trust", "distrust")
 
+def spread(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``rows`` by host, those of hubs once for each ``part``."""
+    return rows.join(hubs, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
 
-def settle(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """``host``, ``trust`` and ``distrust`` as in ``propagate``, carried on until every host's have settled.
 
-    What hosts without links send returns to the seeds, so it scales all ranks alike: it is left out here, and
-    the ranks are scaled to the seeds' sum at the end. What still moves is kept apart from the ranks; hosts it
-    has passed are out of it, so a graph without cycles takes one pass more than its longest path. A host has
-    settled when a pass adds less than ``tolerance`` of its own rank, however small that is: one more link from
-    the seeds is never too far. Raises if this isn't so after twice as many passes as there are hosts and passes
-    that damp a movement to the tolerance.
+def settle(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, hub_links: int = HUB_LINKS) -> DataFrame:
+    """``host``, ``trust`` and ``distrust`` from ``links`` (src, dst, n) and ``seeds`` (host, good, bad: sums of 1 each).
+
+    One grouped sum for each pass carries both: trust from src to dst in shares of src's links, distrust from
+    dst to src in shares of the links to dst, each damped. What hosts without links would send returns to the
+    seeds, so it scales all ranks alike: it is left out here, and the ranks are scaled to the seeds' sum at the
+    end. What still moves is kept apart from the ranks; hosts it has passed are out of it, so a graph without
+    cycles takes one pass more than its longest path. A host has settled when a pass adds less than
+    ``tolerance`` of its own rank, however small that is: one more link from the seeds is never too far. Raises
+    if this isn't so after twice as many passes as there are hosts and passes that damp a movement to the
+    tolerance.
     """
-    out = links.groupBy("src").agg(F.sum("n").alias("all_out")).withColumnRenamed("src", "o")
-    into = links.groupBy("dst").agg(F.sum("n").alias("all_in")).withColumnRenamed("dst", "i")
-    shares = stash(links.join(out, F.col("src") == F.col("o")).join(into, F.col("dst") == F.col("i")).select("src", "dst", (F.col("n") / F.col("all_out")).alias("down"), (F.col("n") / F.col("all_in")).alias("up")), "link-shares")
+    shares, hubs = _shares(links, hub_links)
     moving = stash(seeds.groupBy("host").agg(F.sum("good").alias("t"), F.sum("bad").alias("d")).where("t > 0 or d > 0"), "moving")
     sums = moving.agg(F.sum("t"), F.sum("d")).first()
     ranks = stash(moving.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust")), "ranks")
     most = None
-    passes = 0
+    passes, due, sent = 0, 1, []
+    part = lambda x, of: F.when(F.col(x) > 0, F.col(x) / F.col(of)).otherwise(0.0)
     while True:
-        down = shares.join(moving.where("t > 0"), F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (damping * F.col("t") * F.col("down")).alias("t"), F.lit(0.0).alias("d"))
-        up = shares.join(moving.where("d > 0"), F.col("dst") == F.col("host")).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (damping * F.col("d") * F.col("up")).alias("d"))
+        here = spread(moving, hubs)
+        down = shares.join(here.where("t > 0"), (F.col("src") == F.col("host")) & (F.col("s") == F.col("part"))).select(F.col("dst").alias("host"), (damping * F.col("t") * F.col("down")).alias("t"), F.lit(0.0).alias("d"))
+        up = shares.join(here.where("d > 0"), (F.col("dst") == F.col("host")) & (F.col("e") == F.col("part"))).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (damping * F.col("d") * F.col("up")).alias("d"))
         moving = stash(down.unionByName(up).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "moving")
-        added = ranks.unionByName(moving.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        ranks = stash(added, "ranks")
+        sent.append(moving)
         passes += 1
-        part = lambda x, of: F.when(F.col(x) > 0, F.col(x) / F.col(of)).otherwise(0.0)
+        if passes < due:
+            continue
+        # ranks are summed after passes 1, 2, 4 and 8, and every 8 from there
+        due = passes + min(passes, 8)
+        added = ranks
+        for x in sent:
+            added = added.unionByName(x.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust")))
+        before, ranks = ranks, stash(added.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "ranks")
+        free(before, *sent[:-1])
+        sent = []
         moved = moving.join(ranks, "host").agg(F.max(F.greatest(part("t", "trust"), part("d", "distrust")))).first()[0]
         if moved is None or moved < tolerance:
             break

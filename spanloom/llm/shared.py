@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,27 +13,62 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder of ``spark.checkpoint.dir``. Only a local master may go without one: it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master.startswith("local[") or master == "local"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def _path_of(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+#: The lists of tables that open ``scratch`` blocks free at their end.
+_open: list[list[tuple[SparkSession, str]]] = []
+
+
+def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a DataFrame that reads it.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation, and both consumers of
-    ``df`` read the same rows. The folder is removed when the driver's JVM ends.
+    ``df`` read the same rows. The table goes with ``free``, at the end of a ``scratch`` block, or when the
+    driver's JVM ends; with ``keep`` it outlives ``scratch``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    files, target = _path_of(spark, path)
+    files.deleteOnExit(target)
+    if _open and not keep:
+        _open[-1].append((spark, path))
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stashed_at = path
+    return found
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that ``stash`` wrote and that nothing reads any more."""
+    for df in tables:
+        files, target = _path_of(df.sparkSession, df.stashed_at)
+        files.delete(target, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Frees the tables stashed within at its end; what is to outlive it is stashed after it or written elsewhere."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.pop():
+            files, target = _path_of(spark, path)
+            files.delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import string
 
 from . import linkgraph, quality, sharding
@@ -73,21 +74,21 @@ def link_sql(rules: tuple[linkgraph.Rule, ...] = linkgraph.RULES) -> str:
     lower = lambda x: f"translate({x}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     link = linkgraph.LINK.replace("'", "''")
     a = linkgraph.DAMPING
-    steps = []
-    for i in range(linkgraph.STEPS):
-        steps.append(
-            f"""s{i} AS MATERIALIZED (SELECT host, sum(t) AS t, sum(d) AS d FROM (SELECT dst AS host, trust * n / all_out AS t, 0.0::DOUBLE AS d FROM w JOIN r{i} ON src = host UNION ALL SELECT src, 0.0::DOUBLE, distrust * n / all_in FROM w JOIN r{i} ON dst = host) GROUP BY host),
-l{i} AS MATERIALIZED (SELECT (SELECT sum(trust) FROM r{i}) - coalesce((SELECT sum(t) FROM s{i}), 0) AS lt, (SELECT sum(distrust) FROM r{i}) - coalesce((SELECT sum(d) FROM s{i}), 0) AS ld),
-r{i + 1} AS MATERIALIZED (SELECT r.host, good, bad, good * {1 - a}::DOUBLE + {a}::DOUBLE * (coalesce(t, 0) + good * lt) AS trust, bad * {1 - a}::DOUBLE + {a}::DOUBLE * (coalesce(d, 0) + bad * ld) AS distrust FROM r{i} r LEFT JOIN s{i} s ON r.host = s.host, l{i})"""
-        )
-    return rf"""WITH u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    # passes beyond which a movement is damped away, each host's distance from the seeds added
+    damped = math.ceil(math.log(linkgraph.TOLERANCE) / math.log(a))
+    return rf"""WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, html, {lower("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 j AS MATERIALIZED (SELECT page_id, html, host, path, {pick(lambda r: r.text)} AS rule, {pick(lambda r: r.verdict)} AS ruled FROM p),
 c AS (SELECT host, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM j WHERE host <> '' GROUP BY host),
 q AS (SELECT host, coalesce(a::DOUBLE / nullif((SELECT sum(a) FROM c), 0), 0) AS good, coalesce(b::DOUBLE / nullif((SELECT sum(b) FROM c), 0), 0) AS bad FROM c),
 e AS (SELECT host AS src, {lower("x")} AS dst, count(*)::DOUBLE AS n FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS x FROM j WHERE host <> '') WHERE host <> {lower("x")} GROUP BY 1, 2),
 w AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY src) AS all_out, sum(n) OVER (PARTITION BY dst) AS all_in FROM e),
-r0 AS MATERIALIZED (SELECT host, sum(good) AS good, sum(bad) AS bad, sum(good) AS trust, sum(bad) AS distrust FROM (SELECT * FROM q UNION ALL SELECT src, 0.0, 0.0 FROM w UNION ALL SELECT dst, 0.0, 0.0 FROM w) GROUP BY host),
-{", ".join(steps)}
+h AS MATERIALIZED (SELECT host, sum(good) AS good, sum(bad) AS bad FROM (SELECT * FROM q UNION ALL SELECT src, 0.0, 0.0 FROM w UNION ALL SELECT dst, 0.0, 0.0 FROM w) GROUP BY host),
+k AS MATERIALIZED (SELECT src AS here, dst AS there, n / all_out AS kt, 0.0::DOUBLE AS kd FROM w UNION ALL SELECT dst, src, 0.0, n / all_in FROM w),
+m(pass, host, t, d) AS (SELECT 0, host, good::DOUBLE, bad::DOUBLE FROM h WHERE good > 0 OR bad > 0
+  UNION ALL SELECT pass + 1, there, sum({a}::DOUBLE * t * kt), sum({a}::DOUBLE * d * kd) FROM m JOIN k ON host = here WHERE pass < (SELECT count(*) FROM h) + {damped} GROUP BY pass, there HAVING sum(t * kt) > 0 OR sum(d * kd) > 0),
+s AS (SELECT host, sum(t) AS t, sum(d) AS d FROM m GROUP BY host),
+f AS (SELECT (SELECT sum(good) FROM h) / nullif((SELECT sum(t) FROM s), 0) AS ft, (SELECT sum(bad) FROM h) / nullif((SELECT sum(d) FROM s), 0) AS fd),
+r AS (SELECT host, coalesce(t * ft, 0) AS trust, coalesce(d * fd, 0) AS distrust FROM s, f)
 SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN trust + distrust > 0 AND round(distrust / (trust + distrust), 9) > {linkgraph.MOST_DISTRUST} THEN 'block' ELSE 'allow' END) AS verdict
-FROM j LEFT JOIN r{linkgraph.STEPS} r ON j.host = r.host"""
+FROM j LEFT JOIN r ON j.host = r.host"""
