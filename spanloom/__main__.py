@@ -13,7 +13,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import render, spans, tracking
+from spanloom.operators import render, spans, tracks
 from spanloom.sources import files
 
 
@@ -28,7 +28,7 @@ def main(arguments: list[str] | None = None) -> int:
     if given.command == "replay":
         lines = files.observations(spark, given.source)
         ends = lines.groupBy("source").agg((F.max("at_us") + 1_000_000).alias("duration_us"))
-        cues = tracking.track_cues(lines.join(ends, "source"), ["source"])
+        cues = tracks.track_cues(lines.join(ends, "source"), ["source"])
         render.text_lines(cues, ["source"]).write.json(given.target)
     else:
         rows = spark.read.parquet(given.source)

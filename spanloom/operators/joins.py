@@ -66,19 +66,32 @@ def clipped(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket_us: i
 def as_of_previous(rows: DataFrame, keys: Sequence[str], at: str, row_id: str, within_us: int, condition: Column | None = None) -> DataFrame:
     """Each row with the latest earlier row of its key at most ``within_us`` back, as ``prev_<id>`` and ``prev_<at>``.
 
-    ``condition`` may name the two rows as ``l`` and ``r``. Rows meet within two buckets of the reach.
+    Without a condition the greatest earlier row is carried along each key's rows in order: one shuffle, no pairs.
+    ``condition`` may name the two rows as ``l`` and ``r``; rows then meet within two buckets of the reach.
     """
+    if condition is None:
+        earlier = Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+        found = rows.withColumn("p", F.max(F.struct(F.col(at).alias("at"), F.col(row_id).alias("id"))).over(earlier)).where(F.col(at) - F.col("p.at") <= within_us)
+        return found.select(*keys, row_id, at, F.col("p.id").alias(f"prev_{row_id}"), F.col("p.at").alias(f"prev_{at}"))
     left = rows.withColumn("__bucket", F.floor(F.col(at) / within_us)).alias("l")
     right = rows.withColumn("__bucket", F.explode(F.array(F.floor(F.col(at) / within_us), F.floor(F.col(at) / within_us) + 1))).alias("r")
     gap = F.col(f"l.{at}") - F.col(f"r.{at}")
-    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "__bucket"]] + [gap > 0, gap <= within_us]
-    if condition is not None:
-        on.append(condition)
+    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "__bucket"]] + [gap > 0, gap <= within_us, condition]
     best = F.max(F.struct(F.col(f"r.{at}").alias("at"), F.col(f"r.{row_id}").alias("id"))).alias("p")
     found = left.join(right, on).groupBy(*(F.col(f"l.{k}").alias(k) for k in keys), F.col(f"l.{row_id}").alias(row_id), F.col(f"l.{at}").alias(at)).agg(best)
     return found.select(*keys, row_id, at, F.col("p.id").alias(f"prev_{row_id}"), F.col("p.at").alias(f"prev_{at}"))
 
 
+def support(rows: DataFrame, keys: Sequence[str], at: str, within_us: int) -> DataFrame:
+    """Rows with ``n_moments``: distinct moments of the key within ``within_us`` of each, its own counted.
+
+    Moments are made distinct before they are counted, so repeated ones cost one row.
+    """
+    near = Window.partitionBy(*keys).orderBy(at).rangeBetween(-within_us, within_us)
+    counted = rows.select(*keys, at).distinct().withColumn("n_moments", F.count("*").over(near))
+    return rows.join(counted, [*keys, at])
+
+
 def nearest(moments: DataFrame, grid: DataFrame, keys: Sequence[str], at: str, moment_id: str, grid_at: str) -> DataFrame:
     """Each moment with the nearest grid point of its key, the earlier of two as near.
 

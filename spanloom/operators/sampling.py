@@ -6,7 +6,7 @@ takes the weakest cuts away and the gaps are filled anew until it holds or no cu
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,16 +20,48 @@ def change_points(rows: DataFrame, keys: Sequence[str], row_id: str, value: str,
     return rows.withColumn("__moved", moved).where(F.col("__moved") > threshold).select(*keys, row_id, "at_us")
 
 
-def spaced(rows: DataFrame, keys: Sequence[str], least_us: int, opening: int | None = None) -> DataFrame:
-    """Each key's moments at least ``least_us`` after the last one kept.
+def in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Callable[[], Callable[[tuple], bool]]) -> DataFrame:
+    """The rows that a fold over each key's rows in order lets through.
 
-    Which moment follows depends on the last kept, so a key's moments are folded in order; they alone travel.
+    ``fold()`` begins a key and returns a function of a row (its columns after the keys) that tells whether to
+    keep it. One shuffle by key and a sort; batches stream by, so a key costs its fold's state and no array of
+    its rows, and goes on from one batch into the next.
     """
-    first = F.lit(opening if opening is not None else -(2**62)).cast("long")
-    start = F.struct(first.alias("last"), F.array().cast("array<long>").alias("kept"))
-    step = lambda s, x: F.when(x - s["last"] >= least_us, F.struct(x.alias("last"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s)
-    moments = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("at_us")).alias("__at"))
-    return moments.select(*keys, F.explode(F.aggregate("__at", start, step, lambda s: s["kept"])).alias("at_us"))
+    names = rows.columns
+    rest = [names.index(n) for n in names if n not in keys]
+    at = [names.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step = None, None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(len(names))]
+            own = zip(*(columns[i] for i in at), strict=True)
+            kept = []
+            for key, row in zip(own, zip(*(columns[i] for i in rest), strict=True), strict=True):
+                if step is None or key != now:
+                    now, step = key, fold()
+                kept.append(step(row))
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, rows.schema)
+
+
+def spaced(rows: DataFrame, keys: Sequence[str], least_us: int, opening: int | None = None) -> DataFrame:
+    """Each key's moments at least ``least_us`` after the last one kept, with their other columns, the least of them where moments are equal."""
+    others = [c for c in rows.columns if c not in keys and c != "at_us"]
+
+    def fold() -> Callable[[tuple], bool]:
+        last = [opening]
+
+        def step(row: tuple) -> bool:
+            good = last[0] is None or (row[0] - last[0] >= least_us and row[0] > last[0])
+            if good:
+                last[0] = row[0]
+            return good
+
+        return step
+
+    return in_order(rows.where("at_us is not null").select(*keys, "at_us", *others), keys, ["at_us", *others], fold)
 
 
 def fill_gaps(rows: DataFrame, keys: Sequence[str], durations: DataFrame, most_us: int, duration: str = "duration_us") -> DataFrame:
@@ -62,19 +94,21 @@ def montage(rows: DataFrame, keys: Sequence[str], at: str, row_id: str, n: int)
 def candidates(cuts: DataFrame, keys: Sequence[str], durations: DataFrame, duration: str = "duration_us", least_us: int = 2_000_000, most_us: int = 30_000_000, offset_us: int = 250_000, budget: int = 120) -> DataFrame:
     """Moments to sample of each key, with ``at_shot_boundary``: opening, cuts (``at_us``, ``score``) and filler.
 
-    The budget and the filler depend on each other, so a key's cuts are settled together; keys with no cut
-    come from ``durations``.
+    Cuts are thinned to their spacing as they stream by. The budget and the filler depend on each other, so what
+    is left of a key's cuts, one in ``least_us`` at most, is settled together; keys with no cut come from ``durations``.
     """
     types = dict(cuts.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", at_us long, at_shot_boundary boolean"
-    listed = cuts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at_us", "score"))).alias("__cuts"))
+    moved = cuts.join(durations, list(keys)).select(*keys, (F.col("at_us") + offset_us).alias("at_us"), "score", duration).where((F.col("at_us") >= 0) & (F.col("at_us") < F.col(duration)))
+    thin = spaced(moved.drop(duration), keys, least_us, 0)
+    listed = thin.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at_us", "score"))).alias("__cuts"))
     rows = durations.select(*keys, duration).join(listed, list(keys), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, at, cut = [], [], []
             for row, (end, own) in enumerate(zip(batch.column(duration).to_pylist(), batch.column("__cuts").to_pylist(), strict=True)):
-                for moment, is_cut in settle([(c["at_us"], c["score"]) for c in own or ()], end, least_us, most_us, offset_us, budget):
+                for moment, is_cut in settle([(c["at_us"], c["score"]) for c in own or ()], end, most_us, budget):
                     of.append(row)
                     at.append(moment)
                     cut.append(is_cut)
@@ -84,15 +118,8 @@ def candidates(cuts: DataFrame, keys: Sequence[str], durations: DataFrame, durat
     return rows.mapInArrow(run, schema)
 
 
-def settle(cuts: list[tuple[int, float]], end: int, least_us: int, most_us: int, offset_us: int, budget: int) -> list[tuple[int, bool]]:
-    """One key's moments: (moment, whether it is a cut), in order."""
-    kept: list[tuple[int, float]] = []
-    last = 0
-    for moment, score in cuts:
-        moment += offset_us
-        if 0 <= moment < end and moment - last >= least_us:
-            kept.append((moment, score))
-            last = moment
+def settle(kept: list[tuple[int, float]], end: int, most_us: int, budget: int) -> list[tuple[int, bool]]:
+    """One key's moments from its spaced cuts: (moment, whether it is a cut), in order."""
     while True:
         edges = [0, *(m for m, _ in kept), end]
         filler = []
@@ -112,20 +139,24 @@ def dedupe(frames: DataFrame, keys: Sequence[str], durations: DataFrame, most_us
     """Frames (``at_us``, ``words``: a hash as an array of 64-bit words, ``at_shot_boundary``) that tell something new.
 
     Kept are cuts, frames further than ``distance`` bits from the last one kept, and those without which a
-    stretch longer than ``most_us`` would go unseen. A fold over each key's frames in order.
+    stretch longer than ``most_us`` would go unseen. The frames of a key stream by in order.
     """
     order = Window.partitionBy(*keys).orderBy("at_us")
     ahead = frames.join(durations, list(keys)).withColumn("next_us", F.coalesce(F.lead("at_us").over(order), F.col(duration)))
-    frame = F.struct("at_us", "words", "at_shot_boundary", "next_us")
-    listed = ahead.groupBy(*keys).agg(F.array_sort(F.collect_list(frame)).alias("__f"))
-    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    start = F.struct(F.lit(None).cast("long").alias("at"), F.array().cast("array<long>").alias("words"), F.array().cast("array<long>").alias("kept"))
 
-    def step(s, x):
-        new = s["at"].isNull() | x["at_shot_boundary"] | (apart(x["words"], s["words"]) > distance) | (x["next_us"] - s["at"] > most_us)
-        return F.when(new, F.struct(x["at_us"].alias("at"), x["words"].alias("words"), F.concat(s["kept"], F.array(x["at_us"])).alias("kept"))).otherwise(s)
+    def fold() -> Callable[[tuple], bool]:
+        last: list = []
+
+        def step(row: tuple) -> bool:
+            at, words, cut, following = row
+            good = not last or cut or following - last[0] > most_us or sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(words, last[1], strict=True)) > distance
+            if good:
+                last[:] = [at, words]
+            return good
+
+        return step
 
-    return listed.select(*keys, F.explode(F.aggregate("__f", start, step, lambda s: s["kept"])).alias("at_us"))
+    return in_order(ahead.select(*keys, "at_us", "words", "at_shot_boundary", "next_us"), keys, ["at_us", "words", "at_shot_boundary", "next_us"], fold).select(*keys, "at_us")
 
 
 def settled(probes: DataFrame, keys: Sequence[str], distance: int) -> DataFrame:

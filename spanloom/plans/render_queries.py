@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import time as T
-from spanloom.operators import reading, render, tracking
+from spanloom.operators import read_plans, render, tracks
 from spanloom.plans.tables import EVENTS, events, read
 from spanloom.sources import files
 
@@ -51,26 +51,35 @@ def track_entities(spark: SparkSession, sf: str) -> DataFrame:
     turns = _turns(spark, sf)
     seen = turns.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("at_us", (F.col("turn") * 10 + F.col("n")) * T.SECOND)
     lines = seen.select("conv_id", F.lit(10_000 * T.SECOND).cast("long").alias("duration_us"), "at_us", "text", F.lit(0.99).alias("confidence"), F.lit(0.4).alias("top"), F.lit(0.5).alias("bottom"), F.lit(0.1).alias("left"), F.lit(0.9).alias("right"), F.lit(None).cast("string").alias("look"), F.lit(False).alias("verification"), F.lit(False).alias("discovery"))
-    return tracking.track_cues(lines, ["conv_id"])
+    return tracks.track_cues(lines, ["conv_id"])
 
 
 def visible_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as runs of text in three slots of the frame, each moment owned once; the sweep has no SQL."""
+    """Events as runs of text in three slots of the frame, each moment owned once."""
     top = F.pmod("event_id", F.lit(3)) * 0.3
     rows = events(spark, sf).select("k", "start_us", "end_us", F.col("kind").alias("text"), top.alias("top"), (top + 0.1).alias("bottom"), F.lit(0.1).alias("left"), F.lit(0.9).alias("right"))
-    return tracking.owned(rows, ["k"])
+    return tracks.owned(rows, ["k"])
 
 
 def read_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Which events of each user to read, had each a signature of its kind: a fold that has no SQL."""
+    """Which events of each user to read, had each a signature of its kind."""
     rows = events(spark, sf).select("k", F.col("start_us").alias("at_us"), F.array(F.length("kind"), F.floor(F.col("value") / 10).cast("int")).alias("signature"), (F.col("event_id") % 50 == 0).alias("required"))
-    return reading.reads(rows, ["k"], refresh_s=86400.0, check_s=3600.0)
+    return read_plans.reads(rows, ["k"], refresh_s=86400.0, check_s=3600.0)
 
 
 QUERIES = {f.__name__: f for f in (vtt_parse, json3_parse, audio_lines, text_lines, track_entities, visible_regions, read_plan)}
 
 TURNS = r"t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '<[^>]{0,40}>', '', 'g'), '\s+', ' ', 'g')) AS text FROM conversations)"
 ORACLES = {
+    # texts cover one another only where they are equal, and of those in one slot the earliest has the first claim
+    "visible_regions": f"""WITH {EVENTS}, m AS (SELECT *, max(end_us) OVER (PARTITION BY k, kind, event_id % 3 ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM ev WHERE end_us > start_us)
+SELECT k, greatest(start_us, coalesce(reached, start_us)) AS start_us, end_us, kind AS text FROM m WHERE end_us > coalesce(reached, start_us)""",
+    "read_plan": f"""WITH RECURSIVE {EVENTS}, f AS (SELECT k, start_us AS at_us, [length(kind), floor(value / 10)::INT] AS sig, event_id % 50 = 0 AS required, row_number() OVER (PARTITION BY k ORDER BY start_us) AS n FROM ev),
+r(k, n, checked, last_read, sig, take) AS (SELECT k, n, at_us, at_us, sig, true FROM f WHERE n = 1
+  UNION ALL SELECT f.k, f.n, CASE WHEN d.due THEN f.at_us ELSE r.checked END, CASE WHEN t.take THEN f.at_us ELSE r.last_read END, CASE WHEN t.take THEN f.sig ELSE r.sig END, t.take
+  FROM r JOIN f ON f.k = r.k AND f.n = r.n + 1, LATERAL (SELECT f.at_us - r.checked >= 3600000000 AS due) d,
+  LATERAL (SELECT f.required OR f.at_us - r.last_read >= 86400000000 OR (d.due AND f.sig <> r.sig) AS take) t)
+SELECT r.k, f.at_us FROM r JOIN f ON r.k = f.k AND r.n = f.n WHERE take""",
     "vtt_parse": f"WITH {TURNS} SELECT conv_id, turn * 3500000 AS start_us, text FROM t WHERE text <> ''",
     "json3_parse": f"WITH {TURNS} SELECT conv_id, false AS word_timed, turn * 2000000 + 250000 AS start_us, text FROM t WHERE text <> ''",
     "audio_lines": f"""WITH {EVENTS}, s AS (SELECT *, CASE WHEN kind IN ('view', 'click') THEN 'event ' || event_id ELSE '' END AS words FROM ev WHERE kind IN ('view', 'click', 'purchase'))

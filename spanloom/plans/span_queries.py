@@ -135,9 +135,13 @@ def nearest(spark: SparkSession, sf: str) -> DataFrame:
 def support_count(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct moments of the key within an hour of each event, and whether two support it."""
     rows = events(spark, sf)
-    near = Window.partitionBy("k", "kind").orderBy("start_us").rangeBetween(-HOUR, HOUR)
-    counted = rows.withColumn("n", F.size(F.collect_set("start_us").over(near)))
-    return counted.select("event_id", F.col("n").cast("long").alias("n_moments"), (F.col("n") >= 2).alias("supported"))
+    counted = joins.support(rows, ["k", "kind"], "start_us", HOUR)
+    return counted.select("event_id", "n_moments", (F.col("n_moments") >= 2).alias("supported"))
+
+
+def asof_any(spark: SparkSession, sf: str) -> DataFrame:
+    """The event of the user before each event, at most twelve hours back."""
+    return joins.as_of_previous(events(spark, sf), KEYS, "start_us", "event_id", 12 * HOUR).select("k", "event_id", "prev_event_id")
 
 
 def change_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,14 +175,14 @@ def neighbour_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dedupe_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as frames with their number's bits as hash: a fold that has no SQL."""
+    """Events as frames with sixteen bits of their number as hash."""
     rows, ends = relative(spark, sf)
-    frames = rows.select("k", F.col("start_us").alias("at_us"), F.array(F.xxhash64("kind").bitwiseAND(F.lit(0xFFFF))).alias("words"), (F.col("kind") == "error").alias("at_shot_boundary"))
+    frames = rows.select("k", F.col("start_us").alias("at_us"), F.array(F.pmod(F.col("event_id") * 40503, F.lit(65536))).alias("words"), (F.col("kind") == "error").alias("at_shot_boundary"))
     return sampling.dedupe(frames, KEYS, ends, 6 * HOUR, 4)
 
 
 def sample_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Moments to sample of each key under a budget of forty: a fixpoint that has no SQL."""
+    """Moments to sample of each key under a budget of forty."""
     rows, ends = relative(spark, sf)
     cuts = rows.where("kind = 'click'").select("k", F.col("start_us").alias("at_us"), F.col("value").alias("score"))
     return sampling.candidates(cuts, KEYS, ends, least_us=HOUR, most_us=24 * HOUR, budget=40)
@@ -191,13 +195,30 @@ def settled_probes(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.settled(probes, ["k", "kind"], 0)
 
 
-QUERIES = {f.__name__: f for f in (span_union, span_complement, span_split, timeline_partition, tumbling_count, rle_merge, coverage_fill, spacing_thin, point_in_span, unplaced_anti, overlap_semi, clip_overlap, first_overlap, asof_prev, nearest, support_count, change_points, weakest_cut, montage_cells, frame_clock, neighbour_frames, dedupe_frames, sample_candidates, settled_probes)}
+QUERIES = {f.__name__: f for f in (span_union, span_complement, span_split, timeline_partition, tumbling_count, rle_merge, coverage_fill, spacing_thin, point_in_span, unplaced_anti, overlap_semi, clip_overlap, first_overlap, asof_prev, nearest, support_count, asof_any, change_points, weakest_cut, montage_cells, frame_clock, neighbour_frames, dedupe_frames, sample_candidates, settled_probes)}
 
 CLIP_SQL = f"""SELECT a.event_id, b.event_id AS r_event_id, greatest(a.start_us, b.start_us) AS clip_start_us, least(a.end_us, b.end_us) AS clip_end_us
 FROM ev a JOIN ev b ON a.k = b.k AND a.kind = 'click' AND b.kind = 'error' AND a.start_us < b.end_us AND b.start_us < a.end_us
 WHERE least(a.end_us, b.end_us) - greatest(a.start_us, b.start_us) >= {30 * T.SECOND}"""
 
 ORACLES = {
+    "asof_any": f"""WITH {EVENTS}, x AS (SELECT l.k, l.event_id, r.event_id AS prev_event_id, row_number() OVER (PARTITION BY l.event_id ORDER BY r.start_us DESC, r.event_id DESC) AS n
+FROM ev l JOIN ev r ON l.k = r.k AND l.start_us > r.start_us AND l.start_us - r.start_us <= {12 * HOUR}) SELECT k, event_id, prev_event_id FROM x WHERE n = 1""",
+    "dedupe_frames": f"""WITH RECURSIVE {EVENTS}, f AS (SELECT k, start_us AS at_us, event_id * 40503 % 65536 AS word, kind = 'error' AS cut, coalesce(lead(start_us) OVER (PARTITION BY k ORDER BY start_us), duration_us) AS next_us FROM rel),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY at_us, word, cut, next_us) AS n FROM f),
+r(k, n, seen, word, kept) AS (SELECT k, n, at_us, word, true FROM o WHERE n = 1
+  UNION ALL SELECT o.k, o.n, CASE WHEN c.good THEN o.at_us ELSE r.seen END, CASE WHEN c.good THEN o.word ELSE r.word END, c.good
+  FROM r JOIN o ON o.k = r.k AND o.n = r.n + 1, LATERAL (SELECT o.cut OR bit_count(xor(o.word, r.word)) > 4 OR o.next_us - r.seen > {6 * HOUR} AS good) c)
+SELECT r.k, o.at_us FROM r JOIN o ON r.k = o.k AND r.n = o.n WHERE kept""",
+    "sample_candidates": f"""WITH RECURSIVE {EVENTS}, c AS (SELECT k, start_us + 250000 AS m, min(value) AS s FROM rel WHERE kind = 'click' AND start_us + 250000 < duration_us GROUP BY 1, 2),
+t(k, m) AS (SELECT k, 0::BIGINT FROM dur UNION ALL SELECT t.k, (SELECT min(c.m) FROM c WHERE c.k = t.k AND c.m >= t.m + {HOUR}) FROM t WHERE EXISTS (SELECT 1 FROM c WHERE c.k = t.k AND c.m >= t.m + {HOUR})),
+z AS (SELECT d.k, d.duration_us AS e, coalesce(list({{'s': c.s, 'm': c.m}}) FILTER (c.m IS NOT NULL), []) AS kept FROM dur d LEFT JOIN (SELECT c.* FROM c JOIN t ON c.k = t.k AND c.m = t.m WHERE t.m > 0) c ON d.k = c.k GROUP BY d.k, d.duration_us),
+w(k, e, kept, i) AS (SELECT k, e, kept, 0 FROM z UNION ALL SELECT k, e, list_sort(kept)[surplus + 1:], i + 1 FROM (SELECT *, 1 + len(kept) + coalesce(list_sum(list_transform(range(1, len(edges)), lambda j: greatest((edges[j + 1] - edges[j] + {24 * HOUR - 1}) // {24 * HOUR} - 1, 0))), 0)::BIGINT - 40 AS surplus
+  FROM (SELECT *, list_sort(list_concat([0, e], list_transform(kept, lambda x: x.m))) AS edges FROM w)) WHERE surplus > 0 AND len(kept) > 0),
+l AS (SELECT k, e, list_transform(kept, lambda x: x.m) AS cuts FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) = 1),
+g AS (SELECT k, list_sort(list_concat([0, e], cuts)) AS edges, cuts FROM l),
+h AS (SELECT k, edges[j] AS a, edges[j + 1] AS b, (edges[j + 1] - edges[j] + {24 * HOUR - 1}) // {24 * HOUR} AS parts FROM (SELECT *, unnest(range(1, len(edges))) AS j FROM g))
+SELECT k, 0::BIGINT AS at_us, false AS at_shot_boundary FROM g UNION ALL SELECT k, unnest(cuts), true FROM g UNION ALL SELECT k, a + i * (b - a) // parts, false FROM (SELECT *, unnest(range(1, parts)) AS i FROM h WHERE b - a > {24 * HOUR})""",
     "frame_clock": f"""WITH {EVENTS}, f AS (SELECT k, duration_us, unnest(range(0, greatest((duration_us + {HOUR - 1}) // {HOUR}, 1))) AS frame FROM dur WHERE duration_us > 0) SELECT k, frame, least(frame * {HOUR}, duration_us) AS at_us FROM f WHERE frame % 3 = 0""",
     "neighbour_frames": f"""WITH {EVENTS}, c AS (SELECT DISTINCT k, start_us // {HOUR} AS frame FROM rel), n AS (SELECT k, frame - 1 AS frame FROM c UNION SELECT k, frame + 1 FROM c) SELECT k, frame FROM n WHERE frame >= 0 AND NOT EXISTS (SELECT 1 FROM c WHERE c.k = n.k AND c.frame = n.frame)""",
     "settled_probes": f"""WITH {EVENTS}, p AS (SELECT k, kind, start_us AS a, start_us % {24 * HOUR} // {HOUR} AS h, value < 2 AS flat FROM ev),

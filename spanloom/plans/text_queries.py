@@ -186,9 +186,10 @@ def box_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sequence_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    """Similarity of each benchmark text and the one after it; matching blocks have no SQL."""
-    rows = read(spark, sf, "benchmark").withColumn("after", F.lead("text").over(Window.orderBy("item_id")))
-    return rows.where(F.col("after").isNotNull()).select("item_id", F.round(X.ratio(F.col("text"), F.col("after"), False), 6).alias("ratio"))
+    """Similarity of each benchmark text and that of the next number; matching blocks have no SQL."""
+    rows = read(spark, sf, "benchmark")
+    rows = rows.join(rows.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("after")), "item_id")
+    return rows.select("item_id", F.round(X.ratio(F.col("text"), F.col("after"), False), 6).alias("ratio"))
 
 
 QUERIES = {f.__name__: f for f in (text_key, number_tokens, strip_conventions, token_count, normal_form, script_share, clean_markup, clause_count, number_safety, caption_spans, token_placement, route_window, decision_counts, best_account, clip_coverage, conversation_digest, conversation_text, label_two_bar, top_labels, median_height, first_language, priced_cost, mean_hash, difference_hash, hamming_adjacent, signature_change, box_bands, sequence_ratio)}

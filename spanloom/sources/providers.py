@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from spanloom.operators import spans, tags
 
 LABELS = "array<struct<label:string,confidence:double>>"
+#: Lines of a reader, boxes in fractions of what was read.
+LINES = "array<struct<text:string,confidence:double,left:double,top:double,right:double,bottom:double,text_height:double,look:string>>"
 SENTENCES = "array<struct<start_us:bigint,end_us:bigint,text:string,language:string,events:array<string>>>"
 
 
@@ -33,7 +35,11 @@ class Tagger(Protocol):
 
 
 class Reader(Protocol):
-    def read(self, paths: Sequence[str]) -> Sequence[Sequence[dict[str, Any]]]: ...
+    """Lines of a frame or of a box of it (left, top, right, bottom in fractions), and a 256-bit look of a box."""
+
+    def read(self, path: str, box: tuple[float, float, float, float] | None) -> Sequence[dict[str, Any]]: ...
+
+    def fingerprint(self, path: str, box: tuple[float, float, float, float]) -> str: ...
 
 
 class StubDetector:

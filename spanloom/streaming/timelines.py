@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanloom.operators.tracking import Settings, Tracker, frames_of, prepared
+from spanloom.operators.tracks import Follower, Settings, frames_of, prepared
 
 
 def tumbling(events: DataFrame, key: str, at: str, size: str, lateness: str) -> DataFrame:
@@ -51,18 +51,19 @@ def tracked(lines: DataFrame, key: str, at: str, lateness: str, settings: Settin
     columns = [c for c in ("at_us", "text", "confidence", "top", "bottom", "left", "right", "look", "verification", "discovery")]
 
     def run(found: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, waiting = pickle.loads(state.get[0]) if state.exists else (Tracker(horizon_s, settings), pd.DataFrame(columns=columns))
+        tracker, waiting = pickle.loads(state.get[0]) if state.exists else (Follower(horizon_s, settings), pd.DataFrame(columns=columns))
         ended = state.hasTimedOut
         if not ended:
             waiting = pd.concat([waiting, *(b[columns] for b in batches)])
         now = state.getCurrentWatermarkMs() * 1000
         ready = waiting if ended else waiting[waiting.at_us <= now]
         waiting = waiting.iloc[0:0] if ended else waiting[waiting.at_us > now]
-        for frame in prepared(frames_of(ready), settings) if len(ready) else ():
+        for frame in prepared(list(frames_of(ready)), settings) if len(ready) else ():
             tracker.take(frame)
         done = tracker.finish() if ended else tracker.closed
-        out = pd.DataFrame([(found[0], round(t.start * 1e6), round(end * 1e6), t.best.text) for t, end in done], columns=[key, "start_us", "end_us", "text"])
-        tracker.closed = []
+        out = pd.DataFrame([(found[0], round(t.since * 1e6), round(end * 1e6), tracker.lines.words[t.best].text) for t, end in done], columns=[key, "start_us", "end_us", "text"])
+        # the state is what is open
+        tracker.compacted()
         if ended:
             state.remove()
         else:

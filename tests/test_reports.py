@@ -1,9 +1,7 @@
-"""Reports, the bounded loop with stubs, and the plans of what to read."""
+"""Reports and the bounded loop with stubs."""
 
 import pytest
 
-from spanloom.operators import reading
-from spanloom.operators.lines import Line
 from spanloom.plans import agent as A
 from spanloom.plans import report as R
 
@@ -83,31 +81,3 @@ def test_errors_that_do_not_pass_are_raised():
 def test_nothing_is_priced_without_rates():
     assert A.Rates().cost({"prompt_tokens": 9}) is None
     assert A.Rates(read=2, cached=1).cost({"input_tokens": 10, "cached_tokens": 99}) == pytest.approx(10 / 1e6)
-
-
-def test_still_frames_are_read_every_four_seconds():
-    assert reading.to_read([(i / 4, (1, 2)) for i in range(33)]) == [0, 16, 32]
-
-
-def test_change_and_required_moments_are_read():
-    frames = [(float(i), (i >= 2,)) for i in range(4)]
-    assert reading.to_read(frames) == [0, 2]
-    assert reading.to_read(frames, required=[2.9]) == [0, 2, 3]
-
-
-def test_slots_that_change():
-    a, b = Line("First text", 0.97, 0.9, 0.95, 0.3, 0.7), Line("NEXT STEP", 0.9, 0.9, 0.95, 0.32, 0.7)
-    far = Line("elsewhere", 0.9, 0.1, 0.15, 0.3, 0.7)
-    found = reading.changing_slots([(0.0, a), (2.0, b), (2.0, far), (9.0, a)])
-    assert [(x[0], x[1], x[3].text) for x in found] == [(0.0, 2.0, "NEXT STEP")]
-    assert reading.in_changing_slot(1.0, a, found) and not reading.in_changing_slot(1.0, far, found)
-
-
-def test_rescan_follows_the_last_look():
-    looks = [(0.0, 0), (0.25, (1 << 64) - 1), (0.5, 0), (1.0, 0), (2.0, 0), (2.25, 1)]
-    assert reading.to_rescan(looks, base=[2.0]) == [0.25, 1.0]
-
-
-def test_overlapping_boxes_become_one():
-    assert reading.merged_boxes([(0, 0, 4, 1), (1, 0, 6, 1), (9, 0, 12, 1), (1, 0.2, 2, 0.4)]) == [(0, 0, 6, 1), (9, 0, 12, 1)]
-    assert len(reading.merged_boxes([(0, 0, 4, 1), (0, 0.9, 4, 2)])) == 2

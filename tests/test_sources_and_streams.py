@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from spanloom.operators.tracking import Settings
+from spanloom.operators.tracks import Settings
 from spanloom.sources import files
 from spanloom.streaming import timelines
 
