@@ -83,19 +83,30 @@ def test_windows_that_agree_become_one(spark):
     assert found == [(0, 2, ["x", "y"]), (2, 4, [])]
 
 
-def moments(cuts, end, **more):
-    found = sampling.settle([(int(t * S), s) for t, s in cuts], int(end * S), **{"least_us": 2 * S, "most_us": 30 * S, "offset_us": S // 4, "budget": 0} | more)
+def moments(spark, cuts, end, **more):
+    df = spark.createDataFrame([("a", int(t * S), float(s)) for t, s in cuts], "k string, at_us long, score double")
+    found = sorted(tuple(r)[1:] for r in sampling.candidates(df, ["k"], ends(spark, end), **{"budget": 0} | more).collect())
     return [m / S for m, _ in found], [m / S for m, cut in found if cut]
 
 
-def test_cuts_keep_their_distance():
-    assert moments([(10, 1), (10.5, 1), (11, 1), (11.5, 1), (13, 1)], 20)[1] == [10.25, 13.25]
+def test_cuts_keep_their_distance(spark):
+    assert moments(spark, [(10, 1), (10.5, 1), (11, 1), (11.5, 1), (13, 1)], 20)[1] == [10.25, 13.25]
 
 
-def test_weak_cuts_go_first_and_gaps_stay_covered():
-    every, cuts = moments([(t, t) for t in range(2, 59, 3)], 60, budget=6, most_us=20 * S)
+def test_weak_cuts_go_first_and_gaps_stay_covered(spark):
+    every, cuts = moments(spark, [(t, t) for t in range(2, 59, 3)], 60, budget=6, most_us=20 * S)
     assert cuts == [50.25, 53.25, 56.25][-len(cuts) :] and len(every) <= 6
-    assert max(b - a for a, b in zip(every, [*every[1:], 60])) <= 20
+    assert max(b - a for a, b in zip(every, [*every[1:], 60], strict=True)) <= 20
+
+
+def test_a_fold_goes_on_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.range(200).selectExpr("cast(id % 2 as string) as k", "id * 1000 as at_us")
+        found = sorted((r.k, r.at_us) for r in sampling.spaced(df, ["k"], 30_000).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == [(str(k), (i + k) * 1000) for k in (0, 1) for i in range(0, 200, 30)]
 
 
 def test_no_cut_leaves_no_gap_above_the_interval(spark):
