@@ -4,15 +4,22 @@ The posterior of a language given a row is the product of a text likelihood, the
 the address suffix and the host's prior, normalised:
 
 * text: hashed byte-trigram multinomials, fitted on a bounded sample of the rows of each declared language and
-  applied to whole texts; the log-likelihood ratio is tempered, as neighbouring trigrams are not independent;
+  applied to whole texts; the log-likelihood ratio is tempered, as neighbouring trigrams are not independent.
+  What a profile leaves to trigrams it hasn't seen is the share of its own that it saw once;
 * declaration and address: a symmetric confusion, right with a fixed probability;
 * host: counts of the text's own best language by host, its parent domain, and all rows, each level smoothed
-  by the one above it. The counts come from grouped aggregation over all rows, so a host with a third of all
-  rows is summed before the shuffle.
+  by the one above it and without the row itself, whose text is evidence already. The counts come from grouped
+  aggregation over all rows, so a host with a third of all rows is summed before the shuffle; rows of such
+  hosts meet their prior in several tasks.
+
+``und`` is a class of its own for texts of languages without a profile: half the mean of all profiles, half all
+trigrams alike. Its rows are never kept.
 
 Defined results: a null or empty text gives equal text likelihoods and the other evidence decides; without
-any evidence the global prior does. A null host takes the global prior. An empty table gives an empty result;
-repeated rows get equal results.
+any evidence the global prior does. A null host takes the global prior. Where no row declares a language,
+nothing can be told: every row is ``und`` at 0 and kept, as there is nothing to reject it by. An empty table
+gives an empty result; repeated rows get equal results. Columns of any names may stand beside; those called
+``language``, ``posterior`` and ``kept`` are replaced by ``identify``.
 """
 
 from __future__ import annotations
@@ -30,6 +37,9 @@ from .shared import sliced, stash, texts_of
 
 SLOTS = 1 << 16
 BLOCK = 4 << 20
+UNKNOWN = "und"
+#: Rows of a host of at least this part of all are dealt to several tasks; there are as many such hosts at most.
+HOT_SHARE = 1 / 200
 
 
 @dataclass(frozen=True)
@@ -79,18 +89,23 @@ def _drawn_by_language(labelled: DataFrame, settings: Settings) -> DataFrame:
 
 def fit(docs: DataFrame, text: str, declared: str, settings: Settings = Settings()) -> Profiles:
     """Trigram profiles of all languages that rows with text declare, each from rows of its own."""
-    labelled = docs.where(F.col(declared).isNotNull() & (F.length(F.trim(F.col(text))) > 0)).withColumns({"t": F.col(text), "l": F.lower(declared)})
+    labelled = docs.select(F.col(f"`{text}`").alias("t"), F.lower(F.col(f"`{declared}`")).alias("l")).where((F.length(F.trim("t")) > 0) & (F.col("l") != UNKNOWN))
     texts: dict[str, list[str]] = {}
     for r in _drawn_by_language(labelled, settings).collect():
         texts.setdefault(r.l, []).append(r.t)
-    languages = tuple(sorted(texts)) or ("und",)
-    weights = np.empty((SLOTS, len(languages)), np.float32)
-    for i, language in enumerate(languages):
-        counts = np.full(SLOTS, 0.05)
-        for t in texts.get(language, ()):
+    known = tuple(sorted(texts))
+    shares, unseen = np.empty((SLOTS, len(known))), np.empty(len(known))
+    for i, language in enumerate(known):
+        counts = np.zeros(SLOTS)
+        for t in texts[language]:
             counts += np.bincount(_slots(_bytes(t)), minlength=SLOTS)
-        weights[:, i] = np.log(counts / counts.sum())
-    return Profiles(languages, weights)
+        total = max(counts.sum(), 1.0)
+        unseen[i] = min(0.5, max((counts == 1).sum(), 1) / total)
+        shares[:, i] = counts / total
+    weights = np.empty((SLOTS, len(known) + 1), np.float32)
+    weights[:, :-1] = np.log((1 - unseen) * shares + unseen / SLOTS)
+    weights[:, -1] = np.log(0.5 * (shares.mean(1) if known else 1 / SLOTS) + 0.5 / SLOTS)
+    return Profiles((*known, UNKNOWN), weights)
 
 
 def _batch_scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
@@ -121,7 +136,7 @@ def _batch_scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
 
 
 def log_likelihoods(docs: DataFrame, text: str, profiles: Profiles, settings: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``__ll``: the tempered log-likelihood of each language, 0 for the likeliest."""
+    """``docs`` (or its columns ``keep``) with ``__ll``: the tempered log-likelihood of each language, 0 for the likeliest."""
     weights, temper = profiles.weights, settings.temper
     source = docs if keep is None else docs.select(*(F.col(f"`{k}`") for k in dict.fromkeys([*keep, text])))
     names = [n for n in source.columns if keep is None or n in keep]
@@ -146,87 +161,98 @@ def parent_domain(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def host_priors(scored: DataFrame, host: str, languages: tuple[str, ...], settings: Settings = Settings()) -> tuple[DataFrame, list[float]]:
-    """A smoothed prior for each host and language, and the global prior.
+def _own(host: str, i: int) -> Column:
+    """1.0 where a row counts for language ``i`` of its host: where its text tells one language from all others."""
+    sure = F.size(F.filter("__ll", lambda x: x > -2.0)) == 1
+    return F.when(F.col(host).isNotNull() & sure & (F.array_position("__ll", F.array_max("__ll")) == i + 1), 1.0).otherwise(0.0)
 
-    Each level's counts are smoothed by the level above it: all rows, parent domain, host.
-    """
+
+def host_counts(scored: DataFrame, host: str, languages: tuple[str, ...]) -> tuple[DataFrame, list[float], dict[str, int]]:
+    """(``__host``, ``__c``, ``__d``: rows of each language of the host and of its parent domain; those of all rows;
+    the number of tasks for the rows of each hot host)."""
     k = len(languages)
-    best = F.array_position("__ll", F.array_max("__ll")) - 1
-    sure = F.size(F.filter("__ll", lambda x: x > -2.0)) == 1
-    counts = (
-        scored.where(F.col(host).isNotNull() & sure)
-        .groupBy(F.col(host).alias("__host"))
-        .agg(*(F.count_if(best == i).cast("double").alias(f"__c{i}") for i in range(k)))
-    )
+    counts = scored.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("__n"), *(F.sum(_own(host, i)).alias(f"__c{i}") for i in range(k)))
     counts = stash(counts, "host-counts")
     domains = counts.groupBy(parent_domain(F.col("__host")).alias("__domain")).agg(*(F.sum(f"__c{i}").alias(f"__d{i}") for i in range(k)))
     domains = stash(domains, "domain-counts")
     row = domains.agg(*(F.sum(f"__d{i}").alias(f"g{i}") for i in range(k))).first()
-    totals = [(row[f"g{i}"] or 0.0) + 1.0 for i in range(k)]
-    overall = [x / sum(totals) for x in totals]
-    a = settings.smoothing
-    d_sum = sum((F.col(f"__d{i}") for i in range(k)), F.lit(0.0))
-    domain_prior = F.array(*((F.col(f"__d{i}") + a * overall[i]) / (d_sum + a) for i in range(k)))
-    c_sum = sum((F.col(f"__c{i}") for i in range(k)), F.lit(0.0))
-    host_prior = F.array(*((F.col(f"__c{i}") + a * F.col("__dp")[i]) / (c_sum + a) for i in range(k)))
-    priors = (
-        counts.join(domains.select("__domain", domain_prior.alias("__dp")), parent_domain(F.col("__host")) == F.col("__domain"))
-        .select("__host", host_prior.alias("__prior"))
-    )
-    return stash(priors, "host-priors"), overall
+    rows = counts.agg(F.sum("__n")).first()[0] or 0
+    hot = {r["__host"]: int(-(-r["__n"] // max(1, int(HOT_SHARE * rows)))) for r in counts.where(F.col("__n") > HOT_SHARE * rows).select("__host", "__n").collect()}
+    found = counts.join(domains, parent_domain(F.col("__host")) == F.col("__domain"))
+    found = found.select("__host", F.array(*(f"__c{i}" for i in range(k))).alias("__c"), F.array(*(f"__d{i}" for i in range(k))).alias("__d"))
+    return stash(found, "host-levels"), [row[f"g{i}"] or 0.0 for i in range(k)], hot
 
 
 def _evidence(value: Column, i: int, languages: tuple[str, ...], right: float) -> Column:
-    """log P(value | language i); 0 where the value is missing or names no profiled language."""
-    wrong = (1 - right) / max(len(languages) - 1, 1)
-    known = value.isin(*languages)
-    return F.when(known & (value == languages[i]), float(np.log(right))).when(known, float(np.log(max(wrong, 1e-9)))).otherwise(0.0)
+    """log P(value | language i); 0 where the value is missing or names no profiled language. ``und`` is anyone's."""
+    known = [x for x in languages if x != UNKNOWN]
+    if languages[i] == UNKNOWN:
+        return F.when(value.isin(*known), float(np.log(1 / max(len(known), 1)))).otherwise(0.0)
+    wrong = (1 - right) / max(len(known) - 1, 1)
+    return F.when(value == languages[i], float(np.log(right))).when(value.isin(*known), float(np.log(max(wrong, 1e-9)))).otherwise(0.0)
 
 
-def fuse(scored: DataFrame, priors: DataFrame, overall: list[float], languages: tuple[str, ...], declared: str | None, suffix: str | None, host: str | None, settings: Settings = Settings()) -> DataFrame:
-    """Add ``language``, ``posterior`` and ``kept`` from all the evidence; Catalyst expressions alone."""
-    k = len(languages)
+def _parts(host: Column, hot: dict[str, int]) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in hot.items() for x in pair)) if hot else None
+    return F.coalesce(F.try_element_at(table, host), F.lit(1)) if hot else F.lit(1)
+
+
+def fuse(scored: DataFrame, levels: DataFrame | None, overall: list[float], hot: dict[str, int], languages: tuple[str, ...], declared: str | None, suffix: str | None, host: str | None, settings: Settings = Settings()) -> DataFrame:
+    """Add ``__language``, ``__posterior`` and ``__kept`` from all the evidence; Catalyst expressions alone."""
+    k, a = len(languages), settings.smoothing
+    own = [_own(host, i) for i in range(k)] if host else [F.lit(0.0)] * k
+    mine = sum(own, F.lit(0.0))
+    prior = [(overall[i] + 1 - own[i]) / (sum(overall) + k - mine) for i in range(k)]
     if host:
-        joined = scored.join(priors, scored[host] == priors["__host"], "left").drop("__host")
+        dealt = scored.withColumn("__part", F.pmod(F.xxhash64("__row"), _parts(F.col(host), hot)))
+        spread = levels.withColumn("__at", F.explode(F.sequence(F.lit(0), _parts(F.col("__host"), hot) - 1)))
+        joined = dealt.join(spread, (F.col(host) == F.col("__host")) & (F.col("__part") == F.col("__at")), "left")
+        for level in ("__d", "__c"):
+            total = F.aggregate(level, F.lit(0.0), lambda s, x: s + x)
+            prior = [F.when(F.col(level).isNull(), prior[i]).otherwise((F.col(level)[i] - own[i] + a * prior[i]) / (total - mine + a)) for i in range(k)]
     else:
-        joined = scored.withColumn("__prior", F.lit(None).cast("array<double>"))
-    prior = F.coalesce(F.col("__prior"), F.array(*(F.lit(x) for x in overall)))
+        joined = scored
     logs = [F.col("__ll")[i] + F.log(prior[i]) for i in range(k)]
     for name, right in ((declared, settings.declared_right), (suffix, settings.suffix_right)):
         if name:
             logs = [x + _evidence(F.lower(F.col(name)), i, languages, right) for i, x in enumerate(logs)]
     joined = joined.withColumn("__log", F.array(*logs))
     top = F.array_max("__log")
-    joined = joined.withColumn("language", F.element_at(F.array(*(F.lit(x) for x in languages)), F.array_position("__log", top).cast("int")))
-    joined = joined.withColumn("posterior", 1 / F.aggregate("__log", F.lit(0.0), lambda s, x: s + F.exp(x - top)))
-    return joined.withColumn("kept", F.col("posterior") >= settings.least).drop("__ll", "__prior", "__log")
+    joined = joined.withColumn("__language", F.element_at(F.array(*(F.lit(x) for x in languages)), F.array_position("__log", top).cast("int")))
+    if k == 1:
+        return joined.withColumns({"__posterior": F.lit(0.0), "__kept": F.lit(True)})
+    joined = joined.withColumn("__posterior", 1 / F.aggregate("__log", F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    return joined.withColumn("__kept", (F.col("__posterior") >= settings.least) & (F.col("__language") != UNKNOWN))
 
 
-def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", suffix: str | None = None, host: str | None = "source", settings: Settings = Settings(), profiles: Profiles | None = None, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``language``, ``posterior`` and ``kept``.
+def _identified(docs: DataFrame, text: str, declared: str | None, suffix: str | None, host: str | None, settings: Settings, profiles: Profiles | None, keep: list[str]) -> DataFrame:
+    """``__row`` (the columns ``keep``), ``__language``, ``__posterior`` and ``__kept``.
 
-    The text is read twice, once for the host counts and once for the verdicts: sending whole texts through
-    a shuffle to save the second pass would cost more.
+    The row travels as one struct, so that its columns' names cannot clash with the evidence's. The text is read
+    twice, once for the host counts and once for the verdicts: sending whole texts through a shuffle to save the
+    second pass would cost more.
     """
+    lone = lambda c: F.col(f"`{c}`") if c else F.lit(None).cast("string")
     profiles = profiles or fit(docs, text, declared, settings)
-    wanted = None if keep is None else list(dict.fromkeys([*keep, *(x for x in (declared, suffix, host) if x)]))
-    priors, overall = (None, [1 / len(profiles.languages)] * len(profiles.languages))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("__row"), lone(text).alias("__text"), lone(declared).alias("__declared"), lone(suffix).alias("__suffix"), lone(host).cast("string").alias("__of"))
+    levels, overall, hot = None, [0.0] * len(profiles.languages), {}
     if host:
-        priors, overall = host_priors(log_likelihoods(docs, text, profiles, settings, [host]), host, profiles.languages, settings)
-    scored = log_likelihoods(docs, text, profiles, settings, wanted)
-    return fuse(scored, priors, overall, profiles.languages, declared, suffix, host, settings)
+        levels, overall, hot = host_counts(log_likelihoods(packed, "__text", profiles, settings, ["__of"]), "__of", profiles.languages)
+    scored = log_likelihoods(packed, "__text", profiles, settings, ["__row", "__declared", "__suffix", "__of"])
+    return fuse(scored, levels, overall, hot, profiles.languages, "__declared" if declared else None, "__suffix" if suffix else None, "__of" if host else None, settings)
 
 
-def keep_identified(docs: DataFrame, text: str = "text", declared: str | None = "lang", suffix: str | None = None, host: str | None = "source", settings: Settings = Settings(), write_to: str | None = None) -> DataFrame:
-    """The rows of ``docs`` whose language is certain enough, with their columns; ``write_to`` is set to the language.
+def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", suffix: str | None = None, host: str | None = "source", settings: Settings = Settings(), profiles: Profiles | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``language``, ``posterior`` and ``kept``."""
+    wanted = [c for c in (docs.columns if keep is None else keep) if c not in ("language", "posterior", "kept")]
+    found = _identified(docs, text, declared, suffix, host, settings, profiles, wanted)
+    return found.select(*(F.col(f"__row.`{c}`").alias(c) for c in wanted), F.col("__language").alias("language"), F.col("__posterior").alias("posterior"), F.col("__kept").alias("kept"))
 
-    The row travels as one struct, so that its columns' names cannot clash with the evidence's.
-    """
-    lone = lambda c: F.col(f"`{c}`") if c else F.lit(None).cast("string")
-    packed = docs.select(F.struct("*").alias("__row"), lone(text).alias("__text"), lone(declared).alias("__declared"), lone(suffix).alias("__suffix"), lone(host).alias("__of"))
-    out = identify(packed, "__text", "__declared", "__suffix", "__of" if host else None, settings).where("kept")
-    return out.select(*(F.col("language").alias(c) if c == write_to else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
+
+def keep_identified(docs: DataFrame, text: str = "text", declared: str | None = "lang", suffix: str | None = None, host: str | None = "source", settings: Settings = Settings(), write_to: str | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is certain enough, with their columns; ``write_to`` is set to the language."""
+    found = _identified(docs, text, declared, suffix, host, settings, None, docs.columns).where("__kept")
+    return found.select(*(F.col("__language").alias(c) if c == write_to else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
 
 
 #: Parts of an address that name a language.

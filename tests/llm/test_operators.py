@@ -95,12 +95,12 @@ def test_a_rare_declared_language_has_a_profile(spark):
     same = spark.range(30_000).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("le chien et le chat").alias("text"), F.lit("fr").alias("lang"), F.lit("c.x.org").alias("source"))
     df = spark.range(30_000).select(F.col("id").alias("doc_id"), body.alias("text"), declared.alias("lang"), F.lit("a.x.org").alias("source")).unionByName(same)
     drawn = {}
-    for r in language._drawn_by_language(df.where("lang is not null").withColumns({"t": F.col("text"), "l": F.lower("lang")}), language.Settings()).collect():
+    for r in language._drawn_by_language(df.where("lang is not null").select(F.col("text").alias("t"), F.lower("lang").alias("l")), language.Settings()).collect():
         drawn.setdefault(r.l, []).append(r.t)
     assert {k: len(v) for k, v in drawn.items()} == {"de": 1, "en": 300, "fr": 1}
     profiles = language.fit(df, "text", "lang")
     found = {r.doc_id: r.language for r in language.identify(df.where("doc_id in (-1, 77, 100)").distinct(), host=None, profiles=profiles).collect()}
-    assert profiles.languages == ("de", "en", "fr") and found == {-1: "fr", 77: "de", 100: "en"}
+    assert profiles.languages == ("de", "en", "fr", "und") and found == {-1: "fr", 77: "de", 100: "en"}
 
 
 def test_other_evidence_decides_an_empty_text(spark):
@@ -111,12 +111,86 @@ def test_other_evidence_decides_an_empty_text(spark):
     assert found[100].language == "fr" and found[101].language == "en" and found[102].posterior < 0.6
 
 
-def test_host_priors_are_smoothed_by_level(spark):
-    rows = [(f"h{i}.x.org", [0.0, -9.0]) for i in range(9)] * 20 + [("new.x.org", [-9.0, 0.0])] + [("far.y.org", [-9.0, 0.0])] * 50
-    df = spark.createDataFrame(rows, "host string, __ll array<double>")
-    priors, overall = language.host_priors(df, "host", ("en", "fr"))
-    p = {r["__host"]: r["__prior"] for r in priors.collect()}
-    assert p["far.y.org"][1] > p["new.x.org"][1] > p["h1.x.org"][1] and math.isclose(sum(overall), 1)
+def plain_fusion(rows, profiles, declared, suffix, host, settings=language.Settings()):
+    """(text, declared, suffix, host) rows to (language, posterior), in plain loops."""
+    names, known = profiles.languages, profiles.languages[:-1]
+    lls, own = [], []
+    for text, *_, h in rows:
+        data = (" " + (text or "").lower() + " ").encode()
+        ll = [0.0] * len(names)
+        if (text or "").strip():
+            for i in range(len(data) - 2):
+                slot = ((data[i] * 65536 + data[i + 1] * 256 + data[i + 2]) * 2654435761 % 2**32) >> 16
+                for n in range(len(names)):
+                    ll[n] += float(profiles.weights[slot, n])
+            ll = [x * settings.temper for x in ll]
+        ll = [x - max(ll) for x in ll]
+        lls.append(ll)
+        own.append(ll.index(0.0) if host and h is not None and sum(x > -2 for x in ll) == 1 else None)
+    out = []
+    for i, (_, d, s, h) in enumerate(rows):
+        counts = lambda among: [sum(own[j] == n for j in range(len(rows)) if j != i and among(rows[j][3])) for n in range(len(names))]  # noqa: B023, E731
+        every = counts(lambda x: x is not None)
+        prior = [(c + 1) / (sum(every) + len(names)) for c in every]
+        if host and h is not None:
+            for same in (lambda x: x is not None and x.split(".")[-2:] == h.split(".")[-2:], lambda x: x == h):  # noqa: B023
+                level = counts(same)
+                prior = [(c + settings.smoothing * p) / (sum(level) + settings.smoothing) for c, p in zip(level, prior, strict=True)]
+        logs = [x + math.log(p) for x, p in zip(lls[i], prior, strict=True)]
+        for used, value, right in ((declared, d, settings.declared_right), (suffix, s, settings.suffix_right)):
+            if used and value is not None and value.lower() in known:
+                logs = [x + math.log(1 / len(known) if n == "und" else right if n == value.lower() else max((1 - right) / max(len(known) - 1, 1), 1e-9)) for x, n in zip(logs, names, strict=True)]
+        top = max(logs)
+        out.append((names[logs.index(top)], 1 / sum(math.exp(x - top) for x in logs)))
+    return out
+
+
+def test_language_equals_plain_fusion(spark):
+    rng = random.Random(4)
+    some = {"en": "the cat and the dog saw that there was nothing", "fr": "le chat et le chien ont vu que rien", "de": "der Hund und die Katze sahen dass nichts da war"}
+    rows = []
+    for i in range(90):
+        lang = rng.choice(list(some))
+        words = some[lang].split()
+        text = rng.choice([" ".join(rng.choices(words, k=rng.randrange(1, 12))), " ".join(rng.choices(words, k=8)), "", None, "ζωή και φως στον κόσμο"])
+        rows.append((i, text, rng.choice([lang, None, "xx", "EN"]), rng.choice(["a.x.org", "b.x.org", "c.y.org", "d.z.org", None])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("__ll", F.lit(1)).withColumn("posterior", F.lit("x"))
+    profiles = language.fit(df, "text", "lang")
+    want = plain_fusion([(t, d, None, h) for _, t, d, h in rows], profiles, True, False, True)
+    found = {r.doc_id: r for r in language.identify(df, profiles=profiles).collect()}
+    for (i, *_), (lang, p) in zip(rows, want, strict=True):
+        assert found[i].language == lang and math.isclose(found[i].posterior, p, rel_tol=1e-6) and found[i].kept == (p >= 0.6 and lang != "und")
+
+
+def test_language_pages_equals_plain_fusion(spark):
+    from spanloom.llm import queries
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    parts = language.page_evidence(pages)
+    profiles = language.fit(parts, "__plain", "__declared")
+    rows = parts.orderBy("page_id").collect()
+    want = plain_fusion([(r["__plain"], r["__declared"], r["__suffix"], r["__address_host"]) for r in rows], profiles, True, True, True)
+    found = {r.page_id: r for r in queries.language_pages(spark, SF).collect()}
+    assert len(found) == len(rows)
+    for r, (lang, p) in zip(rows, want, strict=True):
+        assert found[r.page_id].language == lang and math.isclose(found[r.page_id].posterior, p, abs_tol=1e-5)
+
+
+def test_a_language_without_a_profile_is_unknown(spark, docs):
+    profiles = language.fit(docs, "text", "lang")
+    other = ["Мой дядя самых честных правил, когда не в шутку занемог, он уважать себя заставил", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である"]
+    df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(other)], "doc_id long, text string, lang string, source string")
+    found = language.identify(df, profiles=profiles).collect()
+    assert [r.language for r in found] == ["und"] * 3 and not any(r.kept for r in found)
+
+
+def test_few_labelled_rows_fit_and_none_reject_nothing(spark):
+    body = F.when(F.col("id") < 5, "the dog and the cat and the house").when(F.col("id") < 10, "der Hund und die Katze und das Haus").when(F.col("id") % 2 == 0, "a cat and the dog").otherwise("die Katze und der Hund")
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), body.alias("text"), F.when(F.col("id") < 5, "en").when(F.col("id") < 10, "de").alias("lang"), F.lit("h.org").alias("source"))
+    found = {tuple(r) for r in language.identify(df).where("doc_id >= 10").select(F.col("doc_id") % 2, "language", "kept").distinct().collect()}
+    assert found == {(0, "en", True), (1, "de", True)}
+    bare = language.identify(df.withColumn("lang", F.lit(None).cast("string"))).select("language", "posterior", "kept").distinct().collect()
+    assert [tuple(r) for r in bare] == [("und", 0.0, True)]
 
 
 def test_page_evidence(spark):
