@@ -12,8 +12,8 @@ the address suffix and the host's prior, normalised:
   aggregation over all rows, so a host with a third of all rows is summed before the shuffle; rows of such
   hosts meet their prior in several tasks.
 
-``und`` is a class of its own for texts of languages without a profile: half the mean of all profiles, half all
-trigrams alike. Its rows are never kept.
+``und`` is a class of its own for texts of languages without a profile: all trigrams alike, with a part of
+the mean of all profiles. Its rows are never kept.
 
 Defined results: a null or empty text gives equal text likelihoods and the other evidence decides; without
 any evidence the global prior does. A null host takes the global prior. Where no row declares a language,
@@ -38,6 +38,8 @@ from .shared import sliced, stash, texts_of
 SLOTS = 1 << 16
 BLOCK = 4 << 20
 UNKNOWN = "und"
+#: Part of the mean of all profiles in the class for other languages; the rest is all trigrams alike.
+ANYONES = 0.1
 #: Rows of a host of at least this part of all are dealt to several tasks; there are as many such hosts at most.
 HOT_SHARE = 1 / 200
 
@@ -104,7 +106,7 @@ def fit(docs: DataFrame, text: str, declared: str, settings: Settings = Settings
         shares[:, i] = counts / total
     weights = np.empty((SLOTS, len(known) + 1), np.float32)
     weights[:, :-1] = np.log((1 - unseen) * shares + unseen / SLOTS)
-    weights[:, -1] = np.log(0.5 * (shares.mean(1) if known else 1 / SLOTS) + 0.5 / SLOTS)
+    weights[:, -1] = np.log(ANYONES * (shares.mean(1) if known else 1 / SLOTS) + (1 - ANYONES) / SLOTS)
     return Profiles((*known, UNKNOWN), weights)
 
 
