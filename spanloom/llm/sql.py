@@ -12,6 +12,8 @@ WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
 
 
 def quality_sql() -> str:
+    stops = ", ".join(f"'{x}'" for x in sorted(quality.STOP_WORDS))
+    bullets = "".join(quality.BULLETS[1:]) + quality.BULLETS[0]
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS.format(x="coalesce(text, '')")} AS w FROM documents),
 l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 g AS (SELECT doc_id, i, (w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
@@ -19,10 +21,16 @@ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_i
 c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (VALUES (0), (1), (2)) v(o) GROUP BY doc_id),
 b AS (SELECT d.doc_id, t, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
   len(l.l) - len(list_distinct(l.l)) AS n_dup_lines, len(l.l) AS n_lines, coalesce(c.n, 0) AS n_repeat_words FROM d JOIN l ON d.doc_id = l.doc_id LEFT JOIN c ON d.doc_id = c.doc_id),
-f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b),
+q AS (SELECT doc_id, max(n) AS pair FROM (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, w[i] AS x, w[i + 1] AS y FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)) GROUP BY doc_id, x, y) GROUP BY doc_id),
+e AS (SELECT d.doc_id, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS alpha, len(list_filter(w, lambda x: list_contains([{stops}], lower(x)))) AS stops,
+  len(list_filter(l.l, lambda x: regexp_matches(x, '^[ \t]*[{bullets}]'))) AS bullets, len(list_filter(l.l, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*$'))) AS dots FROM d JOIN l ON d.doc_id = l.doc_id)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (10 * n_symbols > {quality.MAX_SYMBOLS_PER_10_WORDS} * n_words OR 2 * len(regexp_extract_all(t, '[A-ZÀ-ÖØ-Þ]')) > word_chars
-    OR 2 * (length(t) - length(replace(t, '!', ''))) > n_words OR 2 * n_dup_lines > n_lines OR word_chars > {quality.MAX_WORD_CHARS} * n_words) AS kept FROM f"""
+    OR 2 * (length(t) - length(replace(t, '!', ''))) > n_words OR 2 * n_dup_lines > n_lines OR word_chars > {quality.MAX_WORD_CHARS} * n_words
+    OR 100 * alpha < {quality.MIN_ALPHA_PERCENT} * n_words OR 100 * bullets > {quality.MAX_BULLET_PERCENT} * n_lines OR 100 * dots > {quality.MAX_ELLIPSIS_PERCENT} * n_lines
+    OR stops < {quality.MIN_STOP_WORDS} OR (coalesce(pair, 0) > 1 AND 200 * pair > {quality.MAX_TOP_PAIR_PERCENT} * n_words)) AS kept
+FROM f JOIN e ON f.doc_id = e.doc_id LEFT JOIN q ON f.doc_id = q.doc_id"""
 
 
 def neardup_sql() -> str:

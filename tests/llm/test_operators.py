@@ -68,8 +68,35 @@ def test_quality_verdict_does_not_depend_on_order(docs):
 
 def test_quality_orders_by_rejections_per_cost():
     fast, slow = quality.Rule("fast", lambda t: True), quality.Rule("slow", lambda t: sum(range(20_000)) > 0)
-    ranked = sorted(quality.measure(["x"] * 30, (slow, fast)), key=lambda m: -m.worth)
-    assert [m.rule.name for m in ranked] == ["fast", "slow"]
+    assert [m.rule.name for m in quality.ordered(["x"] * 30, (slow, fast))] == ["fast", "slow"]
+
+
+def test_quality_order_counts_what_is_alive_and_what_is_worked_out():
+    wait = lambda t: sum(range(30_000)) > 0
+    first = quality.Rule("first", lambda t: "a" in t.text)
+    # rejects most of all, but of what the first leaves nothing
+    shadow = quality.Rule("shadow", lambda t: wait(t) and "a" in t.text and len(t.text) < 9)
+    other = quality.Rule("other", lambda t: wait(t) and wait(t) and "b" in t.text)
+    found = quality.ordered(["a"] * 20 + ["b"] * 5 + ["c"] * 5, (shadow, other, first))
+    assert [m.rule.name for m in found] == ["first", "other", "shadow"] and [round(m.rejected, 2) for m in found] == [0.67, 0.5, 0.0]
+    # once words are split, a second rule over them costs less than one over something new
+    text = quality.Text("one two three " * 3000)
+    apart = quality.measure([text] * 5, quality.RULES[0]).seconds
+    assert len(text.words) == 9000 and quality.measure([text] * 5, quality.RULES[0]).seconds < apart / 5
+
+
+def test_quality_plan_is_one_for_any_order_of_rows(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "ordered", lambda texts, rules: [quality.Measured(quality.Rule(str(x), bool), 1.0, 0.0) for x in texts])
+    a = quality.plan(docs.orderBy("doc_id"), sample_rows=50)
+    b = quality.plan(docs.orderBy(F.desc("text")).repartition(5), sample_rows=50)
+    assert [r.name for r in a] == [r.name for r in b] and len(a) == 50
+
+
+@pytest.mark.parametrize("text,rule", [("- one point of it\n" * 60, "bullets"), ("and so it goes on ...\n" * 20, "ellipses"), ("12 the 3.4 and 77 of 8-9 " * 20, "few_alphabetic"), ("zorb qux flim " * 20, "no_stop_words"), ("of course he and she " + "very well " * 30, "one_pair")])
+def test_quality_rules(text, rule):
+    by_name = {r.name: r for r in quality.RULES}
+    assert by_name[rule].rejects(quality.Text(text))
+    assert not by_name[rule].rejects(quality.Text("The house at the end of the road was sold in May to a family with two dogs."))
 
 
 def test_quality_of_odd_rows(odd, none):
