@@ -7,17 +7,18 @@ A document is the set of its distinct five-word shingles. Per document, one pass
   has a population count from which the samples that differ, and so the similarity, follow precisely when
   it is high (Mitzenmacher, Pagh and Pham, 2014).
 
-Documents with equal sets are one class. Within each band bucket, every class is tried against one pivot,
-the member that shares most buckets with others; the pairs whose sketches allow the threshold are confirmed
-on full sets and joined into components. Buckets whose members still lie in different components are then
-searched for the pairs that cross components, the sketches being part of the join's condition, so that a
-group of near copies gives rows in proportion to its members and no link between different texts is passed
-over. The sketch limit leaves 5.5 standard deviations to a pair at the threshold.
+Documents with equal sets are one class, known by a mark of its own, so any rows may share a key. Within each
+band bucket, every class is tried against one pivot, the member that shares most buckets with others; the pairs
+whose sketches allow the threshold are confirmed on full sets and joined into components. A pivot with many
+pairs meets them in several tasks. Buckets whose members still lie in different components are then searched for
+the pairs that cross components, in blocks of ``BLOCK`` members that meet two by two, the sketches being part of
+the join's condition, so that a group of near copies gives rows in proportion to its members and no link between
+different texts is passed over. The sketch limit leaves 5.5 standard deviations to a pair at the threshold.
 
 Defined results: texts that are null, empty or without words have the empty set, no links and themselves
 as component; a text of fewer than five words is one shingle. Rows with equal texts share a component.
-A null key makes a null component, and is kept. Rows that share a key but differ in text share the
-component when the key is the least of both classes. An empty table gives an empty result.
+A null key makes a null component, and is kept. Rows that share a key but differ in text each have the component
+of their text. Keys may be of any type that has an order. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SKETCH_BITS = 64 * SKETCH_WORDS
 #: Bins of the one-permutation MinHash below and from LARGE shingles: few samples are masked in small sets,
 #: and the bitmap isn't saturated by large ones.
 SMALL_BINS, LARGE_BINS, LARGE = 4096, 1024, 1024
+#: Members of a bucket in one block, and pairs of a pivot in one task.
+BLOCK, PIVOT_PAIRS = 500, 200
 
 _random = np.random.default_rng(20240229)
 _XOR = _random.integers(0, 1 << 32, BANDS * BAND_ROWS, dtype=np.uint32)
@@ -87,10 +90,9 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return _mix((_mix(rows + _BAND[:, :BAND_ROWS]) * _BAND[:, 1:]).sum(1, dtype=np.uint64) + _BAND[:, 0]).astype(np.int64)
 
 
-def odd_sketch(items: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the one-permutation MinHash samples of a set."""
+def odd_sketch(items: np.ndarray, count: int) -> np.ndarray:
+    """Parity bitmap of the one-permutation MinHash samples of a set in ``count`` bins."""
     mixed = np.sort(_mix(items ^ np.uint64(0x9E3779B97F4A7C15)))
-    count = SMALL_BINS if len(items) < LARGE else LARGE_BINS
     bins = mixed >> np.uint64(64 - count.bit_length() + 1)
     first = np.ones(len(mixed), bool)
     first[1:] = bins[1:] != bins[:-1]
@@ -99,32 +101,34 @@ def odd_sketch(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+DIGEST = "__digest"
+
+
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``__id``, ``n_shingles``, and for sets that aren't empty ``fp``, ``bands`` and the sketch ``s0`` .. ``s15``."""
-    source = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text"))
-    names = ["__id", "n_shingles", "fp", "bands", *(f"s{i}" for i in range(SKETCH_WORDS))]
+    """``__id``, a digest of the text, ``n_shingles``, and for sets that aren't empty ``fp``, ``bands``, the sketch
+    ``s0`` .. ``s15``, and ``small``: a second sketch of sets that may be linked with ones of fewer than ``LARGE``."""
+    source = docs.select(F.col(key).alias("__id"), F.xxhash64(text).alias(DIGEST), F.col(text).alias("__text"))
+    names = ["__id", DIGEST, "n_shingles", "fp", "bands", *SKETCH, "small"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zero = np.zeros(SKETCH_WORDS, np.int64)
         for batch in sliced(batches):
-            counts, prints, bands, sketches = [], [], [], []
+            counts, prints, bands, sketches, small = [], [], [], [], []
             for text in texts_of(batch.column("__text")):
                 items = shingles(text)
-                counts.append(len(items))
-                if len(items):
-                    prints.append(xxhash.xxh3_128_digest(items.tobytes()))
-                    bands.append(band_keys(min_hashes(items)))
-                    sketches.append(odd_sketch(items))
-                else:
-                    prints.append(None)
-                    bands.append(None)
-                    sketches.append(None)
-            zero = np.zeros(SKETCH_WORDS, np.int64)
-            words = np.array([zero if s is None else s for s in sketches], np.int64).reshape(len(counts), SKETCH_WORDS)
-            columns = [batch.column("__id"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            columns += [pa.array(words[:, i]) for i in range(SKETCH_WORDS)]
+                n = len(items)
+                counts.append(n)
+                prints.append(xxhash.xxh3_128_digest(items.tobytes()) if n else None)
+                bands.append(band_keys(min_hashes(items)) if n else None)
+                sketches.append(odd_sketch(items, SMALL_BINS if n < LARGE else LARGE_BINS) if n else zero)
+                small.append(odd_sketch(items, SMALL_BINS) if LARGE <= n and LINK_PERCENT * n <= 100 * LARGE else None)
+            words = np.array(sketches, np.int64).reshape(len(counts), SKETCH_WORDS)
+            lists = pa.list_(pa.int64())
+            columns = [batch.column("__id"), batch.column(DIGEST), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, lists), *(pa.array(words[:, i]) for i in range(SKETCH_WORDS)), pa.array(small, lists)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "__id long, n_shingles long, fp binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
+    schema = f"__id {dict(source.dtypes)['__id']}, {DIGEST} long, n_shingles long, fp binary, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH) + ", small array<long>"
     return source.mapInArrow(run, schema)
 
 
@@ -145,22 +149,26 @@ def _limit(a: Column, b: Column, bins: int) -> Column:
 
 
 def _may_link(x: str, y: str) -> Column:
-    """Whether two rows' sizes and sketches allow the threshold; sketches of different bins aren't compared."""
+    """Whether two rows' sizes and sketches allow the threshold; of sets on both sides of ``LARGE`` the small ones' bins are compared."""
     a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-    apart = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    small = F.greatest(a, b) < LARGE
-    large = F.least(a, b) >= LARGE
-    most = F.when(small, _limit(a, b, SMALL_BINS)).when(large, _limit(a, b, LARGE_BINS)).otherwise(float(SKETCH_BITS))
+    mixed = (F.least(a, b) < LARGE) & (F.greatest(a, b) >= LARGE)
+    word = lambda t, i: F.when(mixed & (F.col(f"{t}.n") >= LARGE), F.col(f"{t}.small")[i]).otherwise(F.col(f"{t}.s{i}"))
+    apart = sum((F.bit_count(word(x, i).bitwiseXOR(word(y, i))) for i in range(SKETCH_WORDS)), F.lit(0))
+    most = F.when(F.least(a, b) >= LARGE, _limit(a, b, LARGE_BINS)).otherwise(_limit(a, b, SMALL_BINS))
     return (100 * F.least(a, b) >= LINK_PERCENT * F.greatest(a, b)) & (apart <= most)
 
 
 def _confirm(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) whose sketches allow the threshold and whose full sets reach it.
 
-    ``known`` holds the classes' ids, sizes, sketches and texts, by ``rep``.
+    ``known`` holds the classes' marks, sizes, sketches and texts, by ``rep``. A class that is ``b`` of many
+    pairs is copied to as many tasks as its pairs need.
     """
-    x, y = known.alias("x"), known.alias("y")
-    both = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, (F.col("b") == F.col("y.rep")) & _may_link("x", "y"))
+    parts = stash(pairs.groupBy("b").agg(F.ceil(F.count("*") / PIVOT_PAIRS).cast("int").alias("parts")), "parts")
+    dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    hosts = known.join(parts, F.col("rep") == F.col("b")).drop("b").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    x, y = known.alias("x"), hosts.alias("y")
+    both = dealt.join(x, F.col("a") == F.col("x.rep")).join(y, (F.col("b") == F.col("y.rep")) & (F.col("part") == F.col("y.at")) & _may_link("x", "y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -177,14 +185,23 @@ def _confirm(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("a", "b", "x.text", F.col("y.text").alias("other")).mapInArrow(run, "a long, b long")
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Members of buckets (``band``, ``rep`` ...) once for each two blocks of their bucket, ``lo`` and ``hi``; ``own`` is the member's block."""
+    blocks = rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = rows.join(stash(blocks, "blocks"), "band").withColumn("own", own)
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "blocks")
+
+
 def classes_and_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with ``__id``, ``n_shingles``, ``fp``; classes with ``fp``, ``rep``; components of linked reps)."""
-    sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
-    signed = stash(signatures(docs, key, text), "signatures")
+    """(documents with ``__id``, digest, ``n_shingles``, ``fp``; classes with ``fp``, ``rep``, and the ``id`` and digest
+    of their least row; components of linked reps)."""
+    signed = stash(signatures(docs, key, text).withColumn("mark", F.monotonically_increasing_id()), "signatures")
     # one row for each class: that of its least id
-    least = F.min(F.struct("__id", "n_shingles", "bands", *sketch)).alias("r")
+    least = F.min(F.struct("__id", DIGEST, "mark", "n_shingles", "bands", *SKETCH, "small")).alias("r")
     classes = signed.where("fp is not null and __id is not null").groupBy("fp").agg(least)
-    classes = stash(classes.select("fp", F.col("r.__id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.bands", *(f"r.{s}" for s in sketch)), "classes")
+    classes = stash(classes.select("fp", F.col("r.mark").alias("rep"), F.col("r.__id").alias("id"), f"r.{DIGEST}", F.col("r.n_shingles").alias("n"), "r.bands", *(f"r.{s}" for s in SKETCH), "r.small"), "classes")
     pairs_of = classes.select("rep", F.explode("bands").alias("band"))
 
     # Buckets of two classes or more; how many others a class meets in them; the pivot is who meets most.
@@ -195,12 +212,13 @@ def classes_and_links(docs: DataFrame, key: str = "doc_id", text: str = "text")
     members = stash(members.select("band", "rep").join(stash(most.select("band", (-F.col("top.k")).alias("pivot")), "pivots"), "band"), "pivoted")
 
     met = popular.select("rep")
-    sketches = stash(classes.select("rep", "n", "bands", *sketch).join(met, "rep", "left_semi"), "sketches")
-    bodies = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null")
-    known = stash(bodies.join(sketches.drop("bands"), "rep").dropDuplicates(["rep"]), "known")
-    tried = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    sketches = stash(classes.select("rep", "id", DIGEST, "n", "bands", *SKETCH, "small").join(met, "rep", "left_semi"), "sketches")
+    bodies = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias(DIGEST), F.col(text).alias("text")).where("id is not null")
+    known = stash(bodies.join(sketches.drop("bands"), ["id", DIGEST]).drop("id", DIGEST).dropDuplicates(["rep"]), "known")
+    tried = stash(members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "tried")
     starred = stash(_confirm(tried, known), "star-links")
     found = stash(components(starred), "star-components")
+    done = signed.select("__id", DIGEST, "n_shingles", "fp"), classes.select("fp", "rep", "id", DIGEST)
 
     # Buckets with classes of several components left: every pair across components that the sketches allow.
     # Pairs with the bucket's pivot have been tried; a pair of several buckets counts in one of them.
@@ -208,33 +226,51 @@ def classes_and_links(docs: DataFrame, key: str = "doc_id", text: str = "text")
     placed = stash(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     left = placed.where("rep <> pivot").join(stash(mixed, "mixed"), "band", "left_semi").select("band", "rep", "root")
-    left = stash(left.join(sketches, "rep"), "open")
+    left = stash(_in_blocks(left).join(sketches.drop("id", DIGEST), "rep"), "open")
     x, y = left.alias("x"), left.alias("y")
     once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
-    crossing = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y") & once)
-    more = stash(_confirm(crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), known), "cross-links")
+    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & ((F.col("x.lo") == F.col("x.hi")) | (F.col("x.own") != F.col("y.own")))
+    crossing = x.join(y, meet & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y") & once)
+    crossing = stash(crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), "crossing")
+    more = stash(_confirm(crossing, known), "cross-links")
     if more.isEmpty():
-        return signed.select("__id", "n_shingles", "fp"), classes.select("fp", "rep"), found
+        return *done, found
     # each star component stands for its members
     ends = more.join(found.alias("p"), F.col("a") == F.col("p.node"), "left").join(found.alias("q"), F.col("b") == F.col("q.node"), "left")
     over = ends.select(F.coalesce("p.root", "a").alias("a"), F.coalesce("q.root", "b").alias("b")).distinct()
     merged = stash(components(over), "components")
     inner = found.join(merged.withColumnsRenamed({"node": "part", "root": "whole"}), F.col("root") == F.col("part"), "left")
     inner = inner.select("node", F.coalesce("whole", "root").alias("root"))
-    return signed.select("__id", "n_shingles", "fp"), classes.select("fp", "rep"), inner.unionByName(merged).distinct()
+    return *done, inner.unionByName(merged).distinct()
+
+
+def _components(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(documents as above; classes with ``component`` and ``keeper``: the id and digest of the component's least row)."""
+    signed, classes, linked = classes_and_links(docs, key, text)
+    placed = stash(classes.join(linked, classes["rep"] == linked["node"], "left").select("fp", "id", DIGEST, F.coalesce("root", "rep").alias("root")), "placed-classes")
+    least = placed.groupBy("root").agg(F.min(F.struct("id", DIGEST)).alias("keeper"))
+    return signed, stash(placed.join(least, "root").select("fp", "keeper"), "roots")
 
 
 def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, ``n_shingles``, ``component_id`` and ``kept``."""
-    signed, classes, linked = classes_and_links(docs, key, text)
-    roots = stash(classes.join(linked, classes["rep"] == linked["node"], "left").select("fp", F.coalesce("root", "rep").alias("root")), "roots")
-    placed = signed.join(roots, "fp", "left")
-    component = F.when(F.col("__id").isNull(), None).otherwise(F.coalesce("root", "__id"))
-    return placed.select(F.col("__id").alias(key), "n_shingles", component.alias("component_id"), F.col("__id").eqNullSafe(component).alias("kept"))
+    signed, roots = _components(docs, key, text)
+    component = F.when(F.col("__id").isNull(), None).otherwise(F.coalesce("keeper.id", "__id"))
+    placed = signed.join(roots, "fp", "left").select(F.col("__id").alias(key), "n_shingles", component.alias("component_id"))
+    return placed.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row for each component; rows without a key stay."""
-    verdicts = dedupe(docs, key, text).where("kept").select(F.col(key).alias("__kept")).where("__kept is not null").distinct()
-    kept = docs.join(verdicts, docs[key] == verdicts["__kept"], "left_semi").dropDuplicates([key])
-    return kept.select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    """``docs`` with one row for each component, that of the least key; rows without a key or without words stay."""
+    signed, roots = _components(docs, key, text)
+    keepers = roots.select(F.col("keeper.id").alias("__id"), F.col(f"keeper.{DIGEST}").alias(DIGEST)).distinct()
+    counted = stash(signed.where("fp is not null").groupBy("__id", DIGEST).agg(F.count("*").alias("__n")).join(keepers, ["__id", DIGEST], "left_semi"), "keepers")
+    alone = F.col(key).isNull() | ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rest = docs.where(~alone)
+    on = lambda kept: (rest[key] == kept["__id"]) & (F.xxhash64(rest[text]) == kept[DIGEST])
+    single, repeated = counted.where("__n = 1"), counted.where("__n > 1")
+    out = docs.where(alone).unionByName(rest.join(single, on(single), "left_semi"))
+    if not repeated.isEmpty():
+        # a keeper that is there several times, row for row, is shuffled by itself
+        out = out.unionByName(rest.join(repeated, on(repeated), "left_semi").dropDuplicates([key, text]))
+    return out

@@ -274,6 +274,46 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert found == plain_components(rows)
 
 
+def test_rows_that_share_an_id_keep_their_own_links(spark):
+    rng = random.Random(9)
+    words = lambda: [f"w{rng.randrange(10_000)}" for _ in range(60)]
+    near = lambda w: " ".join([*w[:59], "other"])
+    a, b, c, d = words(), words(), words(), words()
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, near(a)), (3, near(b)), (1, " ".join(c)), (1, " ".join(d)), (12, near(c)), (13, near(d)), (1, " ".join(d)), (20, near(a)), (20, near(a))]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame([(i if kind == "long" else f"{i:03d}", t, n) for n, (i, t) in enumerate(rows)], f"doc_id {kind}, text string, row int")
+        found = {(int(r.doc_id), r.n_shingles, int(r.component_id)) for r in neardup.dedupe(df).collect()}
+        assert found == {(5, 56, 2), (5, 56, 3), (2, 56, 2), (3, 56, 3), (1, 56, 1), (12, 56, 1), (13, 56, 1), (20, 56, 2)}
+        kept = sorted((int(r.doc_id), r.text) for r in neardup.keep_one(df).collect())
+        assert kept == sorted([(2, near(a)), (3, near(b)), (1, " ".join(c)), (1, " ".join(d))])
+
+
+def test_a_bucket_of_many_unlinked_texts_is_tried_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "PIVOT_PAIRS", 10)
+    # one band for all texts, so that they meet in one bucket
+    monkeypatch.setattr(neardup, "signatures", lambda *a, real=neardup.signatures: real(*a).withColumn("bands", F.when(F.col("bands").isNotNull(), F.array(F.lit(1).cast("long")))))
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        base = [f"w{rng.randrange(300)}" for _ in range(rng.choice([30, 40]))]
+        rows.append((2 * i, " ".join(base)))
+        rows.append((2 * i + 1, " ".join([*base[:-1], "x"] if i % 3 else [f"v{rng.randrange(300)}" for _ in range(40)])))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == plain_components(rows)
+
+
+def test_sets_on_both_sides_of_the_large_ones(spark):
+    rng = random.Random(2)
+    rows = []
+    for i, (n, m) in enumerate([(900, 1100), (1010, 1040), (800, 1300), (1000, 1020), (950, 1250)]):
+        long = [f"t{i}w{rng.randrange(100_000)}" for _ in range(m)]
+        rows += [(2 * i, " ".join(long)), (2 * i + 1, " ".join(long[:n]))]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_components(rows)
+    assert found == want and {c for _, c in want.values()} == {0, 2, 4, 5, 6, 8}
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     found = {(r.doc_id): r for r in neardup.dedupe(odd).collect()}
     assert found[7].component_id == 6 and not found[7].kept and found[None].component_id is None and found[None].kept
@@ -295,9 +335,9 @@ def test_odd_sketch_limit_keeps_pairs_at_the_threshold():
         common = math.ceil(2 * n * 0.75 / 1.75)
         for _ in range(20):
             x = rng.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64)
-            a, b = neardup.odd_sketch(np.sort(x[:n])), neardup.odd_sketch(np.sort(np.concatenate([x[:common], x[n:]])))
-            apart = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
             bins = neardup.SMALL_BINS if n < neardup.LARGE else neardup.LARGE_BINS
+            a, b = neardup.odd_sketch(np.sort(x[:n]), bins), neardup.odd_sketch(np.sort(np.concatenate([x[:common], x[n:]])), bins)
+            apart = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
             filled = bins * (1 - math.exp(-(2 * n * 4 / 7) / bins))
             assert apart <= 512 * (1 - math.exp(-0.5 * filled * 2 / 1024)) + 60
 
