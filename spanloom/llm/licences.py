@@ -2,18 +2,19 @@
 
 A multinomial logistic regression over sparse word n-grams (one to three words) is trained on the driver from
 the templates below, varied by rule, against paragraphs of a bounded sample of the table. Its probabilities
-are calibrated by a temperature on held-out examples; the least probability for a family is the one that
-keeps 99 % of the held-out notices that were classified rightly. A predicted family is confirmed by comparing
-the paragraph with the family's templates; a notice that is too uncertain or that no template confirms is of
-the class ``unknown``.
+are calibrated by a temperature on templates that were held out whole, wording and all; the least probability
+for a family is the one that keeps 99 % of the held-out notices that were classified rightly. A predicted family
+is confirmed by comparing the words with the family's templates; a notice that is too uncertain or that no
+template confirms is of the class ``unknown``.
 
-Paragraphs are lines; those of more than ``WINDOW`` words are read in overlapping windows, so whole texts are
-read however long their lines are, and every window counts: a line has a row for each of its notices, those of
-one family that are closer than a window being one.
+Paragraphs end at blank lines; comment marks at the ends of their lines are taken off and the lines joined, so a
+notice is found however it is wrapped. A paragraph is read in overlapping windows and line by line, all windows
+of a batch as one sparse product, and every window counts: a paragraph has a row for each of its notices, those
+of one family that are closer than a window being one.
 
 Defined results: null and empty texts have no notices; a notice that occurs in several paragraphs or rows is
-reported for each; an empty table gives an empty result, and the classifier then has no negative examples
-but its own.
+reported for each; of accounts of the same words the most like its template is taken, of equals the surer, then
+the first; an empty table gives an empty result, and the classifier then has no negative examples but its own.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,10 @@ from pyspark.sql import functions as F
 from .shared import drawn, sliced, texts_of
 
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
+#: Marks that comments have at the ends of their lines.
+MARKS = re.compile(r"^[ \t>]*(?://+!?|/\*+!?|\*+/?|#+|--+|;+|%+|<!--|\"\"\"|'''|(?:rem|dnl)\b)?[ \t]*|[ \t]*(?:\*+/|-->|#+|\*+)?[ \t\r]*$", re.IGNORECASE)
+#: Windows that are scored together.
+AT_ONCE = 20_000
 WINDOW, STRIDE = 32, 20
 #: Words of the shortest template.
 SHORTEST = 4
@@ -42,11 +49,13 @@ TEMPLATES = {
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "The MIT License (MIT)",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "This project is available under the Apache 2.0 license.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -66,6 +75,7 @@ TEMPLATES = {
     "AGPL": [
         "This program is licensed under the GNU Affero General Public License, version 3.",
         "Distributed under the AGPLv3 license.",
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -121,6 +131,10 @@ OTHERWISE = [
     "The Apache helicopter landed near the source of the river.",
     "This is the work of many people and it is not finished.",
     "The version of the song that was released in May is free.",
+    # what stands beside notices of several families and names none
+    "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability",
+    "but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose",
+    "In no event shall the authors or copyright holders be liable for any claim, damages or other liability",
 ]
 
 
@@ -144,6 +158,19 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def paragraphs(text: str) -> list[list[str]]:
+    """The lines of each paragraph without comment marks; lines without a word stand between paragraphs."""
+    out: list[list[str]] = [[]]
+    for line in text.split("\n"):
+        if len(line) < 400:
+            line = MARKS.sub("", line)
+        if WORD.search(line):
+            out[-1].append(line)
+        elif out[-1]:
+            out.append([])
+    return out if out[-1] else out[:-1]
+
+
 def _grams(words: list[str]) -> list[tuple[str, ...]]:
     return [tuple(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
 
@@ -160,30 +187,47 @@ class Model:
     templates: dict[str, list[frozenset]]
     least_similarity: float
 
-    def rows(self, words: list[str]) -> tuple[list[int], int]:
-        """Indexes of the features of some words, and the number of all of their n-grams."""
-        ids = [self.known.get(w, -1) for w in words]
-        found = set()
-        get = self.features.get
-        for i, a in enumerate(ids):
-            if a < 0:
+    @cached_property
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For n-grams of one, two and three words: their packed word numbers in order, and their features."""
+        out = []
+        for n in (1, 2, 3):
+            own = sorted((sum(w << (20 * i) for i, w in enumerate(g)), f) for g, f in self.features.items() if len(g) == n)
+            out.append((np.array([k for k, _ in own] or [-1], np.int64), np.array([f for _, f in own] or [-1], np.int64)))
+        return out
+
+    def entries(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, feature), each once and in order, of windows over the numbers of words (-1 for words of no feature)."""
+        found = []
+        for n, (keys, features) in enumerate(self.tables, 1):
+            if len(ids) < n:
                 continue
-            found.add(get((a,)))
-            if i + 1 < len(ids) and (b := ids[i + 1]) >= 0:
-                found.add(get((a, b)))
-                if i + 2 < len(ids) and (c := ids[i + 2]) >= 0:
-                    found.add(get((a, b, c)))
-        found.discard(None)
-        return list(found), max(1, 3 * len(words) - 3)
-
-    def probabilities(self, words: list[str]) -> np.ndarray:
-        rows, n = self.rows(words)
-        z = (self.bias + self.weights[rows].sum(0) / np.sqrt(n)) / self.temperature
-        e = np.exp(z - z.max())
-        return e / e.sum()
+            parts = [ids[i : len(ids) - n + 1 + i] for i in range(n)]
+            packed = sum(p << (20 * i) for i, p in enumerate(parts))
+            at = np.minimum(np.searchsorted(keys, packed), len(keys) - 1)
+            places = np.flatnonzero((np.min(parts, 0) >= 0) & (keys[at] == packed))
+            own = features[at[places]]
+            a, b = np.searchsorted(places, starts), np.searchsorted(places, np.maximum(starts, ends - n + 1))
+            many = np.maximum(b - a, 0)
+            of = np.repeat(np.arange(len(starts)), many)
+            found.append(of * len(self.features) + own[np.repeat(a - (np.cumsum(many) - many), many) + np.arange(len(of))])
+        return np.divmod(np.unique(np.concatenate([np.empty(0, np.int64), *found])), max(len(self.features), 1))
+
+    def probabilities(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Probabilities of the classes of each window: one sparse product for them all."""
+        of, features = self.entries(ids, starts, ends)
+        z = np.zeros((len(starts), len(self.classes)))
+        if len(of):
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            z[of[first]] = np.add.reduceat(self.weights[features], first, axis=0)
+        z = (self.bias + z / np.sqrt(np.maximum(1, 3 * (ends - starts) - 3))[:, None]) / self.temperature
+        return _softmax(z)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
 
     def _predicted(self, words: list[str]) -> tuple[str, float]:
-        p = self.probabilities(words)
+        p = self.probabilities(self.numbers(words), np.array([0]), np.array([len(words)]))[0]
         top = int(p.argmax())
         return self.classes[top], float(p[top])
 
@@ -212,19 +256,51 @@ class Model:
         return found
 
     def notices(self, paragraph: str) -> list[tuple[str, float, float, bool]]:
-        """Class, probability, similarity to the best template and whether that confirms it, for each notice in order.
+        """Class, probability, similarity to the best template and whether that confirms it, for each notice in order."""
+        return next((found for _, _, found in self.read([paragraph])), [])
+
+    def read(self, texts: list[str]) -> Iterator[tuple[int, int, list[tuple[str, float, float, bool]]]]:
+        """(text, paragraph, its notices) for each paragraph that has any."""
+        words: list[str] = []
+        owner: list[tuple[int, int, int, int]] = []
+        starts, ends, of = [], [], []
+        for t, text in enumerate(texts):
+            for n, lines in enumerate(paragraphs(text)):
+                begin = len(words)
+                for line in lines:
+                    at = len(words)
+                    words += words_of(line)
+                    if len(lines) > 1 and SHORTEST <= len(words) - at <= WINDOW:
+                        starts.append(at)
+                        ends.append(len(words))
+                        of.append(len(owner))
+                for at in range(begin, max(begin + 1, len(words) - (WINDOW - STRIDE)), STRIDE):
+                    starts.append(at)
+                    ends.append(min(at + WINDOW, len(words)))
+                    of.append(len(owner))
+                owner.append((t, n, begin, len(words)))
+        ids, a, b = self.numbers(words), np.array(starts, np.int64), np.array(ends, np.int64)
+        none = self.classes.index(NONE)
+        seen: dict[int, list[tuple[int, int, str, float]]] = {}
+        for at in range(0, len(a), AT_ONCE):
+            p = self.probabilities(ids, a[at : at + AT_ONCE], b[at : at + AT_ONCE])
+            top = p.argmax(1)
+            for i in np.flatnonzero(top != none):
+                k = owner[of[at + i]]
+                seen.setdefault(of[at + i], []).append((starts[at + i] - k[2], ends[at + i] - k[2], self.classes[top[i]], float(p[i, top[i]])))
+        for k in sorted(seen):
+            t, n, begin, end = owner[k]
+            found = self._settled(words[begin:end], sorted(seen[k]))
+            if found:
+                yield t, n, found
+
+    def _settled(self, words: list[str], windows: list[tuple[int, int, str, float]]) -> list[tuple[str, float, float, bool]]:
+        """A paragraph's notices from its windows that aren't ``none``.
 
         Accounts of the same words are one notice, and so are those of one family that are closer than a window.
         What a confirmed notice leaves of a window is judged by itself.
         """
-        words = words_of(paragraph)
-        windows, found = [], []
-        for at in range(0, max(1, len(words) - (WINDOW - STRIDE)), STRIDE):
-            window = words[at : at + WINDOW]
-            family, p = self._predicted(window)
-            if family != NONE:
-                windows.append((at, at + len(window), family, p))
-                found += [(s, q, f, at + a, at + b) for s, q, f, a, b in self._confirmed(window, family, p)]
+        found = [(s, q, f, at + a, at + b) for at, end, family, p in windows for s, q, f, a, b in self._confirmed(words[at:end], family, p)]
         taken: list[tuple[float, float, str, int, int]] = []
         for x in sorted(found, key=lambda x: (-x[0], -x[1], x[3])):
             if not any(x[3] < t[4] and t[3] < x[4] for t in taken):
@@ -246,8 +322,8 @@ class Model:
         return [(f, p, s, f != UNKNOWN) for s, p, f, _, _ in sorted(out, key=lambda x: (x[3], x[2]))]
 
     def judge(self, paragraph: str) -> tuple[str, float, float, bool] | None:
-        """The surest of a paragraph's notices, a confirmed one if there is any; None without a notice."""
-        return max(self.notices(paragraph), key=lambda x: (x[3], x[1]), default=None)
+        """The surest of a text's notices, a confirmed one if there is any; None without a notice."""
+        return max((x for _, _, found in self.read([paragraph]) for x in found), key=lambda x: (x[3], x[1]), default=None)
 
 
 def _stretch(pairs: list[tuple[str, str]], template: frozenset) -> tuple[int, int, float]:
@@ -287,39 +363,43 @@ def _varied(template: str, rng: np.random.Generator, filler: list[str]) -> list[
     return pick(int(before)) + (kept or words) + pick(int(after))
 
 
-def _examples(paragraphs: list[list[str]], settings: Settings) -> tuple[list[list[str]], list[str]]:
+def _examples(blocks: list[list[str]], settings: Settings) -> tuple[list[list[str]], list[str], list[bool]]:
+    """(words, class, whether it is held out) of each example; of a family's templates the second of several is held out whole."""
     rng = np.random.default_rng(settings.seed)
-    filler = [w for p in paragraphs[:200] for w in p][:5000]
-    texts, labels = [], []
+    filler = [w for p in blocks[:200] for w in p][:5000]
+    out: list[tuple[list[str], str, bool]] = []
     for family, own in TEMPLATES.items():
-        for t in own:
-            texts.append(words_of(t))
-            labels.append(family)
-            for _ in range(settings.variants):
-                texts.append(_varied(t, rng, filler))
-                labels.append(family)
+        for n, t in enumerate(own):
+            held = len(own) > 2 and n == 1
+            out.append((words_of(t), family, held))
+            out += [(_varied(t, rng, filler), family, held) for _ in range(settings.variants)]
     for t in OTHERWISE:
-        texts += [words_of(t), _varied(t, rng, filler)]
-        labels += [NONE, NONE]
-    texts += paragraphs
-    labels += [NONE] * len(paragraphs)
-    return texts, labels
+        out += [(words_of(t), NONE, False), (_varied(t, rng, filler), NONE, False)]
+    out += [(p, NONE, n % 5 == 4) for n, p in enumerate(blocks)]
+    return tuple(map(list, zip(*out, strict=True)))
 
 
 def train(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> Model:
-    """A model for a table, from the templates and a bounded sample of its paragraphs."""
+    """A model for a table, from the templates and a bounded sample of its paragraphs.
+
+    The temperature and the least probability are set with the held-out templates; the weights are then fitted on all.
+    """
     rows = drawn(docs, settings.sample_rows).select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, settings.sample_chars).alias("t")).collect()
     templates = {family: [frozenset(zip(w, w[1:], strict=False)) for w in map(words_of, own)] for family, own in TEMPLATES.items() if family != UNKNOWN}
     every = [t for own in templates.values() for t in own]
-    paragraphs: list[list[str]] = []
-    for line in (line for r in rows for line in r.t.split("\n")):
-        words = words_of(line)[:WINDOW]
-        pairs = set(zip(words, words[1:], strict=False))
-        # the sample may hold notices; they are no negatives
-        if words and len(paragraphs) < settings.negatives and max(len(pairs & t) / len(t) for t in every) < 0.3:
-            paragraphs.append(words)
-
-    texts, labels = _examples(paragraphs, settings)
+    blocks: list[list[str]] = []
+    # lines and windows of paragraphs, as both are read
+    for r in rows:
+        for lines in paragraphs(r.t):
+            whole = words_of("\n".join(lines))
+            for words in [*(words_of(x)[:WINDOW] for x in lines[:8]), whole[:WINDOW], whole[STRIDE : STRIDE + WINDOW]]:
+                pairs = set(zip(words, words[1:], strict=False))
+                # the sample may hold notices; they are no negatives
+                if words and len(blocks) < settings.negatives and max(len(pairs & t) / len(t) for t in every) < 0.3:
+                    blocks.append(words)
+
+    texts, labels, held = _examples(blocks, settings)
+    held = np.array(held)
     classes = (*TEMPLATES, NONE)
     counts: dict[tuple[str, ...], int] = {}
     for words, label in zip(texts, labels, strict=True):
@@ -330,19 +410,19 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
     known = {w: i for i, w in enumerate(sorted({w for g in chosen for w in g}))}
     features = {tuple(known[w] for w in g): i for i, g in enumerate(chosen)}
     draft = Model(classes, known, features, np.zeros((len(features), len(classes))), np.zeros(len(classes)), 1.0, 0.0, templates, settings.least_similarity)
+    ends = np.cumsum([len(t) for t in texts])
+    of, found = draft.entries(draft.numbers([w for t in texts for w in t]), ends - [len(t) for t in texts], ends)
     x = np.zeros((len(texts), len(features)), np.float32)
-    for i, words in enumerate(texts):
-        found, n = draft.rows(words)
-        x[i, found] = 1 / np.sqrt(n)
+    x[of, found] = 1 / np.sqrt([max(1, 3 * len(t) - 3) for t in texts])[of]
     y = np.array([classes.index(c) for c in labels])
 
-    held = np.arange(len(y)) % 5 == 4
     weights, bias = _descend(x[~held], y[~held], len(classes), settings)
     z = x[held] @ weights + bias
     temperature = min((0.25 * 1.25**i for i in range(14)), key=lambda t: _loss(z / t, y[held]))
     p = _softmax(z / temperature)
     right = (p.argmax(1) == y[held]) & (y[held] != classes.index(NONE))
     least = float(np.quantile(p.max(1)[right], 0.01)) if right.any() else 0.5
+    weights, bias = _descend(x, y, len(classes), settings)
     return Model(classes, known, features, weights, bias, float(temperature), least, templates, settings.least_similarity)
 
 
@@ -370,21 +450,18 @@ def _descend(x: np.ndarray, y: np.ndarray, classes: int, settings: Settings) ->
 
 
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per notice: key, ``paragraph`` (from 0), ``family``, ``probability``, ``similarity``, ``confirmed``, ``notice``."""
+    """Per notice: key, ``paragraph`` (from 0), ``family``, ``probability``, ``similarity``, ``confirmed``, ``notice``
+    (the paragraph's lines joined)."""
     source = docs.select(F.col(key), F.col(text).alias("__text"))
     names = [key, "paragraph", "family", "probability", "similarity", "confirmed", "notice"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            rows, found = [], []
-            for row, body in enumerate(texts_of(batch.column("__text"))):
-                for i, line in enumerate(body.split("\n")):
-                    for verdict in model.notices(line) if line else ():
-                        rows.append(row)
-                        found.append((i, *verdict, line))
+        for batch in sliced(batches, 250):
+            texts = texts_of(batch.column("__text"))
+            found = [(row, n, *x, " ".join(paragraphs(texts[row])[n])) for row, n, own in model.read(texts) for x in own]
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string()]
-            columns = [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int32())), *columns], names)
+            columns = [pa.array([f[i + 1] for f in found], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array([f[0] for f in found], pa.int32())), *columns], names)
 
     schema = f"`{key}` {dict(source.dtypes)[key]}, paragraph long, family string, probability double, similarity double, confirmed boolean, notice string"
     return source.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, components, language, licences, linkgraph, neardup, neighbours, packing, quality, sharding, surrogates
+from spanloom.llm import bpe, components, language, linkgraph, neardup, neighbours, packing, quality, sharding, surrogates
 from spanloom.llm.queries import QUERY_KEY, TREE, tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -668,64 +668,6 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-# ---- licences
-
-
-def test_licences_are_told_apart(docs):
-    model = licences.train(docs)
-    for family, own in licences.TEMPLATES.items():
-        if family != licences.UNKNOWN:
-            for t in own:
-                verdict = model.judge(t)
-                assert verdict is not None and (verdict[0] == family or not verdict[3]), t
-    assert model.judge("Released under the MIT License.")[0] == "MIT"
-    assert all(model.judge(t) is None for t in licences.OTHERWISE[:3])
-
-
-def test_held_out_variants(docs):
-    model, rng = licences.train(docs), np.random.default_rng(99)
-    filler = licences.words_of(" ".join(r.text for r in docs.limit(5).collect()))
-    right = total = 0
-    for family, own in licences.TEMPLATES.items():
-        if family == licences.UNKNOWN:
-            continue
-        for t in own:
-            for _ in range(5):
-                verdict = model.judge(" ".join(licences._varied(t, rng, filler)))
-                total += 1
-                right += verdict is not None and verdict[0] in (family, licences.UNKNOWN)
-    assert right >= 0.9 * total
-
-
-def test_every_notice_of_the_documents_is_found(docs):
-    found = {(r.doc_id, r.paragraph) for r in licences.scan(docs, licences.train(docs)).where("confirmed").collect()}
-    want = {(r.doc_id, i) for r in docs.collect() for i, line in enumerate(r.text.split("\n")) if "icensed under" in line or "MIT License" in line}
-    assert want and want <= found
-
-
-def test_a_notice_inside_a_long_line_is_found(docs):
-    model = licences.train(docs)
-    words = licences.words_of(" ".join(r.text for r in docs.limit(20).collect()))
-    line = " ".join([*words[:300], "Licensed", "under", "the", "Apache", "License,", "Version", "2.0.", *words[300:600]])
-    verdict = model.judge(line)
-    assert verdict is not None and verdict[0] in ("Apache-2.0", licences.UNKNOWN)
-
-
-def test_every_notice_of_a_line_is_reported(docs):
-    model = licences.train(docs)
-    words = licences.words_of(" ".join(r.text for r in docs.limit(20).collect()))
-    apache, mit, own = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "Licensed under the terms of a custom licence; see the accompanying file."
-    line = " ".join([*words[:300], apache, *words[300:600], mit, *words[600:700], own, *words[700:800], apache])
-    assert [(x[0], x[3]) for x in model.notices(line)] == [("Apache-2.0", True), ("MIT", True), (licences.UNKNOWN, False), ("Apache-2.0", True)]
-    assert [x[0] for x in model.notices(f"{mit} {apache}")] == ["MIT", "Apache-2.0"]
-    assert model.notices(" ".join(words[:300])) == []
-
-
-def test_licences_of_odd_rows(odd, none):
-    assert licences.scan(odd, licences.train(odd)).where("doc_id = 1").count() == 0
-    assert licences.scan(none, licences.train(none)).count() == 0
-
-
 # ---- pipeline
 
 
