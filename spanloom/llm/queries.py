@@ -16,13 +16,20 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: A key for queries over test tables; callers pass their own secret.
+#: A key for queries over test tables, where the session names no secret of its own.
 QUERY_KEY = b"spanloom query key"
+#: The session's setting for the secret that surrogates are drawn with.
+KEY_SETTING = "spanloom.surrogates.key"
+
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    found = spark.conf.get(KEY_SETTING, None)
+    return found.encode() if found else QUERY_KEY
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.pseudonymise(docs, QUERY_KEY, count="n_replaced")
+    return surrogates.pseudonymise(docs, surrogate_key(spark), count="n_replaced")
 
 
 #: Eight shards: two regions of two racks of two.

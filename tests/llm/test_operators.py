@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, components, language, linkgraph, neardup, neighbours, packing, quality, sharding, surrogates
-from spanloom.llm.queries import QUERY_KEY, TREE, tokenizer
+from spanloom.llm import bpe, components, language, linkgraph, neardup, neighbours, packing, quality, sharding
+from spanloom.llm.queries import TREE, tokenizer
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -342,83 +342,6 @@ def test_odd_sketch_limit_keeps_pairs_at_the_threshold():
             assert apart <= 512 * (1 - math.exp(-0.5 * filled * 2 / 1024)) + 60
 
 
-# ---- surrogates
-
-
-def test_surrogates_keep_type_format_and_coreference(spark):
-    text = "Mail anna.91@mail7.example.com or +1 (743) 555-3824, card 4539 1488 0343 6467, host 10.20.30.40. Frau Anna Weber met Herr Weber."
-    rows = [(1, text), (2, "again anna.91@mail7.example.com and Frau Anna Weber, госпожа Иванова"), (3, None), (4, "")]
-    found = {r.doc_id: r for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"k", count="n").collect()}
-    kinds = [(k, found[1].text[a:b], n) for a, b, k, n in surrogates.entities(found[1].text)]
-    before = [(k, text[a:b], n) for a, b, k, n in surrogates.entities(text)]
-    assert [k for k, _, _ in kinds] == [k for k, _, _ in before] and found[1].n == len(before) == 6
-    for (_, new, _), (_, old, _) in zip(kinds, before, strict=True):
-        assert new != old
-    shape = lambda s: "".join("9" if c.isdigit() else c for c in s)
-    assert shape(kinds[1][1]) == shape(before[1][1]) and shape(kinds[2][1]) == shape(before[2][1])
-    digits = "".join(c for c in kinds[2][1] if c.isdigit())
-    assert surrogates._luhn(digits[:-1]) == int(digits[-1])
-    again = [found[2].text[a:b] for a, b, _, _ in surrogates.entities(found[2].text)]
-    assert again[0] == kinds[0][1] and again[1] == kinds[4][1]
-    assert surrogates.script_of(again[2]) == "cyrillic" and kinds[4][2].startswith("latin:f:") and kinds[5][2].startswith("latin:m:")
-    assert found[3].text is None and found[4].text == "" and found[3].n == 0
-
-
-@pytest.mark.parametrize("text,kind", [("id 078-05-1120.", "ssn"), ("IBAN DE89 3704 0044 0532 0130 00 here", "iban"), ("GB82WEST12345698765432", "iban"), ("ghp_abcdEFGH1234ijklMNOP5678qrst", "key"), ("sk-abcdEFGH1234ijklMNOP", "key")])
-def test_numbers_of_accounts_and_persons(text, kind):
-    (start, end, found, _), *_ = surrogates.entities(text)
-    made, n = surrogates.replaced(text, b"k", {})
-    assert found == kind and n == 1 and made != text and len(made) == len(text)
-    assert [k for _, _, k, _ in surrogates.entities(made)] == [kind]
-
-
-def test_surrogates_stay_distinct(spark, monkeypatch):
-    monkeypatch.setattr(surrogates, "surrogate", lambda key, kind, normal, attempt=0: f"{hash((normal, attempt)) % 40}.0.0.1")
-    found = spark.createDataFrame([("ip", f"9.9.9.{i}") for i in range(12)] + [("ip", "5.0.0.1")], "kind string, normal string")
-    made = [(r.normal, r.made) for r in _assigned_here(found)]
-    assert len({m for _, m in made}) == 13 and not {m for _, m in made} & {n for n, _ in made}
-
-
-def _assigned_here(found):
-    """``assign`` with draws taken on the driver, where the patched function is."""
-    drawn = lambda rows, key: rows.sparkSession.createDataFrame([(r.kind, r.normal, r.attempt, surrogates.surrogate(key, r.kind, r.normal, r.attempt)) for r in rows.select("kind", "normal", "attempt").collect()], "kind string, normal string, attempt int, made string")
-    old, surrogates._drawn = surrogates._drawn, drawn
-    try:
-        return surrogates.assign(found, b"k").collect()
-    finally:
-        surrogates._drawn = old
-
-
-def test_more_names_than_the_first_draws_hold_stay_distinct(spark):
-    gender = min(surrogates.ENDINGS["latin"])
-    found = spark.range(75_000).select(F.lit("name").alias("kind"), F.concat(F.lit(f"latin:{gender}:name"), "id").alias("normal"))
-    assert surrogates.assign(found, b"k").agg(F.count_distinct("made"), F.count("*")).first() == (75_000, 75_000)
-
-
-def test_many_redrawn_entities_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(surrogates, "SENT_REDRAWN", -1)
-    rows = [(1, "at 1.2.3.4 and 5.6.7.8"), (2, "at 1.2.3.4"), (2, "at 1.2.3.4"), (3, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    joined = sorted(str(tuple(r)) for r in surrogates.pseudonymise(df, b"k").collect())
-    monkeypatch.setattr(surrogates, "SENT_REDRAWN", 20_000)
-    assert joined == sorted(str(tuple(r)) for r in surrogates.pseudonymise(df, b"k").collect())
-
-
-def test_private_values_are_gone(docs):
-    found = surrogates.pseudonymise(docs, QUERY_KEY)
-    texts = {r.doc_id: r.text for r in found.collect()}
-    for r in docs.collect():
-        for a, b, kind, _ in surrogates.entities(r.text):
-            if kind != "name":
-                assert r.text[a:b] not in texts[r.doc_id]
-    assert found.columns == docs.columns
-
-
-def test_surrogates_of_odd_rows(odd, none):
-    assert surrogates.pseudonymise(odd, b"k").count() == len(ODD)
-    assert surrogates.pseudonymise(none, b"k").count() == 0
-
-
 # ---- byte-level BPE
 
 
