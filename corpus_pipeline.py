@@ -9,16 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import language, neardup, packing, quality, surrogates
-from spanloom.llm.queries import QUERY_KEY, packed_digest, tokenizer
-from spanloom.llm.shared import stash, table
-
+from spanloom.llm.queries import packed_digest, surrogate_key, tokenizer
+from spanloom.llm.shared import free, scratch, stash, table
 
 #: Rows of an Arrow batch: documents are long, and a batch is held by the executor and by its Python worker.
 BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A stage's rows are computed when they are written, after its function has returned, so the setting stays; ``run`` puts the session's own back."""
+    spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by surrogates."""
     small_batches(spark)
-    return surrogates.pseudonymise(docs, QUERY_KEY)
+    return surrogates.pseudonymise(docs, surrogate_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +65,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stash(docs, name)
-    return docs
+    """The last stage's rows. What a stage writes on its way is freed with it, and its rows once the next has read them."""
+    docs, before, own = table(spark, sf_dir, "documents"), None, spark.conf.get(BATCH_SETTING)
+    try:
+        for name, stage in STAGES:
+            with scratch():
+                made = stash(stage(spark, docs, sf_dir), name, keep=True)
+            if before is not None:
+                free(before)
+            docs = before = made
+        return docs
+    finally:
+        spark.conf.set(BATCH_SETTING, own)
