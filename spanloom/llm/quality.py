@@ -21,7 +21,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +41,6 @@ MAX_BULLET_PERCENT = 90
 MAX_ELLIPSIS_PERCENT = 30
 MAX_TOP_PAIR_PERCENT = 20
 MIN_STOP_WORDS = 2
-LETTER = regex.compile(r"\p{L}")
 BULLETS = ("-", "*", "•", "‣", "▪", "◦")
 ELLIPSES = ("...", "…")
 # Common short words of the languages at hand.
@@ -78,7 +76,7 @@ class Text:
 
     @cached_property
     def alpha_words(self) -> int:
-        return sum(1 for w in self.words if LETTER.search(w))
+        return sum(1 for w in self.words if w[0].isalpha() or w[-1].isalpha() or any(map(str.isalpha, w)))
 
     @cached_property
     def stop_words(self) -> int:
@@ -100,8 +98,12 @@ class Text:
 
     @cached_property
     def top_pair_words(self) -> int:
-        """Words in the most frequent pair of neighbours, all its places counted; none of a pair that is there once."""
-        most = max(Counter(zip(self.words, self.words[1:], strict=False)).values(), default=0)
+        """Words in the most frequent pair of neighbours, all its places counted; 0 where it is there once, or where
+        no word is frequent enough for its pairs to matter."""
+        words = self.words
+        if 200 * max(Counter(words).values(), default=0) <= MAX_TOP_PAIR_PERCENT * len(words):
+            return 0
+        most = max(Counter(zip(words, words[1:], strict=False)).values(), default=0)
         return 2 * most if most > 1 else 0
 
     @cached_property
