@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,3 +43,54 @@ def is_flat(cells: Column, least_deviation: float = 20.0, low: float = 12.0, hig
     mean = F.aggregate(cells, F.lit(0.0), lambda s, x: s + x) / F.size(cells)
     spread = F.sqrt(F.aggregate(cells, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(cells))
     return (spread < least_deviation) | (mean < low) | (mean > high)
+
+
+def edge_density(cells: Column, width: int, threshold: float = 48.0) -> Column:
+    """Share of the cells of a grey picture (rows of ``width``) that lie on a strong edge.
+
+    A cell's edge is eight times itself less its neighbours, within 0 and 255; cells of the border are taken as they are.
+    """
+    rows = F.size(cells) / width
+    at = lambda i: F.element_at(cells, i.cast("int") + 1)
+
+    def strong(i: Column) -> Column:
+        x, y = F.pmod(i, F.lit(width)), F.floor(i / width)
+        inner = (x > 0) & (x < width - 1) & (y > 0) & (y < rows - 1)
+        around = sum((at(F.when(inner, i + dy * width + dx).otherwise(i)) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy), F.lit(0.0))
+        edge = F.least(F.greatest(8 * at(i) - around, F.lit(0.0)), F.lit(255.0))
+        return F.when(inner, edge).otherwise(at(i)) >= threshold
+
+    places = F.sequence(F.lit(0), F.size(cells) - 1)
+    return F.when((F.lit(width) < 2) | (rows < 2), 0.0).otherwise(F.size(F.filter(places, strong)) / F.size(cells))
+
+
+def shrunk(picture: np.ndarray, width: int, height: int) -> np.ndarray:
+    """A grey picture at another size, each new cell the mean of the old ones weighed by a triangle around it."""
+    for axis, size in ((1, width), (0, height)):
+        old = picture.shape[axis]
+        scale = max(old / size, 1.0)
+        centre = (np.arange(size) + 0.5) * old / size
+        weight = np.maximum(0, 1 - np.abs(np.arange(old)[None, :] + 0.5 - centre[:, None]) / scale)
+        weight /= weight.sum(1, keepdims=True)
+        picture = np.clip(np.floor(np.tensordot(weight, picture, (1, axis)) + 0.5), 0, 255)
+        picture = picture if axis == 0 else picture.T
+    return picture
+
+
+def fingerprint(picture: np.ndarray, box: tuple[float, float, float, float]) -> str:
+    """256 bits in hexadecimal: whether each of 8 rows of a crop (pixels) grows brighter from cell to cell; empty for no crop."""
+    left, top, right, bottom = (int(round(x)) for x in box)
+    if right <= left or bottom <= top:
+        return ""
+    cells = shrunk(picture[top:bottom, left:right].astype(float), 33, 8)
+    bits = (cells[:, 1:] > cells[:, :-1]).ravel()
+    return f"{int(''.join('1' if b else '0' for b in bits), 2):064x}"
+
+
+def montage_cell(width: int, height: int, n: int) -> tuple[int, int]:
+    """Width and height of a cell of an n x n montage, which must come out whole."""
+    if n < 1:
+        raise ValueError("a montage has one cell a side or more")
+    if width % n or height % n:
+        raise ValueError(f"{width} x {height} can't be cut into {n} x {n} cells")
+    return width // n, height // n

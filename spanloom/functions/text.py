@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import difflib
 import html
+import html.entities
+import json
 import re
 import unicodedata
 from collections.abc import Callable
@@ -33,7 +35,16 @@ def squeezed(x: Column) -> Column:
 
 
 def text_key(x: Column) -> Column:
-    """No case, spacing or punctuation. For texts in their own compatibility form; else apply ``nfkc`` first."""
+    """No case, spacing or punctuation, of the compatibility form.
+
+    Texts of ASCII and Latin-1 letters, which have no other such form, stay in the JVM; the rest take Arrow batches.
+    """
+    plain = x.rlike(r"^[\x00-\x7F\u00C0-\u00FF]*$")
+    return F.when(plain | x.isNull(), F.lower(F.regexp_replace(x, r"(?U)[^\w]+", ""))).otherwise(_mapped(F.when(~plain, x), key_of))
+
+
+def bare_key(x: Column) -> Column:
+    """``text_key`` of what is in its compatibility form already; Catalyst alone."""
     return F.lower(F.regexp_replace(x, r"(?U)[^\w]+", ""))
 
 
@@ -52,12 +63,22 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(rf"(?U)[{HAN_KANA}]|[{HANGUL}]+|{word}(?:['’]{word})*"), F.lit(0))
 
 
+def entities(x: Column) -> Column:
+    """A text with its character references read: all that HTML names, and numbers; ``&amp;`` last, so none is read twice."""
+    known = F.from_json(F.lit(json.dumps({n: c for n, c in html.entities.html5.items() if n.endswith(";")})), "map<string,string>")
+    found = F.array_distinct(F.regexp_extract_all(x, F.lit(r"&(#[0-9]{1,7};|#[xX][0-9A-Fa-f]{1,6};|[A-Za-z][A-Za-z0-9]*;)"), F.lit(1)))
+    ordered = F.concat(F.filter(found, lambda n: n != "amp;"), F.filter(found, lambda n: n == "amp;"))
+
+    def char(n: Column) -> Column:
+        code = F.when(F.lower(F.substring(n, 2, 1)) == "x", F.regexp_extract(n, r"^#[xX](\w+);", 1)).otherwise(F.conv(F.regexp_extract(n, r"^#(\d+);", 1), 10, 16))
+        return F.when(F.startswith(n, F.lit("#")), F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")).otherwise(F.try_element_at(known, n))
+
+    return F.aggregate(ordered, x, lambda text, n: F.replace(text, F.concat(F.lit("&"), n), F.coalesce(char(n), F.concat(F.lit("&"), n))))
+
+
 def clean_text(x: Column) -> Column:
-    """Display markup out, entities of the basic five and spaces resolved; ``unescaped`` knows all entities."""
-    plain = x
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(name), F.lit(char))
-    return squeezed(F.regexp_replace(F.replace(plain, F.lit(" "), F.lit(" ")), MARKUP, ""))
+    """Display markup out, character references and spaces resolved."""
+    return squeezed(F.regexp_replace(F.replace(entities(x), F.lit("\u00a0"), F.lit(" ")), MARKUP, ""))
 
 
 def script_share(x: Column, language: Column) -> Column:
@@ -92,15 +113,6 @@ def extends_by_digit(base: Column, extended: Column) -> Column:
     return (F.length(a) >= 4) & (F.size(number_tokens(base)) == 0) & (F.length(b) == F.length(a) + 1) & (right | left)
 
 
-def rich_tags(x: Column) -> Column:
-    """The names in ``<|name|>`` marks, in order."""
-    return F.regexp_extract_all(x, F.lit(r"<\|([^|]*)\|>"), F.lit(1))
-
-
-def rich_plain(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"<\|[^|]*\|>", ""))
-
-
 # ---- plain Python forms, and Arrow functions over them
 
 
@@ -158,14 +170,6 @@ def _mapped(x: Column, change: Callable[[str], str]) -> Column:
     return run(x)
 
 
-def unescaped_of(text: str) -> str:
-    return " ".join(re.sub(MARKUP, "", html.unescape(text).replace("\xa0", " ")).split())
-
-
-def unescaped(x: Column) -> Column:
-    return _mapped(x, unescaped_of)
-
-
 def nfkc(x: Column) -> Column:
     return _mapped(x, nfkc_text)
 

@@ -90,9 +90,16 @@ def fuse_audio(segments: DataFrame, cues: DataFrame, keys: Sequence[str], settin
     joined = segments.join(lines, [*keys, "segment_id"], "left")
     words, heard = X.tokens(F.col("caption")), X.tokens(F.col("text"))
     covered = F.col("caption").isNotNull()
-    alike = F.when(F.size(heard) > 0, X.token_ratio(heard, words)).otherwise(1.0)
-    fused = F.when(covered & (F.col("caption") != "") & (F.coalesce(alike, F.lit(0.0)) >= settings.align), F.col("caption")).otherwise(F.col("text"))
-    joined = joined.withColumn("fused", fused)
+    fold = lambda t: F.transform(t, F.lower)
+    joined = joined.withColumns({"__heard": fold(heard), "__words": fold(words)})
+    # equal accounts need no matching, and no more can match than both have
+    most = 2 * F.least(F.size("__heard"), F.size("__words")) / F.greatest(F.size("__heard") + F.size("__words"), F.lit(1))
+    open_ = covered & (F.col("caption") != "") & (F.size("__heard") > 0) & (F.col("__heard") != F.col("__words")) & (most >= settings.align)
+    asked = joined.where(open_).withColumn("__alike", X.token_ratio(F.col("__heard"), F.col("__words")))
+    told = joined.where(~F.coalesce(open_, F.lit(False))).withColumn("__alike", F.when((F.size("__heard") == 0) | (F.col("__heard") == F.col("__words")), 1.0).otherwise(0.0))
+    joined = asked.unionByName(told).drop("__heard", "__words")
+    fused = F.when(covered & (F.col("caption") != "") & (F.coalesce("__alike", F.lit(0.0)) >= settings.align), F.col("caption")).otherwise(F.col("text"))
+    joined = joined.withColumn("fused", fused).drop("__alike")
     same = X.normalize(F.col("fused")) == X.normalize(F.col("text"))
     outcome = (
         F.when(~covered, F.lit(None))
@@ -104,10 +111,29 @@ def fuse_audio(segments: DataFrame, cues: DataFrame, keys: Sequence[str], settin
     return joined.withColumn("outcome", outcome).withColumn("fused", F.when(same, F.col("text")).otherwise(F.col("fused"))).drop("caption")
 
 
+def audio_outcomes(fused: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts of what became of each key's speech regions."""
+    speech = F.col("kind") == "speech"
+    n = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    return fused.groupBy(*keys).agg(
+        F.count_if(speech).alias("speech_regions"),
+        F.count_if(F.col("outcome").isNotNull()).alias("regions_covered"),
+        n("rewritten", "recovered").alias("regions_rewritten"),
+        n("guarded").alias("regions_guarded"),
+        n("recovered").alias("regions_recovered"),
+    )
+
+
+def text_outcomes(fused: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts of what became of each key's text cues."""
+    n = lambda name: F.count_if(F.col("outcome") == name).alias(name)
+    return fused.groupBy(*keys).agg(F.count("*").alias("cues"), n("corrected"), n("cosmetic"), n("guarded"))
+
+
 def clauses(x: Column) -> Column:
     """A line and the clauses it may stand in on screen, three characters of normal form or more."""
     pieces = F.transform(F.concat(F.array(x), F.split(x, X.CLAUSE_END)), lambda p: F.trim(p))
-    return F.filter(pieces, lambda p: F.length(X.text_key(p)) >= 3)
+    return F.filter(pieces, lambda p: F.length(X.bare_key(p)) >= 3)
 
 
 def fuse_text(cues: DataFrame, captions: DataFrame, keys: Sequence[str], settings: Attribution = Attribution(), bucket_us: int = 60_000_000) -> DataFrame:

@@ -35,19 +35,29 @@ def line_statistics(cues: DataFrame, segments: DataFrame, text_cues: DataFrame,
     return out.select(*keys, "ordinal", "start_us", "end_us", "text", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("tokens_in_speech", F.lit(0)).alias("tokens_in_speech"), on_screen.alias("on_screen"))
 
 
-def apply(segments: DataFrame, text_cues: DataFrame, cues: DataFrame, keys: Sequence[str], languages: DataFrame, accounts: DataFrame | None = None, settings: captions.Attribution = captions.Attribution()) -> tuple[DataFrame, DataFrame]:
-    """(segments, text cues) with ``fused`` and ``outcome``. ``languages``: keys and ``language`` of each track.
+def apply(segments: DataFrame, text_cues: DataFrame, cues: DataFrame, keys: Sequence[str], languages: DataFrame, accounts: DataFrame | None = None, settings: captions.Attribution = captions.Attribution()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(segments, text cues) with ``fused`` and ``outcome``, and the ``verdict`` and routing counts of each track.
 
-    A track whose letters are not in its language's script corrects nothing.
+    ``languages``: keys and ``language`` of each track. A track whose letters are not in its language's script
+    corrects nothing, and neither does one with a cue that has no moment or no text: its index reads as it was.
     """
     if accounts is not None:
         segments = transcripts.overlay(segments, accounts, [*keys, "segment_id"])
-    whole = cues.groupBy(*keys).agg(F.array_join(F.collect_list("text"), " ").alias("all"))
-    share = X.script_share(F.col("all"), F.col("language"))
-    fit = whole.join(languages, list(keys)).where(share.isNull() | (share >= settings.script_share)).select(*keys)
-    usable = cues.join(fit, list(keys), "left_semi")
+    broken = cues.groupBy(*keys).agg(F.bool_or(F.col("start_us").isNull() | (F.col("start_us") < 0) | F.col("text").isNull()).alias("broken"))
+    sound = broken.where(~F.col("broken")).select(*keys)
+    # letters are counted line by line, and their share is taken of the sums
+    lettered = cues.join(sound, list(keys), "left_semi").join(languages, list(keys)).withColumn("__share", X.script_share(F.col("text"), F.col("language")))
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    shares = lettered.groupBy(*keys).agg((F.sum(F.col("__share") * letters) / F.greatest(F.sum(F.when(F.col("__share").isNotNull(), letters)), F.lit(1))).alias("share"))
+    shares = shares.withColumn("language_ok", F.col("share").isNull() | (F.col("share") >= settings.script_share))
+    usable = cues.join(shares.where("language_ok").select(*keys), list(keys), "left_semi")
     routed = captions.route(line_statistics(usable, segments, text_cues, keys, settings), keys, settings)
     lines = routed.select(*keys, "ordinal", "start_us", "end_us", "text", "decision")
     spoken = captions.fuse_audio(segments, lines.where("decision = 'audio'"), keys, settings)
     shown = captions.fuse_text(text_cues, lines.where("decision = 'text'"), keys, settings)
-    return spoken, shown
+    counts = lines.groupBy(*keys).agg(*(F.count_if(F.col("decision") == d).alias(f"n_{d}") for d in ("audio", "text", "drop")))
+    all_ = cues.join(sound, list(keys), "left_semi").groupBy(*keys).agg(F.count("*").alias("cues"))
+    summary = shares.join(counts, list(keys), "left").join(all_, list(keys))
+    n = lambda d: F.coalesce(f"n_{d}", F.lit(0) if d != "drop" else F.col("cues"))
+    told = captions.verdict(F.col("language_ok"), n("audio"), n("text"))
+    return spoken, shown, summary.select(*keys, "language_ok", F.round("share", 4).alias("script_share"), "cues", n("audio").alias("n_audio"), n("text").alias("n_text"), n("drop").alias("n_drop"), told.alias("verdict"))

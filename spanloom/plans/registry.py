@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import render_queries, span_queries, text_queries
+from spanloom.plans import caption_queries, render_queries, span_queries, text_queries
 
-MODULES = (span_queries, text_queries, render_queries)
+MODULES = (span_queries, text_queries, caption_queries, render_queries)
 
 
 def queries() -> dict:

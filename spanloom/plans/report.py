@@ -41,7 +41,7 @@ def _within(x: Any, duration: float) -> int:
 
 def _citation(c: Any, duration: float) -> dict[str, Any]:
     c = c if isinstance(c, Mapping) else {"claim": str(c)}
-    start = _within(c.get("start_s"), duration)
+    start = _within(c.get("start_s", c.get("timestamp_s")), duration)
     return {"claim": str(c.get("claim") or ""), "start_s": start, "end_s": max(start, _within(c.get("end_s", start), duration))}
 
 

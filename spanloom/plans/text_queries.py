@@ -216,7 +216,7 @@ ORACLES = {
     "token_count": f"SELECT doc_id, len({TOKENS_SQL.format(x='text')}) AS n_tokens, sha256(array_to_string({TOKENS_SQL.format(x='text')}, '|')) AS digest FROM documents",
     "normal_form": f"SELECT conv_id, turn, sha256(replace({KEY_SQL.format(x='text')}, 'ß', 'ss')) AS digest FROM conversations",
     "script_share": r"""SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\p{L}가-힣]', '', 'g')) > 0 THEN length(regexp_replace(text, '[^가-힣]', '', 'g'))::DOUBLE / length(regexp_replace(text, '[^\p{L}가-힣]', '', 'g')) ELSE 0.0 END AS korean, CAST(NULL AS DOUBLE) AS own FROM documents""",
-    "clean_markup": r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), ' ', ' '), '<[^>]{0,40}>', '', 'g'), '\s+', ' ', 'g'))) AS digest FROM pages""",
+    "clean_markup": r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), ' ', ' '), '<[^>]{0,40}>', '', 'g'), '\s+', ' ', 'g'))) AS digest FROM pages""",
     "clause_count": rf"""WITH p AS (SELECT conv_id, turn, list_concat([text], regexp_split_to_array(text, '[,\.!?·]\s+|\s{{2,}}')) AS a FROM conversations)
 SELECT conv_id, turn, len(list_filter(a, lambda x: length({KEY_SQL.format(x='x')}) >= 3)) AS n_clauses FROM p""",
     "number_safety": rf"""WITH RECURSIVE t AS (SELECT conv_id, turn, {NUMBERS_SQL.format(x='text')} AS c, {NUMBERS_SQL.format(x='b')} AS r FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations) WHERE b IS NOT NULL),

@@ -15,6 +15,7 @@ class ConfigError(ValueError):
 
 @dataclass(frozen=True)
 class Speech:
+    max_single_segment_s: float = 30.0
     merge_gap_s: float = 1.5
     min_bridge_s: float = 1.0
     min_region_s: float = 2.0
@@ -23,6 +24,7 @@ class Speech:
 
 @dataclass(frozen=True)
 class Labels:
+    tagger: str = "panns"
     top_k: int = 4
     min_confidence: float = 0.2
     relative_floor: float = 0.4
@@ -38,11 +40,18 @@ class Sampling:
     boundary_offset_s: float = 0.25
     phash_distance: int = 12
     max_frames: int = 120
+    settle_step_s: float = 0.25
+    settle_max_s: float = 2.0
+    hwaccel: str = "none"
 
 
 @dataclass(frozen=True)
 class Reading:
     fps: float = 4.0
+    workers: int = 1
+    device: str = "cpu"
+    scan_width: int = 640
+    recognition_width: int = 1280
     change_threshold: float = 0.06
     refresh_s: float = 4.0
     min_confidence: float = 0.7
@@ -62,6 +71,13 @@ class Reading:
 
 @dataclass(frozen=True)
 class Agent:
+    mode: str = "agentic"
+    advanced_provider: str = "local"
+    temperature: float | None = None
+    read_cost: float = 0.0
+    cached_cost: float = 0.0
+    written_cost: float = 0.0
+    max_transcribe_s: float = 60.0
     max_calls: int = 12
     max_seconds: float = 600.0
     max_interval_s: float = 60.0
@@ -70,6 +86,14 @@ class Agent:
     allowed_grids: tuple[int, ...] = (1, 2, 3, 4)
 
 
+@dataclass(frozen=True)
+class Montage:
+    width: int = 1152
+    height: int = 1152
+    index_n: int = 3
+    full_n: int = 3
+
+
 @dataclass(frozen=True)
 class Settings:
     speech: Speech = Speech()
@@ -77,6 +101,7 @@ class Settings:
     sampling: Sampling = Sampling()
     reading: Reading = Reading()
     agent: Agent = Agent()
+    montage: Montage = Montage()
 
     def fingerprint(self, *sections: str) -> str:
         """A digest of the sections that change a stored result; all of them by default."""
@@ -84,26 +109,59 @@ class Settings:
         return hashlib.sha256(json.dumps({k: data[k] for k in sections or data}, sort_keys=True).encode()).hexdigest()
 
 
-POSITIVE = ("window_max_s", "window_s", "fps", "max_interval_s", "refresh_s", "max_hold_s", "max_calls", "max_seconds", "top_k")
-SHARES = ("min_confidence", "relative_floor", "scene_threshold", "change_threshold", "singleton_confidence", "min_text_height", "same_text_ratio")
+# What settings may hold, by their place.
+POSITIVE = (
+    "speech.window_max_s", "speech.max_single_segment_s", "labels.window_s", "labels.top_k", "sampling.fps", "sampling.min_interval_s",
+    "sampling.max_interval_s", "sampling.settle_step_s", "sampling.settle_max_s", "reading.fps", "reading.workers", "reading.refresh_s",
+    "reading.max_hold_s", "agent.max_calls", "agent.max_seconds", "agent.max_interval_s", "agent.max_transcribe_s", "agent.max_montages",
+    "agent.allowed_fps", "agent.allowed_grids", "montage.width", "montage.height", "montage.index_n", "montage.full_n",
+)
+NOT_NEGATIVE = ("speech.merge_gap_s", "speech.min_bridge_s", "reading.rejoin_gap_s", "agent.read_cost", "agent.cached_cost", "agent.written_cost")
+SHARES = (
+    "labels.min_confidence", "labels.relative_floor", "sampling.scene_threshold", "reading.change_threshold", "reading.min_confidence",
+    "reading.singleton_confidence", "reading.min_text_height", "reading.same_text_ratio",
+)
+CHOICES = {
+    "agent.mode": ("agentic", "baseline_full", "baseline_index_only"),
+    "agent.advanced_provider": ("local", "cloud"),
+    "labels.tagger": ("panns", "sensevoice", "none"),
+    "reading.device": ("cpu", "dml", "directml", "cuda"),
+    "sampling.hwaccel": ("none", "auto", "d3d11va", "dxva2", "cuda", "videotoolbox", "vaapi", "qsv", "amf"),
+}
+NOT_ABOVE = (("sampling.min_interval_s", "sampling.max_interval_s"), ("reading.min_confidence", "reading.singleton_confidence"), ("speech.min_region_s", "speech.window_max_s"))
+LEAST_WIDTH = 32
 
 
 def checked(settings: Settings) -> Settings:
     """The settings, or what is wrong with them."""
-    for section in dataclasses.fields(settings):
-        part = getattr(settings, section.name)
-        for f in dataclasses.fields(part):
-            x = getattr(part, f.name)
-            if f.name in POSITIVE and not x > 0:
-                raise ConfigError(f"{section.name}.{f.name} must be positive")
-            if f.name in SHARES and not 0 <= x <= 1:
-                raise ConfigError(f"{section.name}.{f.name} must be between 0 and 1")
-    if settings.sampling.min_interval_s > settings.sampling.max_interval_s:
-        raise ConfigError("sampling.min_interval_s must not exceed sampling.max_interval_s")
-    if settings.reading.singleton_confidence < settings.reading.min_confidence:
-        raise ConfigError("reading.singleton_confidence must not be below reading.min_confidence")
-    if settings.speech.window_max_s < settings.speech.min_region_s:
-        raise ConfigError("speech.window_max_s must not be below speech.min_region_s")
+
+    def at(place: str) -> Any:
+        section, name = place.split(".")
+        return getattr(getattr(settings, section), name)
+
+    def every(place: str) -> tuple:
+        x = at(place)
+        return x if isinstance(x, tuple) else (x,)
+
+    def must(good: bool, what: str) -> None:
+        if not good:
+            raise ConfigError(what)
+
+    for p in POSITIVE:
+        must(bool(every(p)) and all(x > 0 for x in every(p)), f"{p} must be positive")
+    for p in NOT_NEGATIVE:
+        must(at(p) >= 0, f"{p} must not be negative")
+    for p in SHARES:
+        must(0 <= at(p) <= 1, f"{p} must be between 0 and 1")
+    for p, allowed in CHOICES.items():
+        must(at(p) in allowed, f"{p} must be one of {', '.join(allowed)}")
+    for low, high in NOT_ABOVE:
+        must(at(low) <= at(high), f"{low} must not exceed {high}")
+    for p in ("reading.scan_width", "reading.recognition_width"):
+        must(at(p) >= LEAST_WIDTH, f"{p} must be at least {LEAST_WIDTH}")
+    for n in (*settings.agent.allowed_grids, settings.montage.index_n, settings.montage.full_n):
+        must(n == int(n) and settings.montage.width % n == 0 and settings.montage.height % n == 0, f"montage.width and montage.height must be divisible by the grid {n}")
+    must(settings.agent.temperature is None or 0 <= settings.agent.temperature <= 2, "agent.temperature must be between 0 and 2")
     return settings
 
 

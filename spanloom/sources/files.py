@@ -25,9 +25,22 @@ VTT_HEADERS = r"^\s*(?:WEBVTT|Kind:|Language:|NOTE|STYLE|REGION)"
 
 
 def media(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
-    """``video_id`` (SHA-256 of the content), ``path`` and ``size_bytes`` of files with an allowed extension."""
+    """``video_id`` (SHA-256 of the content), ``path`` and ``size_bytes`` of files with an allowed extension.
+
+    The content is digested where the file is read; a file larger than a row may be (2 GB) wants ``media_paths``.
+    Raises if no file is there, or none of an allowed extension.
+    """
+    found = media_paths(spark, path, extensions, "*")
+    return found.select(F.sha2("content", 256).alias("video_id"), "path", "size_bytes")
+
+
+def media_paths(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS, *columns: str) -> DataFrame:
+    """``path`` and ``size_bytes`` of files with an allowed extension, their content unread."""
     found = spark.read.format("binaryFile").load(path).withColumn("extension", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
-    return found.where(F.col("extension").isin(*extensions)).select(F.sha2("content", 256).alias("video_id"), "path", F.col("length").alias("size_bytes"))
+    allowed = found.where(F.col("extension").isin(*extensions)).withColumnRenamed("length", "size_bytes")
+    if allowed.select("path").isEmpty():
+        raise ValueError(f"no file at {path} has one of the extensions {', '.join(extensions)}")
+    return allowed if columns else allowed.select("path", "size_bytes")
 
 
 def _sidecars(spark: SparkSession, path: str, schema: str, suffix: str) -> DataFrame:
@@ -42,12 +55,19 @@ def hints(spark: SparkSession, path: str) -> DataFrame:
 
 
 def caption_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """Tracks of ``<video>.subs.json`` files, by ``stem``; a file may say that there is no track."""
-    return _sidecars(spark, path, TRACK, r"\.subs\.json").where("track is not null")
+    """Files ``<video>.subs.json``, by ``stem``, with ``looked``: a null ``track`` says that none was found, which
+    differs from a file that isn't there once this is joined."""
+    return _sidecars(spark, path, TRACK, r"\.subs\.json").withColumn("looked", F.lit(True))
+
+
+def usable_tracks(tracks: DataFrame) -> DataFrame:
+    """Tracks with cues, every one of which has a moment and a text; others correct nothing."""
+    sound = F.forall("track.cues", lambda c: c["start_s"].isNotNull() & ~F.isnan(c["start_s"]) & (c["start_s"] >= 0) & c["text"].isNotNull())
+    return tracks.where(F.col("track").isNotNull() & (F.size("track.cues") > 0) & sound)
 
 
 def track_cues(tracks: DataFrame) -> DataFrame:
-    cues = tracks.select("stem", F.posexplode("track.cues").alias("ordinal", "cue")).where(F.trim("cue.text") != "")
+    cues = usable_tracks(tracks).select("stem", F.posexplode("track.cues").alias("ordinal", "cue")).where(F.trim("cue.text") != "")
     return cues.select("stem", "ordinal", F.round(F.col("cue.start_s") * 1e6).cast("long").alias("start_us"), F.col("cue.text").alias("text"))
 
 
@@ -83,6 +103,13 @@ def json3_word_timed(payload: Column) -> Column:
     return F.coalesce((F.size(kept) > 0) & (F.size(F.filter(kept, lambda n: n > 1)) > F.size(kept) * 0.2), F.lit(False))
 
 
+def parse_track(payload: Column, form: Column) -> Column:
+    """``cues`` and ``word_timed`` of a payload by the name of its format; whatever isn't json3 is read as WebVTT."""
+    is_json = form == "json3"
+    cues = F.when(is_json, parse_json3(payload)).otherwise(parse_vtt(payload))
+    return F.struct(cues.alias("cues"), F.when(is_json, json3_word_timed(payload)).otherwise(False).alias("word_timed"))
+
+
 def parse_vtt(payload: Column) -> Column:
     """An array of (``start_us``, ``text``) in order of time, from a WebVTT text."""
 
@@ -96,12 +123,6 @@ def parse_vtt(payload: Column) -> Column:
     return F.array_sort(F.filter(F.transform(blocks, cue), lambda c: c["text"] != ""), lambda a, b: (a["start_us"] > b["start_us"]).cast("int") - (a["start_us"] < b["start_us"]).cast("int"))
 
 
-def parse_rich(payload: Column) -> Column:
-    """Language, other tags and plain text of a line marked up as ``<|tag|>``; the first tag is the language."""
-    found = X.rich_tags(payload)
-    return F.struct(F.try_element_at(found, F.lit(1)).alias("language"), F.slice(found, 2, 64).alias("tags"), X.rich_plain(payload).alias("text"))
-
-
 # ---- writers
 
 
@@ -113,9 +134,3 @@ def write_by_key(rows: DataFrame, path: str, key: str = "video_id") -> None:
 def append_log(rows: DataFrame, path: str) -> None:
     """Append JSON lines, with one moment for the call."""
     rows.withColumn("recorded_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")).write.mode("append").json(path)
-
-
-def write_lines(lines: DataFrame, path: str, key: str = "video_id", order: str = "ordinal", line: str = "line") -> None:
-    """One text file for each key, its lines in order."""
-    ordered = lines.repartition(key).sortWithinPartitions(key, order)
-    ordered.select(key, F.col(line).alias("value")).write.mode("overwrite").partitionBy(key).text(path)

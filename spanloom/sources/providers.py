@@ -22,6 +22,18 @@ LINES = "array<struct<text:string,confidence:double,left:double,top:double,right
 SENTENCES = "array<struct<start_us:bigint,end_us:bigint,text:string,language:string,events:array<string>>>"
 
 
+class Prober(Protocol):
+    def duration_us(self, path: str) -> int: ...
+
+
+class Demuxer(Protocol):
+    """Sound of a video as 16 kHz mono, whole or of a stretch of it; the path of what was written."""
+
+    def audio(self, path: str) -> str: ...
+
+    def clip(self, path: str, start_us: int, end_us: int) -> str: ...
+
+
 class SpeechDetector(Protocol):
     def detect(self, path: str, duration_us: int) -> Sequence[tuple[int, int]]: ...
 
@@ -67,6 +79,43 @@ class StubTagger:
         return self.labels
 
 
+class StubProber:
+    """Every file lasts as many seconds as its path has characters."""
+
+    def duration_us(self, path: str) -> int:
+        return len(path) * 1_000_000
+
+
+class StubDemuxer:
+    def audio(self, path: str) -> str:
+        return f"{path}.wav"
+
+    def clip(self, path: str, start_us: int, end_us: int) -> str:
+        return f"{path}.{start_us}-{end_us}.wav"
+
+
+#: What a provider raises for what it can't do. Anything else, memory that runs out among it, fails the task.
+FAILURES = (ArithmeticError, AttributeError, ImportError, LookupError, OSError, RuntimeError, TypeError, ValueError)
+
+
+def probed(videos: DataFrame, make: Callable[[], Prober]) -> DataFrame:
+    """``videos`` (``path``) with ``duration_us``, null where it can't be told."""
+    found = answered(videos, make, lambda p, r: {"us": p.duration_us(r.path)}, "found", "struct<us:bigint>")
+    return found.withColumn("duration_us", F.col("found.us")).drop("found", "error")
+
+
+def demuxed(rows: DataFrame, make: Callable[[], Demuxer], stretch: bool = False) -> DataFrame:
+    """Rows (``path``, and with ``stretch`` a span) with ``audio_path``, null where it can't be had."""
+    ask = (lambda p, r: {"path": p.clip(r.path, r.start_us, r.end_us)}) if stretch else (lambda p, r: {"path": p.audio(r.path)})
+    found = answered(rows, make, ask, "found", "struct<path:string>")
+    return found.withColumn("audio_path", F.col("found.path")).drop("found", "error")
+
+
+def failures(rows: DataFrame) -> DataFrame:
+    """Rows and errors of what ``answered`` gave, so that a broken model doesn't pass for an empty table."""
+    return rows.agg(F.count("*").alias("rows"), F.count("error").alias("failed"), F.first("error", ignorenulls=True).alias("first_error"))
+
+
 def answered(rows: DataFrame, make: Callable[[], Any], ask: Callable[[Any, Any], Any], answer: str, schema: str) -> DataFrame:
     """``rows`` with ``answer`` (of the type ``schema``) and ``error``; ``ask`` takes the provider and a row."""
     fields = rows.schema
@@ -74,7 +123,7 @@ def answered(rows: DataFrame, make: Callable[[], Any], ask: Callable[[Any, Any],
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
             provider, broken = make(), None
-        except Exception as e:  # a model that cannot be loaded is no reason to fail
+        except FAILURES as e:  # a model that cannot be loaded is no reason to fail
             provider, broken = None, f"{type(e).__name__}: {e}"
         for batch in batches:
             found, errors = [], []
@@ -84,7 +133,7 @@ def answered(rows: DataFrame, make: Callable[[], Any], ask: Callable[[Any, Any],
                         raise RuntimeError(broken)
                     found.append(json.dumps(ask(provider, row)))
                     errors.append(None)
-                except Exception as e:
+                except FAILURES as e:
                     found.append(None)
                     errors.append(str(e))
             yield batch.assign(__answer=found, error=errors)

@@ -32,7 +32,7 @@ def test_a_missing_model_leaves_empty_answers(spark):
     assert (row.text, row.language, row.events) == ("", "unknown", [])
 
 
-@pytest.mark.parametrize("data,message", [({"speech": {"window_max_s": 0}}, "positive"), ({"labels": {"min_confidence": 2}}, "between"), ({"sampling": {"min_interval_s": 60}}, "exceed"), ({"speech": {"x": 1}}, "no setting"), ({"reading": {"singleton_confidence": 0.1}}, "below")])
+@pytest.mark.parametrize("data,message", [({"speech": {"window_max_s": 0}}, "positive"), ({"labels": {"min_confidence": 2}}, "between"), ({"sampling": {"min_interval_s": 60}}, "exceed"), ({"speech": {"x": 1}}, "no setting"), ({"reading": {"singleton_confidence": 0.1}}, "exceed"), ({"agent": {"mode": "x"}}, "one of"), ({"agent": {"allowed_fps": []}}, "positive"), ({"montage": {"width": 1000}}, "divisible"), ({"reading": {"scan_width": 8}}, "at least 32"), ({"speech": {"merge_gap_s": -1}}, "negative"), ({"agent": {"temperature": 3}}, "temperature"), ({"sampling": {"hwaccel": "x"}}, "one of")])
 def test_settings_are_checked(data, message):
     with pytest.raises(config.ConfigError, match=message):
         config.from_mapping(data)
@@ -62,11 +62,17 @@ def test_transcripts_come_before_captions(spark):
     cues = spark.createDataFrame([("v", 0, 1 * S, "Hello everyone"), ("v", 1, 5 * S, "out there, friends")], "k string, ordinal long, start_us long, text string")
     shown = spark.createDataFrame([("v", 0, 0, 5 * S, "logo")], "k string, cue_id long, start_us long, end_us long, text string")
     language = lambda x: spark.createDataFrame([("v", x)], "k string, language string")
-    spoken, read = overlay.apply(segments, shown, cues, ["k"], language("en"), accounts)
+    spoken, read, told = overlay.apply(segments, shown, cues, ["k"], language("en"), accounts)
     assert {r.segment_id: r.fused for r in spoken.collect()} == {0: "Hello everyone out there, friends", 1: "kept words here"}
     assert read.first().fused == "logo"
-    spoken, _ = overlay.apply(segments, shown, cues, ["k"], language("ko"), accounts)
+    assert [(r.k, r.language_ok, r.cues, r.n_audio, r.verdict) for r in told.collect()] == [("v", True, 2, 2, "speech_transcript")]
+    spoken, _, told = overlay.apply(segments, shown, cues, ["k"], language("ko"), accounts)
     assert {r.segment_id: r.fused for r in spoken.collect()} == {0: "helo everyone out there", 1: "kept words here"}
+    assert [(r.language_ok, r.script_share, r.n_drop, r.verdict) for r in told.collect()] == [(False, 0.0, 2, "rejected_language")]
+    # a track with a broken line corrects nothing
+    bad = cues.unionByName(spark.createDataFrame([("v", 3, None, "x")], cues.schema))
+    spoken, _, told = overlay.apply(segments, shown, bad, ["k"], language("en"))
+    assert {r.fused for r in spoken.collect()} == {"draft", "kept words here"} and told.count() == 0
 
 
 def test_lines_that_were_read_on_screen(spark):

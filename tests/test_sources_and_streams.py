@@ -4,10 +4,12 @@ import datetime
 import hashlib
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from spanloom.operators.tracks import Settings
-from spanloom.sources import files
+from spanloom.sources import files, index
 from spanloom.streaming import timelines
 
 S = 1_000_000
@@ -18,6 +20,8 @@ def test_media_are_known_by_content(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"abc")
     rows = files.media(spark, str(tmp_path)).collect()
     assert [(r.video_id, r.size_bytes) for r in rows] == [(hashlib.sha256(b"abc").hexdigest(), 3)]
+    with pytest.raises(ValueError, match="extensions"):
+        files.media(spark, str(tmp_path), ("avi",))
 
 
 def test_sidecars(spark, tmp_path):
@@ -26,6 +30,8 @@ def test_sidecars(spark, tmp_path):
     (tmp_path / "x.subs.json").write_text("{broken")
     found = files.track_cues(files.caption_tracks(spark, str(tmp_path / "*.subs.json"))).collect()
     assert [(r.stem, r.start_us, r.text) for r in found] == [("v", 1_500_000, "x")]
+    # a file that says there is no track is there, one that isn't there is not
+    assert sorted((r.stem, r.looked, r.track is None) for r in files.caption_tracks(spark, str(tmp_path / "*.subs.json")).collect()) == [("v", True, False), ("w", True, True)]
     (tmp_path / "v.meta.json").write_text(json.dumps({"title": "T", "chapters": [{"start_s": 0, "end_s": 9, "title": "c"}]}))
     row = files.hints(spark, str(tmp_path / "*.meta.json")).first()
     assert (row.stem, row.title, row.chapters[0].title) == ("v", "T", "c")
@@ -43,8 +49,9 @@ def test_writers(spark, tmp_path):
     files.append_log(spark.range(1), f"{tmp_path}/log")
     assert spark.read.json(f"{tmp_path}/log").count() == 3
     rows = spark.createDataFrame([("v", 2, "b"), ("v", 1, "a"), ("w", 1, "c")], "video_id string, ordinal long, line string")
-    files.write_lines(rows, f"{tmp_path}/text")
+    index.write_text(rows, spark.createDataFrame([("v",), ("w",), ("x",)], "video_id string"), f"{tmp_path}/text")
     assert [r.value for r in spark.read.text(f"{tmp_path}/text/video_id=v").collect()] == ["a", "b"]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/text/video_id=x").collect()] == [""]
     files.write_by_key(rows, f"{tmp_path}/keys")
     files.write_by_key(rows.where("video_id = 'v'").withColumn("line", F.lit("n")), f"{tmp_path}/keys")
     assert sorted(r.line for r in spark.read.parquet(f"{tmp_path}/keys").collect()) == ["c", "n", "n"]

@@ -10,7 +10,7 @@ from spanloom.functions import images as I
 from spanloom.functions import text as X
 from spanloom.functions import time as T
 from spanloom.operators import captions, joins, render, tags, transcripts
-from spanloom.sources import files
+from spanloom.sources import files, rich
 
 S = 1_000_000
 
@@ -45,7 +45,7 @@ def test_ratio_keeps_the_order_of_its_arguments():
 
 
 def test_clean_text_knows_entities(spark):
-    assert value(spark, X.unescaped(F.col("t")), t="a&nbsp;&eacute; <b>x</b>\ny") == "a é x y"
+    assert value(spark, X.clean_text(F.col("t")), t="a&nbsp;&eacute; <b>x</b>\ny &#233;&#xE9; &amp;lt; &lt;i> &nosuch; R&D") == "a é x y éé &lt; &nosuch; R&D"
     assert value(spark, X.clean_text(F.col("t")), t="a&nbsp;&amp; <b>x</b>\ny") == "a & x y"
 
 
@@ -90,8 +90,8 @@ def test_vtt(spark):
 
 
 def test_rich_line(spark):
-    found = value(spark, files.parse_rich(F.col("p")), p="<|en|><|NEUTRAL|><|BGM|>Hello")
-    assert (found.language, found.tags, found.text) == ("en", ["NEUTRAL", "BGM"], "Hello")
+    found = value(spark, rich.decoded(F.col("p")), p="<|en|><|NEUTRAL|><|BGM|>Hello")
+    assert (found.language, found.emotion, found.events, found.text) == ("en", "neutral", ["BGM"], "Hello")
 
 
 def lines(spark, rows):
