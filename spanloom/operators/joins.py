@@ -63,6 +63,12 @@ def clipped(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket_us: i
     return pairs.where(F.col("clip_end_us") - F.col("clip_start_us") >= least_us)
 
 
+def first_overlapping(clips: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """Of the overlaps of each left span (``clipped``) the right one that comes first."""
+    best = F.min(F.struct("clip_start_us", right_id)).alias("b")
+    return clips.groupBy(left_id).agg(best).select(left_id, F.col(f"b.{right_id}").alias(right_id))
+
+
 def as_of_previous(rows: DataFrame, keys: Sequence[str], at: str, row_id: str, within_us: int, condition: Column | None = None) -> DataFrame:
     """Each row with the latest earlier row of its key at most ``within_us`` back, as ``prev_<id>`` and ``prev_<at>``.
 

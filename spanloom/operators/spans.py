@@ -40,9 +40,12 @@ def union(rows: DataFrame, keys: Sequence[str], gap_us: int = 0, bucket_us: int
     return _islands(marked, keys, F.col("__reached").isNull() | (F.col(START) - F.col("__reached") > gap_us)).select(*keys, START, END)
 
 
-def complement(rows: DataFrame, keys: Sequence[str], durations: DataFrame, duration: str = "duration_us") -> DataFrame:
-    """What of ``[0, duration)`` each key's spans leave over; ``durations`` names every key, spans or none."""
-    spans = durations.select(*keys, duration).join(union(rows, keys), list(keys), "left")
+def complement(rows: DataFrame, keys: Sequence[str], durations: DataFrame, duration: str = "duration_us", bucket_us: int | None = None) -> DataFrame:
+    """What of ``[0, duration)`` each key's spans leave over; ``durations`` names every key, spans or none.
+
+    ``bucket_us`` is that of ``union``: only merged spans of a key meet in one task.
+    """
+    spans = durations.select(*keys, duration).join(union(rows, keys, 0, bucket_us), list(keys), "left")
     order = Window.partitionBy(*keys).orderBy(START)
     before = F.greatest(F.lag(END, 1, 0).over(order), F.lit(0))
     last = F.lead(START).over(order).isNull()

@@ -23,7 +23,7 @@ def span_union(spark: SparkSession, sf: str) -> DataFrame:
 
 def span_complement(spark: SparkSession, sf: str) -> DataFrame:
     rows, ends = relative(spark, sf)
-    return spans.complement(rows, KEYS, ends)
+    return spans.complement(rows, KEYS, ends, bucket_us=24 * HOUR)
 
 
 def span_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,9 +115,7 @@ def clip_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 def first_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """The first region that overlaps each request."""
-    pairs = clip_overlap(spark, sf)
-    best = F.min(F.struct("clip_start_us", "r_event_id")).alias("b")
-    return pairs.groupBy("event_id").agg(best).select("event_id", F.col("b.r_event_id").alias("region_id"))
+    return joins.first_overlapping(clip_overlap(spark, sf), "event_id", "r_event_id").select("event_id", F.col("r_event_id").alias("region_id"))
 
 
 def asof_prev(spark: SparkSession, sf: str) -> DataFrame:

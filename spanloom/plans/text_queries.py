@@ -9,7 +9,7 @@ from spanloom.functions import geometry as G
 from spanloom.functions import images as I
 from spanloom.functions import text as X
 from spanloom.functions import time as T
-from spanloom.operators import captions, tags, transcripts
+from spanloom.operators import captions, measures, tags, transcripts
 from spanloom.plans.tables import EVENTS, events, read
 
 #: What SQL calls the key, tokens and squeezed form of a text.
@@ -125,29 +125,23 @@ def label_two_bar(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_labels(spark: SparkSession, sf: str) -> DataFrame:
-    order = Window.partitionBy("k").orderBy(F.desc("value"), "event_id")
-    ranked = events(spark, sf).withColumn("r", F.row_number().over(order)).where("r <= 4 and value >= 20")
-    return ranked.select("k", F.col("r").cast("long").alias("rank"), "event_id", "kind")
+    return measures.strongest(events(spark, sf), ["k"], "value", "event_id", 4, 20.0).select("k", "rank", "event_id", "kind")
 
 
 def median_height(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).groupBy("k", "kind").agg(F.median("value").alias("median_value"))
+    return measures.middle(events(spark, sf), ["k", "kind"], "value")
 
 
 def first_language(spark: SparkSession, sf: str) -> DataFrame:
     """Of each source the first document's language that isn't English, and the one language where there is one."""
-    rows = read(spark, sf, "documents")
-    other = F.when(F.col("lang") != "en", F.col("lang"))
-    only = F.collect_set("lang")
-    return rows.groupBy("source").agg(F.min_by(F.col("lang"), F.when(other.isNotNull(), F.col("doc_id"))).alias("first_other"), F.when(F.size(only) == 1, F.element_at(only, 1)).alias("only_lang"), F.size(only).cast("long").alias("n_langs"))
+    return measures.languages(read(spark, sf, "documents"), ["source"], "lang", "doc_id")
 
 
 def priced_cost(spark: SparkSession, sf: str) -> DataFrame:
     """Cost of each user's calls in millionths, cached tokens at their own rate; null where nothing is priced."""
     rows = events(spark, sf).select("k", F.floor(F.col("value") * 100).cast("long").alias("read"), (F.col("event_id") % 97 * 10).alias("cached"), "kind")
-    cached = F.least("cached", "read")
-    cost = F.when(F.col("kind") == "purchase", (F.col("read") - cached) * 3 + cached)
-    return rows.groupBy("k").agg(F.sum(cost).alias("cost"), F.sum("read").alias("tokens"))
+    price = F.when(F.col("kind") == "purchase", measures.cost(F.col("read"), F.col("cached"), 3, 1))
+    return measures.token_totals(rows, ["k"], price)
 
 
 def mean_hash(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,13 +5,18 @@ Late rows are told by the watermark; a key's tracks close when the watermark pas
 
 from __future__ import annotations
 
+import json
+import os
 import pickle
+import shutil
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from spanloom.operators.tracks import Follower, Settings, frames_of, prepared
 
@@ -28,14 +33,49 @@ def merged_gaps(events: DataFrame, key: str, at: str, gap: str, lateness: str) -
     return found.select(key, F.col("session_window.start").alias("start"), "last", "n")
 
 
-def latest_accounts(rows: DataFrame, path: str, region: list[str]) -> "object":
-    """A ``foreachBatch`` writer that keeps each region's best rows in ``path``, by coverage, then recency."""
+def read_accounts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The best rows of every region that ``latest_accounts`` has written so far."""
+    places = sorted(_places(path).values())
+    return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
+
+
+def _places(path: str) -> dict[str, str]:
+    """The folder that holds each bucket of regions now."""
+    try:
+        with open(os.path.join(path, "places.json"), encoding="utf-8") as f:
+            return json.load(f)
+    except FileNotFoundError:
+        return {}
+
+
+def latest_accounts(rows: DataFrame, path: str, region: list[str], buckets: int = 64) -> DataStreamWriter:
+    """A ``foreachBatch`` writer that keeps each region's best rows in ``path``, by coverage, then recency.
+
+    Regions lie in buckets by hash. A batch rereads and rewrites the buckets that it touches alone, each into a
+    folder of its own number; the list of folders is replaced as a whole, and only then are the old ones removed,
+    so a batch that is run again finds what it found before, or that it is done.
+    """
     from spanloom.operators.transcripts import best_account
+    from spanloom.sources.index import write_json
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        history = spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}") if number else batch.where("false")
-        best_account(history.unionByName(batch), region, "coverage", "recorded_at").write.mode("overwrite").parquet(f"{path}/{number}")
+        bucketed = batch.withColumn("__bucket", F.pmod(F.xxhash64(*region), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = [str(r["__bucket"]) for r in bucketed.select("__bucket").distinct().collect()]
+            places = _places(path)
+            old = [places[b] for b in touched if b in places]
+            if any(f"/v{number}/" in x for x in old):
+                # the list names this batch's folders: it was merged, and is asked for again
+                return
+            history = spark.read.schema(batch.schema).parquet(*old) if old else batch.where("false")
+            best = best_account(history.unionByName(batch), region, "coverage", "recorded_at")
+            best.withColumn("__bucket", F.pmod(F.xxhash64(*region), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/v{number}")
+            write_json(os.path.join(path, "places.json"), places | {b: f"{path}/v{number}/__bucket={b}" for b in touched})
+            for x in old:
+                shutil.rmtree(x, ignore_errors=True)
+        finally:
+            bucketed.unpersist()
 
     return rows.writeStream.foreachBatch(merge)
 

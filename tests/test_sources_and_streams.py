@@ -94,3 +94,21 @@ def test_text_is_tracked_in_a_stream(spark, tmp_path):
     stream = timelines.tracked(streamed(spark, tmp_path, rows, schema), "k", "ts", "0 seconds", Settings(fps=1, min_confidence=0.5, singleton=0.85, min_height=0), horizon_s=1e12)
     found = sorted((r.start_us // S - offset, r.end_us // S - offset, r.text) for r in drained(spark, stream, "tracks"))
     assert found[:2] == [(0, 2, "Hello there"), (2, 33, "Another line")]
+
+
+def test_a_stream_keeps_the_best_account_of_each_region(spark, tmp_path):
+    schema = "region string, coverage double, recorded_at string, text string"
+    batches = [[("a", 0.5, "1", "half"), ("b", 1.0, "1", "whole")], [("a", 0.9, "2", "more"), ("c", 0.1, "2", "some")], [("a", 0.7, "3", "less"), ("b", 1.0, "3", "newer")]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in/{n}")
+    out = str(tmp_path / "accounts")
+    for n in range(3):
+        stream = spark.readStream.schema(schema).json(f"{tmp_path}/in/{n}")
+        timelines.latest_accounts(stream, out, ["region"], 8).option("checkpointLocation", f"{tmp_path}/cp{n}").trigger(availableNow=True).start().awaitTermination(120)
+        if n < 2:
+            # each source numbers its batches from 0, so later ones are given the numbers that follow
+            (tmp_path / "accounts" / "v0").rename(tmp_path / "accounts" / f"u{n}")
+            places = tmp_path / "accounts" / "places.json"
+            places.write_text(places.read_text().replace("/v0/", f"/u{n}/"))
+    found = timelines.read_accounts(spark, out, spark.createDataFrame([], schema).schema)
+    assert sorted((r.region, r.text) for r in found.collect()) == [("a", "more"), ("b", "newer"), ("c", "some")]
