@@ -589,23 +589,3 @@ def test_neighbours_of_odd_vectors(spark):
     found = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.search(df, F.col("vec_id") % 20 == 0).collect())
     assert found == [(0, 1, 3), (0, 2, 4), (0, 3, 20), (0, 4, 5), (20, 1, 0), (20, 2, 3), (20, 3, 4), (20, 4, 5)]
     assert neighbours.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
-
-
-# ---- pipeline
-
-
-def test_pipeline_equals_its_stages(spark, docs):
-    import corpus_pipeline as P
-
-    rows = docs
-    counts = [docs.count()]
-    for name, stage in P.STAGES[:-1]:
-        rows = spark.createDataFrame(stage(spark, rows, SF).collect(), docs.schema)
-        assert rows.columns == docs.columns
-        counts.append(rows.count())
-    judged = quality.judge(docs, quality.RULES).collect()
-    assert counts[1] == len(judged) and counts[1] == counts[2] and counts[3] == counts[4]
-    assert counts[3] == len({c for _, c in plain_components([(r.doc_id, r.text) for r in judged]).values()})
-    check_pieces(packing.pack(rows, tokenizer("word_bpe_49k.json")).collect(), [r.text for r in rows.collect()])
-    run = P.run(spark, SF)
-    assert run.agg(F.sum("length")).first()[0] == packing.pack(rows, tokenizer("word_bpe_49k.json")).agg(F.sum("length")).first()[0]
