@@ -26,8 +26,11 @@ def vtt_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def json3_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations written as json3, a segment for each turn, and read back."""
-    event = F.struct((F.col("turn") * 2000).alias("tStartMs"), F.array(F.struct(F.col("text").alias("utf8"), F.lit(250).alias("tOffsetMs")), F.struct(F.lit("\n").alias("utf8"), F.lit(0).alias("tOffsetMs"))).alias("segs"))
+    """Conversations written as json3, a word of its own after every fourth turn, and read back: some are word-timed."""
+    segment = lambda text, ms: F.struct(text.alias("utf8"), F.lit(ms).alias("tOffsetMs"))
+    body = segment(F.col("text"), 250)
+    segments = F.when((F.col("turn") + F.col("conv_id")) % 4 == 0, F.array(body, segment(F.lit("&eacute;&#33;"), 750))).otherwise(F.array(body, segment(F.lit("\n"), 0)))
+    event = F.struct((F.col("turn") * 2000).alias("tStartMs"), segments.alias("segs"))
     payload = _turns(spark, sf).groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(event).alias("events"))).alias("p"))
     cues = payload.select("conv_id", files.json3_word_timed(F.col("p")).alias("word_timed"), F.explode(files.parse_json3(F.col("p"))).alias("c"))
     return cues.select("conv_id", "word_timed", F.col("c.start_us").alias("start_us"), F.col("c.text").alias("text"))
@@ -81,7 +84,9 @@ r(k, n, checked, last_read, sig, take) AS (SELECT k, n, at_us, at_us, sig, true
   LATERAL (SELECT f.required OR f.at_us - r.last_read >= 86400000000 OR (d.due AND f.sig <> r.sig) AS take) t)
 SELECT r.k, f.at_us FROM r JOIN f ON r.k = f.k AND r.n = f.n WHERE take""",
     "vtt_parse": f"WITH {TURNS} SELECT conv_id, turn * 3500000 AS start_us, text FROM t WHERE text <> ''",
-    "json3_parse": f"WITH {TURNS} SELECT conv_id, false AS word_timed, turn * 2000000 + 250000 AS start_us, text FROM t WHERE text <> ''",
+    "json3_parse": f"""WITH {TURNS}, w AS (SELECT *, (turn + conv_id) % 4 = 0 AS two FROM t), e AS (SELECT conv_id, count(*) FILTER (two AND text <> '') > 0.2 * count(*) AND count(*) > 0 AS word_timed FROM w GROUP BY conv_id),
+c AS (SELECT conv_id, turn * 2000000 + 250000 AS start_us, text FROM w WHERE text <> '' UNION ALL SELECT conv_id, turn * 2000000 + 750000, 'é!' FROM w WHERE two)
+SELECT c.conv_id, word_timed, start_us, text FROM c JOIN e ON c.conv_id = e.conv_id""",
     "audio_lines": f"""WITH {EVENTS}, s AS (SELECT *, CASE WHEN kind IN ('view', 'click') THEN 'event ' || event_id ELSE '' END AS words FROM ev WHERE kind IN ('view', 'click', 'purchase'))
 SELECT k, row_number() OVER (PARTITION BY k ORDER BY start_us, end_us) AS ordinal, '[' || start_us // 1000000 || '-' || end_us // 1000000 || '] ' ||
   concat_ws(' ', CASE WHEN words <> '' AND event_id % 3 <> 0 THEN '<en>' END, CASE WHEN kind IN ('purchase', 'view') THEN '<' || kind || '>' END, nullif(words, '')) AS line FROM s""",

@@ -68,8 +68,11 @@ def tumbling_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rle_merge(spark: SparkSession, sf: str) -> DataFrame:
-    rows = events(spark, sf).select("k", "start_us", "end_us", F.array(F.when(F.col("kind") == "view", "click").otherwise(F.col("kind"))).alias("tags"))
-    return spans.merge_runs(rows, KEYS, "tags").select("k", "start_us", "end_us", F.col("tags")[0].alias("tag"))
+    """Neighbours whose tags are one set, in whatever order each has them, and repeated or not."""
+    tag = F.when(F.col("kind") == "view", "click").otherwise(F.col("kind"))
+    tags = F.when(F.col("event_id") % 3 == 0, F.array(tag, F.lit("all"))).when(F.col("event_id") % 3 == 1, F.array(F.lit("all"), tag)).otherwise(F.array(tag, F.lit("all"), tag))
+    rows = events(spark, sf).select("k", "start_us", "end_us", tags.alias("tags"))
+    return spans.merge_runs(rows, KEYS, "tags").select("k", "start_us", "end_us", F.array_join("tags", " ").alias("tag"))
 
 
 def coverage_fill(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,10 +236,10 @@ SELECT event_id, start_us + (i * (end_us - start_us)) // c AS start_us, CASE WHE
     "tumbling_count": f"""WITH {EVENTS}, g AS (SELECT k, duration_us, unnest(range(0, duration_us, {6 * HOUR})) AS start_us FROM dur),
 c AS (SELECT k, start_us // {6 * HOUR} * {6 * HOUR} AS start_us, count(*) AS n FROM rel GROUP BY 1, 2)
 SELECT g.k, g.start_us, least(g.start_us + {6 * HOUR}, duration_us) AS end_us, coalesce(n, 0) AS n_events FROM g LEFT JOIN c ON g.k = c.k AND g.start_us = c.start_us""",
-    "rle_merge": f"""WITH {EVENTS}, t AS (SELECT k, start_us, end_us, CASE WHEN kind = 'view' THEN 'click' ELSE kind END AS tag FROM ev),
+    "rle_merge": f"""WITH {EVENTS}, t AS (SELECT k, start_us, end_us, CASE WHEN kind = 'view' THEN 'click' ELSE kind END AS tag, event_id FROM ev),
 l AS (SELECT *, CASE WHEN tag = lag(tag) OVER w THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY k ORDER BY start_us, end_us)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS run FROM l)
-SELECT k, min(start_us) AS start_us, max(end_us) AS end_us, arg_min(tag, start_us) AS tag FROM r GROUP BY k, run""",
+SELECT k, min(start_us) AS start_us, max(end_us) AS end_us, arg_min(CASE event_id % 3 WHEN 0 THEN tag || ' all' WHEN 1 THEN 'all ' || tag ELSE tag || ' all ' || tag END, start_us) AS tag FROM r GROUP BY k, run""",
     "coverage_fill": f"""WITH {EVENTS}, e AS (SELECT k, start_us AS a, lead(start_us, 1, duration_us) OVER (PARTITION BY k ORDER BY start_us) AS b FROM rel),
 g AS (SELECT *, (b - a + {6 * HOUR - 1}) // {6 * HOUR} - 1 AS needed FROM e WHERE b - a > {6 * HOUR}), x AS (SELECT *, unnest(range(1, needed + 1)) AS i FROM g)
 SELECT k, a + i * (b - a) // (needed + 1) AS at_us FROM x""",

@@ -38,13 +38,15 @@ def token_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normal_form(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "conversations").select("conv_id", "turn", F.sha2(X.normalize(F.col("text")), 256).alias("digest"))
+    """Turns with letters and digits behind them that have another compatibility form."""
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.sha2(X.normalize(F.concat("text", F.lit(" \ufb01\uff21\uff11\u00b2 \u1e9e"))), 256).alias("digest"))
 
 
 def script_share(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of Latin-only letters has no script of its own, so Korean is asked for: 0 wherever there is none."""
+    """Documents with some Korean behind them: its share of their letters, and that of a language without a script of its own."""
     rows = read(spark, sf, "documents")
-    return rows.select("doc_id", X.script_share(F.col("text"), F.lit("ko-KR")).alias("korean"), X.script_share(F.col("text"), F.col("lang")).alias("own"))
+    text = F.concat("text", F.repeat(F.lit(" 안녕하세요"), (F.col("doc_id") % 7 * 40).cast("int")))
+    return rows.select("doc_id", X.script_share(text, F.lit("ko-KR")).alias("korean"), X.script_share(F.col("text"), F.col("lang")).alias("own"))
 
 
 def clean_markup(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,9 +119,14 @@ def conversation_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_two_bar(spark: SparkSession, sf: str) -> DataFrame:
-    """Each user's day of events as scored labels, ranked by score: the names that clear both bars."""
+    """Each user's day of events as scored labels, ranked by score: the names that clear both bars.
+
+    Of the labels one is spoken, one abstract, one another's name, and one has a remark and a second name; those
+    that are discarded still set the bar.
+    """
     rows = events(spark, sf).withColumn("day", F.floor(F.col("start_us") / (86400 * T.SECOND)))
-    ranked = F.sort_array(F.collect_list(F.struct(F.col("value").alias("confidence"), F.col("event_id"), F.col("kind").alias("label"))), asc=False)
+    label = F.create_map(*(F.lit(x) for x in ("view", "Speech", "error", "Animal", "click", "Siren", "purchase", "Chirp (small), tweet", "signup", "Hubbub,  babble")))[F.col("kind")]
+    ranked = F.sort_array(F.collect_list(F.struct(F.col("value").alias("confidence"), F.col("event_id"), label.alias("label"))), asc=False)
     listed = rows.groupBy("k", "day").agg(ranked.alias("tags"))
     return listed.select("k", "day", F.array_join(tags.kept(F.col("tags"), 5.0, 0.4), " ").alias("names"))
 
@@ -208,8 +215,9 @@ ORACLES = {
     "number_tokens": f"SELECT doc_id, len({NUMBERS_SQL.format(x='text')}) AS n_numbers, array_to_string({NUMBERS_SQL.format(x='text')}, ' ') AS numbers FROM documents",
     "strip_conventions": f"SELECT doc_id, {STRIP_SQL.format(x='text')} AS line FROM documents",
     "token_count": f"SELECT doc_id, len({TOKENS_SQL.format(x='text')}) AS n_tokens, sha256(array_to_string({TOKENS_SQL.format(x='text')}, '|')) AS digest FROM documents",
-    "normal_form": f"SELECT conv_id, turn, sha256(replace({KEY_SQL.format(x='text')}, 'ß', 'ss')) AS digest FROM conversations",
-    "script_share": r"""SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\p{L}가-힣]', '', 'g')) > 0 THEN length(regexp_replace(text, '[^가-힣]', '', 'g'))::DOUBLE / length(regexp_replace(text, '[^\p{L}가-힣]', '', 'g')) ELSE 0.0 END AS korean, CAST(NULL AS DOUBLE) AS own FROM documents""",
+    "normal_form": f"SELECT conv_id, turn, sha256(replace({KEY_SQL.format(x='text')}, 'ß', 'ss') || 'fia12ss') AS digest FROM conversations",
+    "script_share": r"""WITH t AS (SELECT doc_id, text || repeat(' 안녕하세요', doc_id % 7 * 40) AS text FROM documents)
+SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\p{L}가-힣]', '', 'g')) > 0 THEN length(regexp_replace(text, '[^가-힣]', '', 'g'))::DOUBLE / length(regexp_replace(text, '[^\p{L}가-힣]', '', 'g')) ELSE 0.0 END AS korean, CAST(NULL AS DOUBLE) AS own FROM t""",
     "clean_markup": r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), ' ', ' '), '<[^>]{0,40}>', '', 'g'), '\s+', ' ', 'g'))) AS digest FROM pages""",
     "clause_count": rf"""WITH p AS (SELECT conv_id, turn, list_concat([text], regexp_split_to_array(text, '[,\.!?·]\s+|\s{{2,}}')) AS a FROM conversations)
 SELECT conv_id, turn, len(list_filter(a, lambda x: length({KEY_SQL.format(x='x')}) >= 3)) AS n_clauses FROM p""",
@@ -229,7 +237,7 @@ r AS (SELECT *, rank() OVER (PARTITION BY k, kind ORDER BY best DESC, day DESC)
     "conversation_digest": f"SELECT conv_id, sha256(string_agg(turn || ':' || {KEY_SQL.format(x='text')}, '|' ORDER BY turn, role)) AS digest FROM conversations GROUP BY conv_id",
     "conversation_text": "SELECT conv_id, string_agg(text, ' ' ORDER BY turn, role) AS text FROM conversations GROUP BY conv_id",
     "label_two_bar": f"""WITH {EVENTS}, d AS (SELECT *, start_us // 86400000000 AS day FROM ev), m AS (SELECT *, max(value) OVER (PARTITION BY k, day) * 0.4::DOUBLE AS floor FROM d),
-p AS (SELECT k, day, kind, max(value) AS v, arg_max(event_id, (value, event_id)) AS e FROM m WHERE value >= 5 AND value >= floor GROUP BY k, day, kind),
+p AS (SELECT k, day, CASE kind WHEN 'click' THEN 'alarm' WHEN 'purchase' THEN 'birds' ELSE 'crowd' END AS kind, max(value) AS v, arg_max(event_id, (value, event_id)) AS e FROM m WHERE value >= 5 AND value >= floor AND kind IN ('click', 'purchase', 'signup') GROUP BY k, day, kind),
 n AS (SELECT k, day, string_agg(kind, ' ' ORDER BY v DESC, e DESC) AS names FROM p GROUP BY k, day) SELECT DISTINCT d.k, d.day, coalesce(n.names, '') AS names FROM d LEFT JOIN n ON d.k = n.k AND d.day = n.day""",
     "top_labels": f"WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY value DESC, event_id) AS rank FROM ev) SELECT k, rank, event_id, kind FROM r WHERE rank <= 4 AND value >= 20",
     "median_height": f"WITH {EVENTS} SELECT k, kind, median(value) AS median_value FROM ev GROUP BY k, kind",
