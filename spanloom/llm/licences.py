@@ -39,7 +39,7 @@ MARKS = re.compile(r"^[ \t>]*(?://+!?|/\*+!?|\*+/?|#+|--+|;+|%+|<!--|\"\"\"|'''|
 AT_ONCE = 20_000
 WINDOW, STRIDE = 32, 20
 #: Words of the shortest template.
-SHORTEST = 4
+SHORTEST = 3
 NONE, UNKNOWN = "none", "unknown"
 
 # Customary wordings of notices by family.
@@ -113,6 +113,7 @@ TEMPLATES = {
     "Proprietary": [
         "All rights reserved. No part of this publication may be reproduced or distributed without prior written permission of the publisher.",
         "Copyright. All rights reserved.",
+        "All rights reserved.",
     ],
     UNKNOWN: [
         "Use of this file is subject to the terms of the licence agreement.",

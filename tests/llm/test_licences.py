@@ -99,7 +99,7 @@ def test_every_notice_of_the_documents_is_found(docs, model):
     found = {}
     for r in L.scan(docs, model).where("confirmed").collect():
         found.setdefault(r.doc_id, set()).add(r.family)
-    names = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "GNU General Public License, version 3.": "GPL-3.0"}
+    names = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "GNU General Public License, version 3.": "GPL-3.0", "CC BY-NC 4.0": "CC-BY-NC", "All rights reserved.": "Proprietary"}
     want = {}
     for r in docs.collect():
         for line in r.text.split("\n"):
