@@ -144,20 +144,19 @@ def reaches(a: str, b: str, least: float) -> bool:
     return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
 
 
+def _taken_apart(key: str) -> str:
+    """Letters and marks of their own: syllable blocks that differ in one letter are alike only so."""
+    return unicodedata.normalize("NFD", key)
+
+
 @lru_cache(maxsize=8192)
 def same_text_of(a: str, b: str, least: float) -> bool:
-    """Whether two readings are of one text: equal numbers, and equal or alike keys of four characters or more."""
-    if numbers_of(a) != numbers_of(b):
-        return False
-    x, y = key_of(a), key_of(b)
-    if x == y:
-        return True
-    if min(len(x), len(y)) < 4:
+    """Whether two readings are of one text: equal numbers, and keys that are equal or, from four characters on, alike."""
+    keys = key_of(a), key_of(b)
+    if numbers_of(a) != numbers_of(b) or (keys[0] != keys[1] and min(map(len, keys)) < 4):
         return False
-    if reaches(x, y, least):
-        return True
-    # Syllable blocks that differ in one letter are close only when taken apart.
-    return reaches(unicodedata.normalize("NFD", x), unicodedata.normalize("NFD", y), max(0.85, least))
+    tries = ((str, least), (_taken_apart, max(0.85, least)))
+    return keys[0] == keys[1] or any(reaches(*map(form, keys), bar) for form, bar in tries)
 
 
 def _mapped(x: Column, change: Callable[[str], str]) -> Column:

@@ -6,8 +6,11 @@ row, and join as nulls.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ VTT_HEADERS = r"^\s*(?:WEBVTT|Kind:|Language:|NOTE|STYLE|REGION)"
 def media(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
     """``video_id`` (SHA-256 of the content), ``path`` and ``size_bytes`` of files with an allowed extension.
 
-    The content is digested where the file is read; a file larger than a row may be (2 GB) wants ``media_paths``.
+    The content is digested where the file is read; a file larger than a row may be (2 GB) wants ``digested(media_paths(...))``.
     Raises if no file is there, or none of an allowed extension.
     """
     found = media_paths(spark, path, extensions, "*")
@@ -43,6 +46,27 @@ def media_paths(spark: SparkSession, path: str, extensions: Sequence[str] = EXTE
     return allowed if columns else allowed.select("path", "size_bytes")
 
 
+def digested(paths: DataFrame, block: int = 8 << 20) -> DataFrame:
+    """``paths`` (``path``) with ``video_id``, the SHA-256 of each file read in blocks, whatever its size.
+
+    Files are opened where the rows are, by any store that Arrow reads.
+    """
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(path: str) -> str:
+            store, place = fs.FileSystem.from_uri(path)
+            found = hashlib.sha256()
+            with store.open_input_stream(place) as f:
+                while part := f.read(block):
+                    found.update(part)
+            return found.hexdigest()
+
+        return s.map(one)
+
+    return paths.withColumn("video_id", run("path"))
+
+
 def _sidecars(spark: SparkSession, path: str, schema: str, suffix: str) -> DataFrame:
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).json(path)
     rows = rows.withColumn("stem", F.regexp_replace(F.col("_metadata.file_name"), f"{suffix}$", ""))

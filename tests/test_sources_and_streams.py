@@ -5,7 +5,6 @@ import hashlib
 import json
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from spanloom.operators.tracks import Settings
@@ -20,6 +19,7 @@ def test_media_are_known_by_content(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"abc")
     rows = files.media(spark, str(tmp_path)).collect()
     assert [(r.video_id, r.size_bytes) for r in rows] == [(hashlib.sha256(b"abc").hexdigest(), 3)]
+    assert [r.video_id for r in files.digested(files.media_paths(spark, str(tmp_path)), 2).collect()] == [rows[0].video_id]
     with pytest.raises(ValueError, match="extensions"):
         files.media(spark, str(tmp_path), ("avi",))
 
