@@ -3,7 +3,7 @@
 ``python -m spanloom replay LOG OUT`` derives text cues from a log of readings; ``timeline SPANS OUT`` a timeline;
 ``index VIDEOS OUT`` indexes files (``--detector``, ``--transcriber``, ``--tagger``, ``--reader``, ``--prober`` name
 providers as ``module:class``, ``--frames`` a Parquet table of frames); ``run INDEX OUT --video ID --client
-module:class`` reports on an indexed video.
+module:class`` reports on an indexed video, ``--views`` naming what makes its ``tools.Views``.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("command", choices=("replay", "timeline", "index", "run"))
     out.add_argument("source")
     out.add_argument("target")
-    for name in ("config", "detector", "transcriber", "tagger", "reader", "prober", "frames", "video", "client", "mode", "question"):
+    for name in ("config", "detector", "transcriber", "tagger", "reader", "prober", "frames", "video", "client", "views", "mode", "question"):
         out.add_argument(f"--{name}")
     out.add_argument("--force", action="store_true")
     return out
@@ -61,7 +61,7 @@ def run_report(spark: SparkSession, given: argparse.Namespace, settings: config.
     make = named(given.client)
     if make is None:
         raise SystemExit("--client names no class")
-    found = index.report(make(), audio, text, duration / 1e6, settings, tools.Views(), given.question or "", given.target, given.mode or settings.agent.mode)
+    found = index.report(make(), audio, text, duration / 1e6, settings, (named(given.views) or tools.Views)(), given.question or "", given.target, given.mode or settings.agent.mode)
     return {"title": found.report["title"], "tool_calls": found.tool_calls, "tokens": index.usage(found.trace), "cost": found.cost}
 
 

@@ -87,7 +87,7 @@ def report(client: agent.ChatClient, audio: str, text: str, duration: float, set
         asked += "\n\n" + tools.everything(given, duration, settings)
     schemas = tools.SCHEMAS if mode == "agentic" else []
     limits = settings.agent
-    at_hand = agent.Tools(tools.functions(given, settings) if schemas else {}, duration, limits.max_interval_s, limits.max_montages)
+    at_hand = agent.Tools(tools.functions(given, settings) if schemas else {}, duration, limits.max_interval_s, limits.max_montages, f"{folder}/tools")
     budget = agent.Budget(limits.max_calls if schemas else 0, limits.max_seconds)
     system = "Report what the video shows and says as one JSON object."
     index.snapshot(folder, system, asked)

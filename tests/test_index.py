@@ -117,6 +117,20 @@ def test_tools_check_what_they_are_asked():
     assert {s["function"]["name"] for s in tools.SCHEMAS} == {"view_frames", "transcribe_segment"}
 
 
+def test_tools_remember_over_runs(tmp_path):
+    asked = []
+    make = lambda: agent.Tools({"look": lambda start_s, end_s: asked.append(1) or {"seen": end_s}}, 100, folder=str(tmp_path))
+    assert make().run("look", {"start_s": 0, "end_s": 9}) == {"seen": 9}
+    assert make().run("look", {"end_s": 9, "start_s": 0}) == {"seen": 9, "cache_hit": True} and len(asked) == 1
+    next(tmp_path.glob("*.json")).write_text("{broken")
+    assert make().run("look", {"start_s": 0, "end_s": 9}) == {"seen": 9} and len(asked) == 2
+
+
+def test_the_language_of_a_stretch():
+    heard = [{"start_s": 0, "end_s": 10, "language": "en"}, {"start_s": 10, "end_s": 40, "language": "ko"}, {"start_s": 40, "end_s": 60, "language": "unknown"}]
+    assert [tools.language_of(heard, a, b, "ja") for a, b in ((0, 12), (5, 30), (45, 50), (90, 99))] == ["en", "ko", "ja", "ja"]
+
+
 def test_baselines(tmp_path):
     given, settings = tools.Views(Frames(), Account()), config.Settings()
     client = Client()
