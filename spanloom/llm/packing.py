@@ -48,7 +48,7 @@ CHUNK_TOKENS = 1 << 19
 CHUNKS_AT_ONCE = 10_000
 END_ID = 1
 #: Entries of the cache of what stands between spaces.
-CACHED = 300_000
+CACHED = 200_000
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
@@ -317,7 +317,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", so
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: dict[str | None, Places] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             if not batch.num_rows:
                 continue
             queues = np.array(batch.column("__source").to_pylist(), object)
