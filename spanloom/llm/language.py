@@ -24,14 +24,14 @@ gives an empty result; repeated rows get equal results. Columns of any names may
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from .shared import sliced, stash, texts_of
 
@@ -138,7 +138,8 @@ def _batch_scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
 
 
 def log_likelihoods(docs: DataFrame, text: str, profiles: Profiles, settings: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``__ll``: the tempered log-likelihood of each language, 0 for the likeliest."""
+    """``docs`` (or its columns ``keep``) with ``__ll``: the tempered log-likelihood of each language, 0 for the likeliest,
+    and ``__best``: the number of the language that the text tells from all others, if it does."""
     weights, temper = profiles.weights, settings.temper
     source = docs if keep is None else docs.select(*(F.col(f"`{k}`") for k in dict.fromkeys([*keep, text])))
     names = [n for n in source.columns if keep is None or n in keep]
@@ -152,10 +153,12 @@ def log_likelihoods(docs: DataFrame, text: str, profiles: Profiles, settings: Se
                 scores -= scores.max(1, keepdims=True)
             flat = pa.array(scores.ravel(), pa.float64())
             ll = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * weights.shape[1], pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ll], [*names, "__ll"])
+            sure = (scores > -2.0).sum(1) == 1
+            best = pa.array(scores.argmax(1) if len(scores) else [], pa.int32(), mask=~sure)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ll, best], [*names, "__ll", "__best"])
 
     fields = source.select(*(F.col(f"`{n}`") for n in names)).schema
-    return source.mapInArrow(run, StructType([*fields.fields]).add("__ll", ArrayType(DoubleType())))
+    return source.mapInArrow(run, StructType([*fields.fields]).add("__ll", ArrayType(DoubleType())).add("__best", IntegerType()))
 
 
 def parent_domain(host: Column) -> Column:
@@ -164,13 +167,12 @@ def parent_domain(host: Column) -> Column:
 
 
 def _own(host: str, i: int) -> Column:
-    """1.0 where a row counts for language ``i`` of its host: where its text tells one language from all others."""
-    sure = F.size(F.filter("__ll", lambda x: x > -2.0)) == 1
-    return F.when(F.col(host).isNotNull() & sure & (F.array_position("__ll", F.array_max("__ll")) == i + 1), 1.0).otherwise(0.0)
+    """1.0 where a row counts for language ``i`` of its host."""
+    return F.when(F.col(host).isNotNull() & (F.col("__best") == i), 1.0).otherwise(0.0)
 
 
 def host_counts(scored: DataFrame, host: str, languages: tuple[str, ...]) -> tuple[DataFrame, list[float], dict[str, int]]:
-    """(``__host``, ``__c``, ``__d``: rows of each language of the host and of its parent domain; those of all rows;
+    """(``__host``, ``__c``, ``__d`` and their sums: rows of each language of the host and of its parent domain; those of all rows;
     the number of tasks for the rows of each hot host)."""
     k = len(languages)
     counts = scored.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("__n"), *(F.sum(_own(host, i)).alias(f"__c{i}") for i in range(k)))
@@ -181,7 +183,9 @@ def host_counts(scored: DataFrame, host: str, languages: tuple[str, ...]) -> tup
     rows = counts.agg(F.sum("__n")).first()[0] or 0
     hot = {r["__host"]: int(-(-r["__n"] // max(1, int(HOT_SHARE * rows)))) for r in counts.where(F.col("__n") > HOT_SHARE * rows).select("__host", "__n").collect()}
     found = counts.join(domains, parent_domain(F.col("__host")) == F.col("__domain"))
-    found = found.select("__host", F.array(*(f"__c{i}" for i in range(k))).alias("__c"), F.array(*(f"__d{i}" for i in range(k))).alias("__d"))
+    lists = {level: F.array(*(f"{level}{i}" for i in range(k))) for level in ("__c", "__d")}
+    totals = {f"{level}_all": sum((F.col(f"{level}{i}") for i in range(k)), F.lit(0.0)) for level in lists}
+    found = found.select("__host", *(x.alias(n) for n, x in (lists | totals).items()))
     return stash(found, "host-levels"), [row[f"g{i}"] or 0.0 for i in range(k)], hot
 
 
@@ -203,28 +207,36 @@ def fuse(scored: DataFrame, levels: DataFrame | None, overall: list[float], hot:
     """Add ``__language``, ``__posterior`` and ``__kept`` from all the evidence; Catalyst expressions alone."""
     k, a = len(languages), settings.smoothing
     own = [_own(host, i) for i in range(k)] if host else [F.lit(0.0)] * k
-    mine = sum(own, F.lit(0.0))
+    mine = F.when(F.col(host).isNotNull() & F.col("__best").isNotNull(), 1.0).otherwise(0.0) if host else F.lit(0.0)
     prior = [(overall[i] + 1 - own[i]) / (sum(overall) + k - mine) for i in range(k)]
     if host:
         dealt = scored.withColumn("__part", F.pmod(F.xxhash64("__row"), _parts(F.col(host), hot)))
         spread = levels.withColumn("__at", F.explode(F.sequence(F.lit(0), _parts(F.col("__host"), hot) - 1)))
         joined = dealt.join(spread, (F.col(host) == F.col("__host")) & (F.col("__part") == F.col("__at")), "left")
         for level in ("__d", "__c"):
-            total = F.aggregate(level, F.lit(0.0), lambda s, x: s + x)
-            prior = [F.when(F.col(level).isNull(), prior[i]).otherwise((F.col(level)[i] - own[i] + a * prior[i]) / (total - mine + a)) for i in range(k)]
+            prior = [F.when(F.col(level).isNull(), prior[i]).otherwise((F.col(level)[i] - own[i] + a * prior[i]) / (F.col(f"{level}_all") - mine + a)) for i in range(k)]
     else:
         joined = scored
     logs = [F.col("__ll")[i] + F.log(prior[i]) for i in range(k)]
     for name, right in ((declared, settings.declared_right), (suffix, settings.suffix_right)):
         if name:
             logs = [x + _evidence(F.lower(F.col(name)), i, languages, right) for i, x in enumerate(logs)]
-    joined = joined.withColumn("__log", F.array(*logs))
-    top = F.array_max("__log")
-    joined = joined.withColumn("__language", F.element_at(F.array(*(F.lit(x) for x in languages)), F.array_position("__log", top).cast("int")))
-    if k == 1:
-        return joined.withColumns({"__posterior": F.lit(0.0), "__kept": F.lit(True)})
-    joined = joined.withColumn("__posterior", 1 / F.aggregate("__log", F.lit(0.0), lambda s, x: s + F.exp(x - top)))
-    return joined.withColumn("__kept", (F.col("__posterior") >= settings.least) & (F.col("__language") != UNKNOWN))
+    names = F.array(*(F.lit(x) for x in languages))
+
+    def told(log: Column) -> Column:
+        best = F.element_at(names, F.array_position(log, F.array_max(log)).cast("int"))
+        if k == 1:
+            return F.struct(best.alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("kept"))
+        posterior = _let(F.array_max(log), lambda top: 1 / F.aggregate(log, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+        return _let(posterior, lambda p: F.struct(best.alias("language"), p.alias("posterior"), ((p >= settings.least) & (best != UNKNOWN)).alias("kept")))
+
+    verdict = joined.withColumn("__told", _let(F.array(*logs), told))
+    return verdict.select("*", F.col("__told.language").alias("__language"), F.col("__told.posterior").alias("__posterior"), F.col("__told.kept").alias("__kept"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _identified(docs: DataFrame, text: str, declared: str | None, suffix: str | None, host: str | None, settings: Settings, profiles: Profiles | None, keep: list[str]) -> DataFrame:
@@ -235,6 +247,8 @@ def _identified(docs: DataFrame, text: str, declared: str | None, suffix: str |
     second pass would cost more.
     """
     lone = lambda c: F.col(f"`{c}`") if c else F.lit(None).cast("string")
+    if profiles is None and declared is None:
+        raise ValueError("without profiles a column must declare languages to fit them on")
     profiles = profiles or fit(docs, text, declared, settings)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("__row"), lone(text).alias("__text"), lone(declared).alias("__declared"), lone(suffix).alias("__suffix"), lone(host).cast("string").alias("__of"))
     levels, overall, hot = None, [0.0] * len(profiles.languages), {}
