@@ -28,15 +28,15 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import compress, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import sliced, stash, texts_of
-from .words import LETTERS, NUMBERS, SPACES, Recent, is_plain, joined_ids, loaded, uncollected
+from .words import LETTERS, NUMBERS, PLAIN_END, SPACES, is_plain, loaded
 
 LENGTH = 2048
 FRAME = 64
@@ -47,16 +47,68 @@ CHUNK_TOKENS = 1 << 19
 #: Chunks whose sums are added up in one task.
 CHUNKS_AT_ONCE = 10_000
 END_ID = 1
-#: Entries of the cache of what stands between spaces.
+#: Entries of the cache of words.
 CACHED = 200_000
-WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+#: Stands between texts that are split together; no plain text holds it.
+BREAK = "\x1f"
+SPACE, LETTER, NUMBER, OTHER = range(4)
+#: What follows an apostrophe that begins a word of its own.
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def _classes() -> np.ndarray:
+    """The class of each character below ``PLAIN_END``."""
+    out = np.full(PLAIN_END, OTHER, np.uint8)
+    for kind, members in ((SPACE, SPACES + BREAK), (LETTER, LETTERS), (NUMBER, NUMBERS)):
+        out[[i for i in range(PLAIN_END) if re.match(f"[{members}]", chr(i))]] = kind
+    return out
+
+
+CLASSES = _classes()
+#: Classes of bytes; those of two-byte characters are filled in, longer plain characters are all of the last class.
+BYTE_CLASSES = np.concatenate([CLASSES[:0x80], np.full(0x80, OTHER, np.uint8)])
+
+
+def words_of(data: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The words of lower-cased plain texts, given as UTF-8 with ``BREAK`` between, and the words before each break.
+
+    A word is a contraction, a run of letters, one number, or a run of what else isn't white space.
+    """
+    kind = BYTE_CLASSES[data]
+    lead = np.flatnonzero((data >= 0xC2) & (data < 0xC0 + (PLAIN_END >> 6)))
+    kind[lead] = kind[lead + 1] = CLASSES[(data[lead].astype(np.int16) & 0x1F) << 6 | data[lead + 1] & 0x3F]
+    starts = np.empty(len(data), bool)
+    starts[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=starts[1:])
+    digits = np.flatnonzero(kind == NUMBER)
+    starts[digits] = (data[digits] & 0xC0) != 0x80
+    marks = np.flatnonzero(data == ord("'"))
+    marks = marks[starts[marks]]
+    for end in CONTRACTIONS:
+        own = marks[marks + len(end) < len(data)]
+        for i, c in enumerate(end, 1):
+            own = own[data[own + i] == ord(c)]
+        starts[own + 1] = False
+        after = own + len(end) + 1
+        starts[after[after < len(data)]] = True
+    solid = kind != SPACE
+    starts &= solid
+    breaks = np.searchsorted(np.flatnonzero(starts), np.flatnonzero(data == ord(BREAK)))
+    begins = np.append(np.flatnonzero(starts[solid]), np.count_nonzero(solid))
+    return binary_of(begins, data[solid]), breaks
+
+
+def binary_of(bounds: np.ndarray, data: np.ndarray) -> pa.LargeBinaryArray:
+    """Values that lie side by side in ``data``, the first from the first of ``bounds`` (bytes) to the second."""
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64, copy=False)), pa.py_buffer(data)])
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct word encoded once.
 
     Words of plain texts are lower-cased and split here as the tokenizer file's normaliser and splitter do,
-    mapped to byte symbols, and encoded by the file's model; other texts go to the library whole.
+    mapped to byte symbols, and encoded by the file's model; other texts go to the library whole. Words are
+    remembered by number, their ids side by side; a full memory keeps the words met again since it last was.
     """
 
     def __init__(self, path: str):
@@ -74,33 +126,65 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.symbols = dict(enumerate(byte_symbols()))
+        self.symbols = np.array([ord(x) for x in byte_symbols()], "<u4")
+        self.symbols[ord(" ")] = ord(" ")
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.spaced = Recent(CACHED)
+        self.numbers: dict[bytes, int] = {}
+        self.ids, self.bounds, self.again = np.empty(0, self.kind), np.zeros(1, np.int64), np.empty(0, bool)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        with uncollected():
-            plain = [is_plain(x) and not any(a in x for a in self.added) for x in texts]
-            rows = pc.utf8_split_whitespace(pa.array([x.lower() if p else None for x, p in zip(texts, plain, strict=True)], pa.string()))
-            found = joined_ids(rows, self.spaced, self._learn, self.kind)
-            return [ids if p else np.array(self.whole.encode(x, add_special_tokens=False).ids, self.kind) for x, p, ids in zip(texts, plain, found, strict=True)]
-
-    def _learn(self, new: list[str]) -> None:
-        """What stands between spaces is one word or several; both are kept in the one cache."""
-        young, size = self.spaced.young, self.kind.itemsize
-        found = [[x] if x.isalpha() else WORD.findall(x) for x in new]
-        single = list({p for own in found for p in own if len(own) == 1 or p not in young})
-        for at in range(0, len(single), 20_000):
-            some = single[at : at + 20_000]
-            joined = " ".join([w if w.isalpha() and w.isascii() else w.encode().decode("latin-1").translate(self.symbols) for w in some])
-            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * size
-            data = ids.tobytes()
-            for w, a, b in zip(some, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-                young[w] = data[a:b]
-        for x, own in zip(new, found, strict=True):
-            if len(own) != 1:
-                young[x] = b"".join([young[p] for p in own])
+        plain = [is_plain(x) and not any(a in x for a in self.added) for x in texts]
+        joined = "".join([(x.lower() if p else "") + BREAK for x, p in zip(texts, plain, strict=True)])
+        words, breaks = words_of(np.frombuffer(joined.encode(), np.uint8))
+        coded = words.dictionary_encode()
+        at = self._numbers_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        size = self.kind.itemsize
+        found = binary_of(self.bounds * size, self.ids).take(pa.array(at))
+        ids, stops = self.ids[:0], np.zeros(len(texts), np.int64)
+        if len(found):
+            _, bounds, data = found.buffers()
+            ids, stops = np.frombuffer(data, self.kind), np.frombuffer(bounds, np.int64)[breaks] // size
+        spans = pairwise([0, *stops.tolist()])
+        return [ids[a:b] if p else np.array(self.whole.encode(x, add_special_tokens=False).ids, self.kind) for x, p, (a, b) in zip(texts, plain, spans, strict=True)]
+
+    def _numbers_of(self, words: list[bytes]) -> np.ndarray:
+        """The number of each of distinct words; those that aren't known are learned."""
+        if len(self.numbers) > CACHED:
+            self._forget()
+        at = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int32, len(words))
+        gaps = at < 0
+        self.again[at[~gaps]] = True
+        new = list(compress(words, gaps))
+        if new:
+            first = len(self.numbers)
+            at[gaps] = np.arange(first, first + len(new), dtype=np.int32)
+            self._learn(new)
+        return at
+
+    def _learn(self, new: list[bytes]) -> None:
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            symbols = self.symbols[np.frombuffer(b" ".join(some), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.bare.encode_batch_fast([symbols], add_special_tokens=False)[0].ids, self.kind)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
+                raise ValueError(f"{len(some)} words gave {len(stops)} ends of words")
+            first = len(self.numbers)
+            self.numbers.update(zip(some, range(first, first + len(some)), strict=True))
+            self.bounds = np.append(self.bounds, stops + len(self.ids))
+            self.ids = np.append(self.ids, ids)
+            self.again = np.append(self.again, np.zeros(len(some), bool))
+
+    def _forget(self) -> None:
+        """Keep the words met again; none, if that leaves no room."""
+        kept = np.flatnonzero(self.again)
+        if 2 * len(kept) > CACHED:
+            kept = kept[:0]
+        words = compress(self.numbers, self.again) if len(kept) else ()
+        self.numbers = {w: i for i, w in enumerate(words)}
+        self.ids = self.ids[np.repeat(self.again, np.diff(self.bounds))] if len(kept) else self.ids[:0]
+        self.bounds = np.concatenate([[0], np.cumsum(np.diff(self.bounds)[kept])]).astype(np.int64)
+        self.again = np.zeros(len(kept), bool)
 
 
 @lru_cache(maxsize=2)

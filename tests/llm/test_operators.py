@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -589,3 +590,52 @@ def test_neighbours_of_odd_vectors(spark):
     found = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.search(df, F.col("vec_id") % 20 == 0).collect())
     assert found == [(0, 1, 3), (0, 2, 4), (0, 3, 20), (0, 4, 5), (20, 1, 0), (20, 2, 3), (20, 3, 4), (20, 4, 5)]
     assert neighbours.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def ids_of(texts):
+    whole = packing.loaded(tokenizer("word_bpe_49k.json"))
+    return [whole.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_words_of_a_batch_split_as_the_library_does(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 100)
+    coder, rng = packing.Encoder(tokenizer("word_bpe_49k.json")), random.Random(5)
+    parts = ["'s", "'re", "'LL", "'d", "'", "''", "\u2019s", "s", "é", "É", "Ÿ", "İ", "ŉ", "1", "12", "½", "\x85", "\xa0", " ", "\n", "\x00", "\x1f", "€", ",", "the", "日"]
+    for _ in range(30):
+        texts = ["".join(rng.choices(parts, k=rng.choice([0, 1, 3, 20]))) for _ in range(50)]
+        texts += ["it'", "s a new text", "'", "ll", "", "don't 'tis rock'n'roll ''s 's's"]
+        assert [x.tolist() for x in coder.encode(texts)] == ids_of(texts)
+    for texts in ([], ["", ""], ["日本"], ["a"]):
+        assert [x.tolist() for x in coder.encode(texts)] == ids_of(texts)
+
+
+def test_words_are_remembered_within_bounds(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 200)
+    coder, known = packing.Encoder(tokenizer("word_bpe_49k.json")), []
+    for i in range(20):
+        texts = ["the and of " + " ".join(f"w{'abcdefghij'[j % 10]}x{'klmnopqrstuvwxyz'[j % 16]}{'abcdefghijklmnopqrst'[i]}" for j in range(80))]
+        assert [x.tolist() for x in coder.encode(texts)] == ids_of(texts)
+        known.append(b"the" in coder.numbers)
+        assert len(coder.numbers) == len(coder.bounds) - 1 == len(coder.again) <= 200 + 83
+    assert all(known) and coder.bounds[-1] == len(coder.ids)
+
+
+def test_no_distinct_word_costs_calls_of_its_own():
+    """CPU seconds follow the calls: a table of invented prose has a new word in every dozen."""
+    coder = packing.Encoder(tokenizer("word_bpe_49k.json"))
+    letters = "abcdefghij"
+    words = [a + b + c + d + end for a in letters for b in letters for c in letters for d in letters for end in (".", "&&&", "")]
+    calls = 0
+
+    def watch(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    texts = [" ".join(words[i : i + 300]) for i in range(0, len(words), 300)]
+    sys.setprofile(watch)
+    try:
+        found = coder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert [x.tolist() for x in found] == ids_of(texts)
+    assert calls < len(words) / 10
