@@ -1,8 +1,9 @@
 """Joins of moments and spans within equal keys.
 
-Each join has the key as an equality, so the engine plans a hash or merge join with the range as a residual.
-For long timelines, ``bucket_us`` adds time buckets to the equality, so that rows meet within a bucket alone
-and one long key is spread over many tasks.
+Each join has the key as an equality, so the engine plans a merge join with the range as a residual. ``bucket_us``
+adds cells of time to the equality, so that rows meet within a cell alone and one long key is spread over many
+tasks. Cells come in widths of ``bucket_us`` and ``STEP`` times each; a span takes those as wide as it is long, two
+at most below the widest, so long spans aren't repeated for every bucket they reach.
 """
 
 from __future__ import annotations
@@ -12,20 +13,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Of the widths of cells.
+STEP, LEVELS = 8, 4
 
-def _bucketed(rows: DataFrame, start: str, end: str | None, bucket_us: int) -> DataFrame:
-    low = F.floor(F.col(start) / bucket_us)
-    if end is None:
-        return rows.withColumn("__bucket", low)
-    high = F.floor(F.greatest(F.col(start), F.col(end) - 1) / bucket_us)
-    return rows.withColumn("__bucket", F.explode(F.sequence(low, high)))
+
+def _cell(at: Column, level: Column, side: Column, bucket_us: int) -> Column:
+    """One number for a cell of a level and the side of the join that brings the pairs together there."""
+    width = F.element_at(F.array(*(F.lit(bucket_us * STEP**n).cast("long") for n in range(LEVELS))), level + 1)
+    return F.floor(at / width) * (2 * LEVELS) + 2 * level + side
+
+
+def _level(cell: Column) -> Column:
+    return F.floor(F.pmod(cell, F.lit(2 * LEVELS)) / 2).cast("int")
+
+
+def _in_cells(rows: DataFrame, start: str, end: str | None, bucket_us: int, own: Sequence[int], wider: Sequence[int] = ()) -> DataFrame:
+    """Rows once for each ``__cell`` they reach: for the sides ``own`` in the level of their length, for ``wider`` above it.
+
+    The planner takes the result for as many rows as came in and would broadcast it, hence the hint.
+    """
+    first = F.col(start)
+    last = first if end is None else F.greatest(first, F.col(end) - 1)
+    level = F.lit(0) if end is None else sum(((F.col(end) - first > bucket_us * STEP**n).cast("int") for n in range(LEVELS - 1)), F.lit(0))
+
+    def cells(n: Column) -> Column:
+        sides = lambda xs: F.array(*map(F.lit, xs))
+        taken = F.when(n == level, sides(own)).otherwise(sides(wider)) if wider else sides(own)
+        return F.flatten(F.transform(taken, lambda s: F.sequence(_cell(first, n, s, bucket_us), _cell(last, n, s, bucket_us), F.lit(2 * LEVELS).cast("long"))))
+
+    levels = F.sequence(level, F.lit(LEVELS - 1) if wider else level)
+    return rows.withColumn("__cell", F.explode(F.flatten(F.transform(levels, cells)))).hint("merge")
 
 
 def spans_with_moments(moments: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str, bucket_us: int) -> DataFrame:
-    """Inner join of moments with the spans that hold them; each pair meets in one bucket."""
-    left, right = _bucketed(moments, at, None, bucket_us), _bucketed(spans, start, end, bucket_us)
-    joined = left.join(right, [*keys, "__bucket"])
-    return joined.where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__bucket")
+    """Inner join of moments with the spans that hold them; each pair meets in one cell, of the span's level."""
+    left, right = _in_cells(moments, at, None, bucket_us, [0], [0]), _in_cells(spans, start, end, bucket_us, [0])
+    joined = left.join(right, [*keys, "__cell"])
+    return joined.where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__cell")
 
 
 def first_span_of(moments: DataFrame, spans: DataFrame, keys: Sequence[str], moment_id: str, at: str, start: str, end: str, order: Sequence[Column], bucket_us: int) -> DataFrame:
@@ -37,8 +61,11 @@ def first_span_of(moments: DataFrame, spans: DataFrame, keys: Sequence[str], mom
 
 def outside_all(moments: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str, bucket_us: int) -> DataFrame:
     """Moments that no span holds."""
-    right = _bucketed(spans.select(*keys, start, end), start, end, bucket_us).alias("r")
-    left = _bucketed(moments, at, None, bucket_us).alias("l")
+    bucket = lambda x: F.floor(x / bucket_us)
+    reached = F.explode(F.sequence(bucket(F.col(start)), bucket(F.greatest(F.col(start), F.col(end) - 1))))
+    # a moment must stay one row, so buckets have one width here; the planner would broadcast the spans, as in _in_cells
+    right = spans.select(*keys, start, end).withColumn("__bucket", reached).hint("merge").alias("r")
+    left = moments.withColumn("__bucket", bucket(F.col(at))).alias("l")
     on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "__bucket"]]
     on += [F.col(f"l.{at}") >= F.col(f"r.{start}"), F.col(f"l.{at}") < F.col(f"r.{end}")]
     return left.join(right, on, "left_anti").drop("__bucket")
@@ -47,13 +74,15 @@ def outside_all(moments: DataFrame, spans: DataFrame, keys: Sequence[str], at: s
 def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket_us: int) -> DataFrame:
     """Pairs of spans that overlap: left ``start_us``/``end_us`` with right ``r_start_us``/``r_end_us``.
 
-    A pair may meet in several buckets; it counts in the one where the later of its starts lies.
+    A pair meets in the level of the longer span: on side 0 if the left one is as long, else on side 1. There it may
+    meet in several cells; it counts in the one where the later of its starts lies.
     """
-    a, b = _bucketed(left, "start_us", "end_us", bucket_us), _bucketed(right, "r_start_us", "r_end_us", bucket_us)
-    joined = a.join(b, [*keys, "__bucket"])
+    a, b = _in_cells(left, "start_us", "end_us", bucket_us, [0], [1]), _in_cells(right, "r_start_us", "r_end_us", bucket_us, [0, 1], [0])
+    joined = a.join(b, [*keys, "__cell"])
     meets = (F.col("start_us") < F.col("r_end_us")) & (F.col("r_start_us") < F.col("end_us"))
-    first = F.floor(F.greatest("start_us", "r_start_us") / bucket_us) == F.col("__bucket")
-    return joined.where(meets & first).drop("__bucket")
+    cell = F.col("__cell")
+    first = _cell(F.greatest("start_us", "r_start_us"), _level(cell), F.pmod(cell, F.lit(2)), bucket_us) == cell
+    return joined.where(meets & first).drop("__cell")
 
 
 def clipped(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket_us: int, least_us: int = 400_000) -> DataFrame:
