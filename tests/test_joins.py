@@ -35,7 +35,7 @@ def test_long_spans_are_not_repeated_for_every_bucket(spark):
     assert joins._in_cells(rows, "start_us", "end_us", 1_000_000, [0], [1]).count() <= 8
 
 
-@pytest.mark.parametrize("name", ["fuse_text", "fuse_audio", "unplaced_anti"])
+@pytest.mark.parametrize("name", ["fuse_text", "text_outcomes", "fuse_audio", "unplaced_anti"])
 def test_repeated_spans_are_not_broadcast(spark, name):
     """The planner doesn't know how many rows a span becomes: no such side may go through the driver."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
