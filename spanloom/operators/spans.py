@@ -73,34 +73,52 @@ def clamp(rows: DataFrame, duration: Column) -> DataFrame:
     return rows.withColumns({START: start, END: T.clamp(F.greatest(start, F.col(END)), F.lit(0), duration)})
 
 
-def speech_view(rows: DataFrame, keys: Sequence[str], durations: DataFrame, duration: str = "duration_us", merge_gap_us: int = 1_500_000, min_bridge_us: int = 1_000_000, min_region_us: int = 2_000_000, window_max_us: int = 30_000_000) -> DataFrame:
-    """Regions from raw detections: widened to whole seconds, joined over breaths, slivers absorbed, long ones cut.
+def _regions(rows: DataFrame, keys: Sequence[str], durations: DataFrame, duration: str, merge_gap_us: int, min_bridge_us: int, min_region_us: int) -> DataFrame:
+    """Regions before the cut as ``__s`` and ``__e``, after one row for each key of ``durations`` without either.
 
-    A gap between detections is a breath when it exceeds neither ``merge_gap_us`` nor the shorter of its
-    neighbours, of which ``min_bridge_us`` is always allowed.
+    Runs end where the next row begins another, so all steps are windows over rows in one order: each key's
+    duration, then its rows. They share one exchange and one sort, and no step holds more than a key's rows.
     """
     order = _ordered(keys)
-    raw = rows.where(F.col(END) > F.col(START)).select(*keys, START, END).join(durations.select(*keys, duration), list(keys))
+    upto, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    raw = rows.where(F.col(END) > F.col(START)).dropna(subset=list(keys)).select(*keys, START, END)
+    told = durations.select(*keys, duration).withColumn("__told", F.lit(True))
+    every = told.unionByName(raw, allowMissingColumns=True)
+    every = every.withColumns({duration: F.first(duration).over(upto), "__told": F.first("__told").over(upto)}).where("__told").drop("__told")
+
     length = F.col(END) - F.col(START)
     last_end, last_length = F.lag(END).over(order), F.lag(length).over(order)
     gap = F.col(START) - last_end
     breath = (gap <= merge_gap_us) & (gap <= F.greatest(F.lit(min_bridge_us), F.least(last_length, length)))
     wide_start, wide_end = T.rounded_out(F.col(START), F.col(END), F.col(duration))
     # flags are taken on the raw rows before the spans are widened
-    wide = raw.withColumns({"__breath": F.coalesce(breath, F.lit(False)), "__s": wide_start, "__e": wide_end})
-    wide = wide.withColumn("__reached", F.max("__e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    wide = every.withColumns({"__breath": F.coalesce(breath, F.lit(False)), "__s": wide_start, "__e": F.when(F.col(START).isNotNull(), wide_end)})
+    wide = wide.withColumn("__reached", F.max("__e").over(earlier))
     breaks = F.col("__reached").isNull() | ~((F.col("__s") <= F.col("__reached")) | F.col("__breath"))
-    runs = wide.withColumn("__run", F.sum(F.when(breaks, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = runs.groupBy(*keys, duration, "__run").agg(F.min("__s").alias(START), F.max("__e").alias(END)).drop("__run")
 
-    before = F.lag(END).over(order)
-    marked = joined.withColumn("__before", before)
-    marked = marked.withColumn(START, F.when(F.col("__before").isNull() & (F.col(START) < min_region_us), 0).otherwise(F.col(START)))
-    absorbed = _islands(marked, [*keys, duration], F.col("__before").isNull() | (F.col(START) - F.col("__before") >= min_region_us))
-    last = F.lead(START).over(order).isNull()
-    rest = F.col(duration) - F.col(END)
-    closed = absorbed.withColumn("__last", last).withColumn(END, F.when(F.col("__last") & (rest > 0) & (rest < min_region_us), F.col(duration)).otherwise(F.col(END)))
-    return split_long(closed.select(*keys, START, END), window_max_us)
+    def runs(marked: DataFrame, breaks: Column) -> DataFrame:
+        """The last row of each run, with the start of its first and the end reached; ends only grow from run to run."""
+        marked = marked.withColumn("__new", breaks)
+        begin = F.last(F.when(F.col("__new"), F.col("__s")), ignorenulls=True).over(upto)
+        done = F.lead("__new", 1, True).over(order)
+        ended = marked.withColumns({"__begin": begin, "__end": F.max("__e").over(upto), "__done": done}).where("__done")
+        return ended.select(*keys, START, END, duration, F.col("__begin").alias("__s"), F.col("__end").alias("__e"))
+
+    joined = runs(wide, breaks).withColumn("__before", F.lag("__e").over(order))
+    joined = joined.withColumn("__s", F.when(F.col("__before").isNull() & (F.col("__s") < min_region_us), 0).otherwise(F.col("__s")))
+    absorbed = runs(joined, F.col("__before").isNull() | (F.col("__s") - F.col("__before") >= min_region_us))
+    rest = F.col(duration) - F.col("__e")
+    return absorbed.withColumn("__last", F.lead("__s").over(order).isNull()).withColumn("__e", F.when(F.col("__last") & (rest > 0) & (rest < min_region_us), F.col(duration)).otherwise(F.col("__e")))
+
+
+def speech_view(rows: DataFrame, keys: Sequence[str], durations: DataFrame, duration: str = "duration_us", merge_gap_us: int = 1_500_000, min_bridge_us: int = 1_000_000, min_region_us: int = 2_000_000, window_max_us: int = 30_000_000) -> DataFrame:
+    """Regions from raw detections: widened to whole seconds, joined over breaths, slivers absorbed, long ones cut.
+
+    A gap between detections is a breath when it exceeds neither ``merge_gap_us`` nor the shorter of its
+    neighbours, of which ``min_bridge_us`` is always allowed. ``durations`` has one row for each key.
+    """
+    speech = timeline(rows, keys, durations, duration, merge_gap_us=merge_gap_us, min_bridge_us=min_bridge_us, min_region_us=min_region_us, window_max_us=window_max_us)
+    return speech.where("kind = 'speech'").drop("kind")
 
 
 def non_speech_view(speech: DataFrame, keys: Sequence[str], durations: DataFrame, duration: str = "duration_us", min_region_us: int = 2_000_000, window_max_us: int = 30_000_000) -> DataFrame:
@@ -109,12 +127,22 @@ def non_speech_view(speech: DataFrame, keys: Sequence[str], durations: DataFrame
     return split_long(gaps.where(F.col(END) - F.col(START) >= min_region_us), window_max_us)
 
 
-def timeline(rows: DataFrame, keys: Sequence[str], durations: DataFrame, duration: str = "duration_us", **settings: int) -> DataFrame:
-    """Both views of each key, marked ``speech`` or ``non_speech``: disjoint, and together the whole duration."""
-    speech = speech_view(rows, keys, durations, duration, **settings)
-    quiet = {k: v for k, v in settings.items() if k in ("min_region_us", "window_max_us")}
-    other = non_speech_view(speech, keys, durations, duration, **quiet)
-    return speech.withColumn("kind", F.lit("speech")).unionByName(other.withColumn("kind", F.lit("non_speech")))
+def timeline(rows: DataFrame, keys: Sequence[str], durations: DataFrame, duration: str = "duration_us", merge_gap_us: int = 1_500_000, min_bridge_us: int = 1_000_000, min_region_us: int = 2_000_000, window_max_us: int = 30_000_000) -> DataFrame:
+    """The views of speech and of the rest of each key, marked ``speech`` or ``non_speech``: disjoint, and together the
+    whole duration, of which ``durations`` has one row for each key.
+
+    The rest is that of ``non_speech_view``, told from the regions next to one another.
+    """
+    found = _regions(rows, keys, durations, duration, merge_gap_us, min_bridge_us, min_region_us)
+    found = found.withColumn("__before", F.greatest(F.lag("__e", 1, 0).over(_ordered(keys)), F.lit(0)))
+    part = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    until = F.when(F.col("__last"), F.col(duration))
+    ahead = part("non_speech", F.col("__before"), F.coalesce(F.col("__s"), until))
+    behind = part("non_speech", F.greatest(F.coalesce(F.col("__e"), F.col(duration)), F.lit(0)), until)
+    parts = found.select(*keys, F.explode(F.array(part("speech", F.col("__s"), F.col("__e")), ahead, behind)).alias("__p"))
+    parts = parts.select(*keys, F.col("__p.a").alias(START), F.col("__p.b").alias(END), F.col("__p.kind").alias("kind"))
+    speech = (F.col("kind") == "speech") & F.col(START).isNotNull()
+    return split_long(parts.where(speech | ((F.col("kind") != "speech") & (F.col(END) > F.col(START)) & (F.col(END) - F.col(START) >= min_region_us))), window_max_us)
 
 
 def chunks(durations: DataFrame, step_us: int, duration: str = "duration_us") -> DataFrame:

@@ -66,6 +66,21 @@ def test_timeline_is_a_partition(spark, pairs):
     assert all(a[1] == b[0] for a, b in zip(found, found[1:]))
 
 
+def test_timeline_sorts_its_rows_once(spark):
+    """Sorts and sums of one task stand side by side in its memory."""
+    plan = spans.timeline(frame(spark, [(2, 9)]), ["k"], ends(spark, 40))._jdf.queryExecution().sparkPlan().toString()
+    executed = spans.timeline(frame(spark, [(2, 9)]), ["k"], ends(spark, 40))._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Sort [") == 1 and executed.count("Exchange ") == 1
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_timeline_of_keys_without_rows_or_duration(spark):
+    rows = spark.createDataFrame([("a", 10 * S, 20 * S), ("b", 30 * S, 30 * S), ("c", 1, 9), (None, 1, 9 * S)], "k string, start_us long, end_us long")
+    told = spark.createDataFrame([("a", 50 * S), ("b", 25 * S), (None, 20 * S), ("d", 0)], "k string, duration_us long")
+    found = {tuple(r) for r in spans.timeline(rows, ["k"], told).select("k", "kind", "start_us", "end_us").collect()}
+    assert found == {("a", "non_speech", 0, 10 * S), ("a", "speech", 10 * S, 20 * S), ("a", "non_speech", 20 * S, 50 * S), ("b", "non_speech", 0, 25 * S), (None, "non_speech", 0, 20 * S)}
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9)), max_size=8))
 def test_union_is_idempotent_and_complements_twice(spark, pairs):
