@@ -12,6 +12,7 @@ import html.entities
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -140,8 +141,11 @@ def ratio_of(a: str, b: str, autojunk: bool) -> float:
 
 def reaches(a: str, b: str, least: float) -> bool:
     """Whether the similarity is at least ``least``; its cheap upper bounds are asked first."""
-    m = difflib.SequenceMatcher(None, a, b, False)
-    return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+    share = lambda n: 2.0 * n / (len(a) + len(b)) if a or b else 1.0
+    # the matcher indexes a whole text before it can tell its own bounds
+    if share(min(len(a), len(b))) < least or share((Counter(a) & Counter(b)).total()) < least:
+        return False
+    return difflib.SequenceMatcher(None, a, b, False).ratio() >= least
 
 
 def _taken_apart(key: str) -> str:
@@ -149,11 +153,16 @@ def _taken_apart(key: str) -> str:
     return unicodedata.normalize("NFD", key)
 
 
+@lru_cache(maxsize=8192)
+def _forms(text: str) -> tuple[str, list[str]]:
+    return key_of(text), numbers_of(text)
+
+
 @lru_cache(maxsize=8192)
 def same_text_of(a: str, b: str, least: float) -> bool:
     """Whether two readings are of one text: equal numbers, and keys that are equal or, from four characters on, alike."""
-    keys = key_of(a), key_of(b)
-    if numbers_of(a) != numbers_of(b) or (keys[0] != keys[1] and min(map(len, keys)) < 4):
+    (*keys,), (*numbers,) = zip(_forms(a), _forms(b), strict=True)
+    if numbers[0] != numbers[1] or (keys[0] != keys[1] and min(map(len, keys)) < 4):
         return False
     tries = ((str, least), (_taken_apart, max(0.85, least)))
     return keys[0] == keys[1] or any(reaches(*map(form, keys), bar) for form, bar in tries)

@@ -49,8 +49,9 @@ class Sheet:
         return len(self.words)
 
     def take(self, places: Iterable[int]) -> Sheet:
-        at = np.asarray(list(places), np.int64)
-        pick = lambda column: tuple(column[i] for i in at)
+        at = np.asarray(places if isinstance(places, np.ndarray) else list(places), np.int64)
+        each = at.tolist()
+        pick = lambda column: tuple([column[i] for i in each])
         return Sheet(pick(self.words), self.sure[at], self.box[at], self.height[at], pick(self.looks), pick(self.parts))
 
     @cached_property
@@ -210,6 +211,8 @@ def assembled(s: Sheet, floor: float, certain: float) -> Sheet:
     """A frame's detections that are sure enough, once each, the fragments of a row joined, in reading order."""
     upright = s.span[:, 1] > np.maximum(3.0 * s.span[:, 0], 0.08)
     good = np.flatnonzero((s.lengths > 0) & (s.sure >= floor) & ~(upright & (s.sure < certain)))
+    if len(good) < 2:
+        return s if len(good) == len(s) else s.take(good)
     texts = np.array([s.words[i].text for i in good], object)
     s = s.take(good[np.lexsort((np.unique(texts, return_inverse=True)[1] if len(texts) else texts, s.box[good, LEFT], s.box[good, TOP], -s.sure[good]))])
     twice = (overlap(s, s) > 0.8) & (s.keys[:, None] == s.keys[None, :])
@@ -224,8 +227,8 @@ def assembled(s: Sheet, floor: float, certain: float) -> Sheet:
 def paragraphs(s: Sheet, together: np.ndarray | None = None) -> list[list[int]]:
     """Places of each paragraph's lines, downwards. A line goes on in the nearest one below it, if ``together``
     allows the two; a line below two of them goes on from the lower."""
-    if not len(s):
-        return []
+    if len(s) < 2:
+        return [[0]] * len(s)
     down = np.lexsort((np.arange(len(s)), s.box[:, LEFT], s.middle[:, 1]))
     rank = np.argsort(down)
     below = stacked(s)

@@ -15,6 +15,7 @@ import difflib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -130,6 +131,10 @@ class Follower:
     def _represent(self, t: Trail) -> None:
         """The clearest form that no fuller one, seen twice, contains; the median height of all readings."""
         s, forms = self.lines, list(t.forms.values())
+        if len(forms) == 1:
+            t.best = forms[0][0]
+            t.height = self._height(t)
+            return
         at = np.array([p for p, _ in forms])
         often = np.array([n for _, n in forms])
         fuller = (often >= 2)[None, :] & (s.lengths[at][:, None] < 0.8 * s.lengths[at][None, :]) & (1.2 * s.area[at][:, None] < s.area[at][None, :])
@@ -138,7 +143,11 @@ class Follower:
         whole = ~fuller.any(1)
         whole = whole if whole.any() else ~whole
         t.best = int(max((x for x, ok in zip(forms, whole, strict=True) if ok), key=lambda x: (s.sure[x[0]], x[1], len(s.words[x[0]].text)))[0])
-        t.height = float(np.median(s.height[t.places]))
+        t.height = self._height(t)
+
+    def _height(self, t: Trail) -> float:
+        h = self.lines.height[t.places]
+        return float(np.median(h) if len(h) > 2 else h.mean())
 
     # ---- trails against the lines of a frame
 
@@ -188,6 +197,8 @@ class Follower:
         out = np.zeros(over.shape)
         for i, j in zip(*np.nonzero(may), strict=True):
             out[i, j] = self._likeness(self.open[i], int(here[j]), float(over[i, j]))
+        if out.all():
+            return out
         # the one place of a phrase on the frame before, and the one on this frame
         best = [s.keys[t.best] for t in self.open]
         once_here, once_there = Counter(best), Counter(lines.keys.tolist())
@@ -337,9 +348,9 @@ def _by_key(s: Sheet) -> dict[str, np.ndarray]:
 def confirmed(f: Follower, frames: Sequence[Frame], settings: Settings) -> set[int]:
     """Trails (by place in ``closed``) whose clearest reading other frames close by repeat in place, text and height."""
     frames = sorted(frames, key=lambda x: x.at)
-    both = [S.stack([x.lines, S.assembled(x.lines, settings.min_confidence, settings.singleton)]) for x in frames]
-    probes = S.stack(both)
-    frame_of = np.repeat(np.arange(len(frames)), [len(x.lines) + len(S.assembled(x.lines, settings.min_confidence, settings.singleton)) for x in frames]) if frames else np.empty(0, np.int64)
+    both = [(x.lines, S.assembled(x.lines, settings.min_confidence, settings.singleton)) for x in frames]
+    probes = S.stack([x for pair in both for x in pair])
+    frame_of = np.repeat(np.arange(len(frames)), [len(a) + len(b) for a, b in both]) if frames else np.empty(0, np.int64)
     when = np.array([x.at for x in frames])
     at_key, s, out = _by_key(probes), f.lines, set()
     radius = max(0.5, 1.0 / settings.fps) + 0.001
@@ -376,8 +387,10 @@ def supported(f: Follower, trusted: set[float], also: set[int], settings: Settin
     counts = np.bincount(of[seen], minlength=len(f.closed))
     clear = seen[s.sure[seen] >= settings.singleton]
     vouched: set[int] = set()
-    for at in np.unique(f.times[clear]):
-        here = clear[f.times[clear] == at]
+    clear = clear[np.argsort(f.times[clear], kind="stable")]
+    for here in np.split(clear, np.flatnonzero(np.diff(f.times[clear])) + 1):
+        if len(here) < 2:
+            continue
         for rows in S.paragraphs(s.take(here)):
             if len(rows) > 1:
                 peers = set(of[here[rows]][s.height[here[rows]] > settings.min_height].tolist())
@@ -412,6 +425,10 @@ def heights(runs: Sheet, readings: Sheet) -> np.ndarray:
     """Each run's height as the median of readings of its text as wide, or of parts of it where those explain more."""
     at_key = _by_key(readings)
     out = runs.height.copy()
+    beginnings = defaultdict(list)
+    for k in at_key:
+        if len(k) >= 3:
+            beginnings[k[:3]].append(k)
     mid, wide = readings.middle[:, 0], readings.sides[:, 0]
     for i in range(len(runs)):
         key, w = runs.keys[i], runs.sides[i, 0]
@@ -419,7 +436,9 @@ def heights(runs: Sheet, readings: Sheet) -> np.ndarray:
         near = (np.minimum(wide[own], w) >= 0.67 * np.maximum(wide[own], w)) & (np.abs(mid[own] - runs.middle[i, 0]) <= np.maximum(0.05, 0.25 * np.maximum(wide[own], w)))
         direct = own[near]
         parts = {}
-        for other in (k for k in at_key if 3 <= len(k) and k != key and k in key):
+        # a part begins somewhere in the text: where there are more texts than that, only such are tried
+        tried = [k for x in {key[j : j + 3] for j in range(len(key) - 2)} for k in beginnings.get(x, ())] if len(beginnings) > len(key) else at_key
+        for other in (k for k in tried if 3 <= len(k) < len(key) and k in key):
             inside = at_key[other]
             inside = inside[(readings.box[inside, LEFT] >= runs.box[i, LEFT] - 0.05) & (readings.box[inside, RIGHT] <= runs.box[i, RIGHT] + 0.05)]
             if len(inside):
@@ -535,14 +554,22 @@ def published(frames: Sequence[Frame], duration: float, settings: Settings = Set
 
 def frames_of(rows: pd.DataFrame) -> Iterator[Frame]:
     """Frames from rows of one line each; a frame without lines has one row with a null text."""
-    for (at, verification, discovery), own in rows.groupby(["at_us", "verification", "discovery"], sort=True):
-        lines = own[own.text.notna()]
-        columns = zip(lines.text, lines.confidence, lines.left, lines.top, lines.right, lines.bottom, lines.look, strict=True)
-        s = S.sheet([(t, None if pd.isna(c) else float(c), *box, int(look, 16) if isinstance(look, str) and look else None) for t, c, *box, look in columns])
-        if "text_height" in lines:
-            told = lines.text_height.to_numpy(float)
-            s = replace(s, height=np.where(np.isnan(told), s.height, np.maximum(told, 0.0)))
-        yield Frame(at / 1e6, s, bool(verification), bool(discovery))
+    by = ["at_us", "verification", "discovery"]
+    rows = rows.dropna(subset=by)
+    rows = rows.iloc[np.lexsort((rows.discovery.to_numpy(bool), rows.verification.to_numpy(bool), rows.at_us.to_numpy()))]
+    moments = list(zip(*(rows[x].tolist() for x in by), strict=True))
+    seen = rows.text.notna().tolist()
+    sure = [None if c != c else c for c in rows.confidence.to_numpy(float, na_value=np.nan).tolist()]
+    looks = [int(x, 16) if isinstance(x, str) and x else None for x in rows.look]
+    lines = list(zip(rows.text.tolist(), sure, *(rows[x].tolist() for x in ("left", "top", "right", "bottom")), looks, strict=True))
+    told = rows.text_height.to_numpy(float) if "text_height" in rows else None
+    for moment, own in groupby(range(len(moments)), key=moments.__getitem__):
+        here = [i for i in own if seen[i]]
+        s = S.sheet([lines[i] for i in here])
+        if told is not None:
+            s = replace(s, height=np.where(np.isnan(told[here]), s.height, np.maximum(told[here], 0.0)))
+        at, verification, discovery = moment
+        yield Frame(np.float64(at / 1e6), s, bool(verification), bool(discovery))
 
 
 def _keyed(rows: list[tuple], names: list[str], keys: list[str], found: tuple) -> pd.DataFrame:
@@ -552,6 +579,13 @@ def _keyed(rows: list[tuple], names: list[str], keys: list[str], found: tuple) -
     return out
 
 
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by key in several parts for each core: by their bytes, which are few, they would be put into too few tasks."""
+    session = rows.sparkSession
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    return rows.repartition(n, *keys)
+
+
 def track_cues(lines: DataFrame, keys: list[str], duration_us: str = "duration_us", settings: Settings = Settings()) -> DataFrame:
     """Cues of each key from rows (keys, ``duration_us``, ``at_us``, ``text``, ``confidence``, box, ``look``,
     ``verification``, ``discovery``)."""
@@ -562,7 +596,7 @@ def track_cues(lines: DataFrame, keys: list[str], duration_us: str = "duration_u
         return _keyed([(round(a * 1e6), round(b * 1e6), *rest) for a, b, *rest in made], ["start_us", "end_us", "text", "position", "size"], keys, found)
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", start_us long, end_us long, text string, position string, size string"
-    return lines.groupBy(*keys).applyInPandas(run, schema)
+    return _dealt(lines, keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def unsupported(frames: Sequence[Frame], duration: float, settings: Settings = Settings()) -> list[tuple[float, Sheet]]:
@@ -586,7 +620,7 @@ def verification_targets(lines: DataFrame, keys: list[str], duration_us: str = "
         return _keyed([(round(at * 1e6), x.words[0].text, float(x.sure[0]), *x.box[0].tolist()) for at, x in made], ["at_us", "text", "confidence", "left", "top", "right", "bottom"], keys, found)
 
     types = dict(lines.dtypes)
-    return lines.groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", at_us long, text string, confidence double, left double, top double, right double, bottom double")
+    return _dealt(lines, keys).groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", at_us long, text string, confidence double, left double, top double, right double, bottom double")
 
 
 def owned(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -601,4 +635,4 @@ def owned(runs: DataFrame, keys: list[str]) -> DataFrame:
         return _keyed([(a, b, x.words[0].text) for a, b, x in made], ["start_us", "end_us", "text"], keys, found)
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", start_us long, end_us long, text string"
-    return runs.groupBy(*keys).applyInPandas(run, schema)
+    return _dealt(runs, keys).groupBy(*keys).applyInPandas(run, schema)

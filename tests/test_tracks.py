@@ -221,3 +221,34 @@ def test_three_stages_of_reading(spark):
     probes = [r for r in seen if r.verification]
     doubtful = [at for at, _ in [*base, *found]]
     assert probes and all(min(abs(r.at_us - t) for t in doubtful) <= 501_000 and r.at_us not in (0, 3_000_000) for r in probes)
+
+
+def test_keys_are_dealt_to_all_cores(spark):
+    """A key costs time and few bytes, by which its rows would all be put into one task."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60).select((F.col("id") % 30).alias("k"), F.lit(10_000_000).cast("long").alias("duration_us"), F.when(F.col("id") >= 30, 1_000_000).otherwise(0).cast("long").alias("at_us"), F.lit("open daily").alias("text"), F.lit(0.99).alias("confidence"), F.lit(0.4).alias("top"), F.lit(0.5).alias("bottom"), F.lit(0.1).alias("left"), F.lit(0.9).alias("right"), F.lit(None).cast("string").alias("look"), F.lit(False).alias("verification"), F.lit(False).alias("discovery"))
+    found = T.track_cues(rows, ["k"])
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert found.count() == found.where("text = 'open daily' and start_us = 0").count() == 30
+
+
+def test_bounds_of_likeness_need_no_matcher(monkeypatch):
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(X.difflib, "SequenceMatcher", never)
+    assert not X.reaches("a" * 500, "b" * 500, 0.8) and not X.reaches("a" * 9, "a" * 90, 0.8)
+
+
+def test_parts_among_many_texts_are_those_of_all_pairs():
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcde"), n)) for n in rng.integers(3, 9, 300)]
+    box = lambda t: (t, 0.99, 0.1, 0.4, 0.1 + 0.02 * len(t), 0.4 + 0.01 * (1 + len(t) % 7), None)
+    readings = S.sheet([box(t) for t in texts])
+    runs = S.sheet([box("".join(rng.choice(texts, 3))) for _ in range(40)])
+    found = T.heights(runs, readings)
+    for i, key in enumerate(runs.keys):
+        parts = [j for j, k in enumerate(readings.keys) if k != key and k in key and readings.box[j, 0] >= runs.box[i, 0] - 0.05 and readings.box[j, 2] <= runs.box[i, 2] + 0.05]
+        if parts and key not in readings.keys:
+            assert found[i] == np.median(readings.height[parts])
